@@ -17,70 +17,36 @@ ITALIAN_MONTHS = [
 ]
 PUBLISH_HOUR = 8
 
-WEEKDAY = r"^[A-Za-z]{3,},\s*"
-OFFSET = r"(?:Z|[+-]\d{2}:?\d{2})"
-MAIL_DATE = r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}(?::\d{2})?"
-ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
-SLASH_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{2})$"
-ZONE_TAIL = r"\s*(?:GMT|UTC|UT|Z|[+-]\d{2}:?\d{2})$"
-
-
-def _plain(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), WEEKDAY, "")
-
-
-def _offset(plain: Column) -> Column:
-    """The offset at the end of the text; no zone, ``Z`` and ``GMT`` are all ``+00:00``."""
-    digits = F.replace(F.regexp_extract(plain, r"([+-]\d{2}:?\d{2})$", 1), F.lit(":"), F.lit(""))
-    # A date such as 2026-02-07 ends in what looks like an offset, so a clock must come first.
-    wanted = (digits != "") & plain.rlike(r"\d:\d{2}")
-    return F.when(wanted, F.concat(F.left(digits, F.lit(3)), F.lit(":"), F.right(digits, F.lit(2)))).otherwise(
-        F.lit("+00:00")
-    )
+# Shapes of feed dates; each is matched once and its clock parsed once.
+ZONE = r"(?:GMT|UTC|UT|Z|[+-]\d{2}:?\d{2})"
+MAIL_DATE = rf"^(?:[A-Za-z]{{3,}},\s*)?(\d{{1,2}} [A-Za-z]{{3}} \d{{4}} \d{{1,2}}:\d{{2}}(?::\d{{2}})?)\s*{ZONE}?$"
+ISO_DATE = rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}})(?:[T ](\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,9}})?)?)\s*{ZONE}?)?$"
+SLASH_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}:\d{2})$"
+OFFSET_TAIL = r"^.*:\d{2}(?:\.\d+)?\s*([+-](?:0\d|1[0-7])):?([0-5]\d)$"
 
 
 def wall_clock(text: Column) -> Column:
     """The clock written in the text, without its offset, as a zone-less timestamp; null if unreadable."""
-    plain = _plain(text)
-    clock = F.regexp_replace(plain, ZONE_TAIL, "")
-    mail = F.when(
-        clock.rlike(MAIL_DATE + "$"),
-        F.concat_ws(
-            " ",
-            F.split_part(clock, F.lit(" "), F.lit(3)),
-            F.initcap(F.split_part(clock, F.lit(" "), F.lit(2))),
-            F.split_part(clock, F.lit(" "), F.lit(1)),
-            F.substring_index(clock, " ", -1),
-        ),
-    )
-    seconds = F.when(F.substring_index(mail, " ", -1).rlike(r"^\d{1,2}:\d{2}$"), F.concat(mail, F.lit(":00"))).otherwise(
-        mail
-    )
-    slash = F.when(plain.rlike(SLASH_DATE), F.regexp_replace(plain, SLASH_DATE, "$3-$2-$1 $4:$5"))
-    slash_iso = F.concat_ws(
-        "-",
-        F.split_part(slash, F.lit("-"), F.lit(1)),
-        F.lpad(F.split_part(slash, F.lit("-"), F.lit(2)), 2, "0"),
-        F.lpad(F.substring_index(F.split_part(slash, F.lit("-"), F.lit(3)), " ", 1), 2, "0"),
-    )
-    iso = F.when(plain.rlike(ISO_DATE) & ~plain.rlike(ISO_DATE + "$"), clock).when(plain.rlike(ISO_DATE + "$"), plain)
-    return F.coalesce(
-        F.when(iso.isNotNull(), iso.try_cast("timestamp_ntz")),
-        F.when(seconds.isNotNull(), F.try_to_timestamp(seconds, F.lit("yyyy MMM d H:mm:ss")).cast("timestamp_ntz")),
-        F.when(
-            slash.isNotNull(),
-            F.concat(slash_iso, F.lit(" "), F.lpad(F.substring_index(slash, " ", -1), 5, "0")).try_cast("timestamp_ntz"),
-        ),
+    plain = F.trim(text)
+    iso = F.regexp_replace(plain, ISO_DATE, "$1 $2")
+    slash = F.regexp_replace(plain, SLASH_DATE, "$3-$2-$1 $4")
+    mail = F.initcap(F.regexp_extract(plain, MAIL_DATE, 1))
+    return (
+        F.when(plain.rlike(ISO_DATE), F.trim(iso).try_cast("timestamp_ntz"))
+        .when(plain.rlike(MAIL_DATE), F.try_to_timestamp(mail, F.lit("d MMM yyyy H:mm[:ss]")).cast("timestamp_ntz"))
+        .when(plain.rlike(SLASH_DATE), slash.try_cast("timestamp_ntz"))
     )
 
 
 def parse_published(text: Column) -> Column:
-    """The instant of a feed date in UTC; a date without a zone counts as UTC; null if unreadable."""
-    stamp = F.concat(F.date_format(wall_clock(text), "yyyy-MM-dd HH:mm:ss.SSSSSS"), _offset(_plain(text)))
-    return stamp.try_cast("timestamp")
+    """The instant of a feed date; no zone, ``Z`` and ``GMT`` are UTC; null if unreadable. The session is in UTC."""
+    plain = F.trim(text)
+    offset = F.when(plain.rlike(OFFSET_TAIL), F.regexp_replace(plain, OFFSET_TAIL, "$1:$2")).otherwise("+00:00")
+    return F.convert_timezone(offset, F.lit("UTC"), wall_clock(text)).cast("timestamp")
 
 
 # The shapes the display parser takes.
+OFFSET = r"(?:Z|[+-]\d{2}:?\d{2})"
 VIEW_SHAPES = [
     r"^[A-Za-z]{3}, \d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{1,2}:\d{1,2} " + OFFSET + "$",
     r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?" + OFFSET + "$",

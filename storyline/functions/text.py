@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Defaults and patterns that results depend on.
 EMPTY_VALUES = ("undefined", "Continua a leggere", "Read more", "")
@@ -52,7 +53,7 @@ class CleaningRules:
     embedding_provider: str = EMBEDDING_PROVIDER
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
@@ -86,8 +87,7 @@ def clean_html(text: Column) -> Column:
 
 def clean_author(author: Column) -> Column:
     """The person's name out of ``mail (Name)``, without a leading "di "."""
-    plain = clean_html(author)
-    name = F.when(plain.rlike(MAIL_AND_NAME), F.regexp_extract(plain, MAIL_AND_NAME, 1)).otherwise(plain)
+    name = F.regexp_replace(clean_html(author), MAIL_AND_NAME, "$1")
     return strip(F.regexp_replace(name, BYLINE, ""))
 
 
@@ -119,12 +119,12 @@ def strip_name_from_description(description: Column, name: Column) -> Column:
 def strip_prefix_pattern(text: Column, pattern: Column) -> Column:
     """Remove a feed's own prefix pattern; a null or empty pattern changes nothing."""
     wanted = F.coalesce(pattern, F.lit("")) != ""
-    return F.when(wanted, F.regexp_replace(text, F.concat(F.lit("^"), pattern), F.lit(""))).otherwise(text)
+    return F.when(wanted, F.regexp_replace(text, F.concat(F.lit("(?U)^"), pattern), F.lit(""))).otherwise(text)
 
 
 def strip_suffix_pattern(text: Column, pattern: Column) -> Column:
     wanted = F.coalesce(pattern, F.lit("")) != ""
-    return F.when(wanted, F.regexp_replace(text, F.concat(pattern, F.lit("$")), F.lit(""))).otherwise(text)
+    return F.when(wanted, F.regexp_replace(text, F.concat(F.lit("(?U)"), pattern, F.lit("$")), F.lit(""))).otherwise(text)
 
 
 def comparison_form(text: Column) -> Column:

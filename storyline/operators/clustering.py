@@ -163,18 +163,17 @@ def follow(paths: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     while True:
         end = F.element_at("path", -1)["cluster"]
         onward = links.select(*keys, F.col("id").alias("end"), F.col("path").alias("rest"))
-        if links.join(onward.withColumn("id", F.col("end")), [*keys, "id"]).isEmpty():
-            break
         longer = links.withColumn("end", end).join(onward, [*keys, "end"], "left")
         grown = longer.select(
-            *keys, "id", F.when(F.col("rest").isNull(), F.col("path")).otherwise(F.concat("path", "rest")).alias("path"),
+            *keys,
+            "id",
+            F.concat("path", F.coalesce("rest", F.array().cast(PATH))).alias("path"),
             F.col("rest").isNotNull().alias("more"),
         )
         links = materialize(grown, "paths")
-        more = not links.filter("more").isEmpty()
-        links = links.drop("more")
-        if not more:
+        if links.filter("more").isEmpty():
             break
+        links = links.drop("more")
     end = F.when(F.size("path") > 0, F.element_at("path", -1)["cluster"]).otherwise(F.col("id"))
     onward = links.select(*keys, F.col("id").alias("end"), F.col("path").alias("rest"))
     return (
@@ -193,20 +192,25 @@ def _distributed_tree(
     links = None
     while True:
         counts = nodes.groupBy(*keys).agg(F.count("*").alias("rows"))
-        small = counts.filter(F.col("rows") <= local_limit).select(*keys)
-        finished = _local_tree(nodes.join(small, keys, "left_semi"), keys, threshold, "average").filter(F.size("path") > 0)
-        large = counts.filter(F.col("rows") > local_limit).select(*keys)
-        finished = finished.select(*keys, "id", F.slice("path", 1, 1).alias("path"))
-        links = finished if links is None else links.unionByName(finished)
-        if large.isEmpty():
+        fits = F.col("rows") <= local_limit
+        found = counts.agg(F.count_if(fits).alias("small"), F.count_if(~fits).alias("large")).first()
+        if found.small:
+            ready = nodes.join(counts.filter(fits), keys, "left_semi")
+            finished = _local_tree(ready, keys, threshold, "average").filter(F.size("path") > 0)
+            finished = finished.select(*keys, "id", F.slice("path", 1, 1).alias("path"))
+            links = finished if links is None else links.unionByName(finished)
+            nodes = nodes.join(counts.filter(~fits), keys, "left_semi")
+        if not found.large:
             break
-        nodes = nodes.join(large, keys, "left_semi")
         merges = materialize(mutual_pairs(nearest_within(nodes, keys, threshold, tile_rows), keys), "merges")
         if merges.isEmpty():
             break
         step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
-        links = links.unionByName(merges.select(*keys, F.col("child").alias("id"), step.alias("path")))
+        merged = merges.select(*keys, F.col("child").alias("id"), step.alias("path"))
+        links = merged if links is None else links.unionByName(merged)
         nodes = materialize(_merged_nodes(nodes, merges, keys), "nodes")
+    if links is None:
+        links = nodes.limit(0).select(*keys, "id", F.array().cast(PATH).alias("path"))
     links = materialize(links, "links")
     copy = F.array(F.struct(F.col("node").alias("cluster"), F.lit(0.0).alias("height"))).cast(PATH)
     start = members.select(

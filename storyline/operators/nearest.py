@@ -8,8 +8,6 @@ rows in k tiles moves n * k rows, however large or skewed the block is.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,7 +137,9 @@ def nearest_other(
         return _result(left, keys, at, ids[at], found)
 
     a = with_tiles(points.select(*keys, "id", "own", "vec"), keys, tile_rows, "left_tiles", "p")
-    b = with_tiles(groups.select(*keys, "id", "vec"), keys, tile_rows, "right_tiles", "q")
+    # Aliases give the right side columns of its own, also when both sides come from one table.
+    groups = groups.select(*[F.col(c).alias(c) for c in (*keys, "id", "vec")])
+    b = with_tiles(groups, keys, tile_rows, "right_tiles", "q")
     a_tiles = a.select(*keys, "left_tiles").distinct()
     b_tiles = b.select(*keys, "right_tiles").distinct()
     span = lambda column: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(column) - 1))

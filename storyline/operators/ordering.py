@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.session import materialize
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys; still an equi-join."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def positions(df: DataFrame, groups: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """Add the 1-based position of each row within its group, for groups of any size.
 
@@ -30,9 +23,14 @@ def positions(df: DataFrame, groups: list[str], order: list[Column], name: str =
     runs = rows.groupBy(*groups, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
-    joined = rows.join(runs, same_keys(rows, runs, [*groups, "_part"]))
+    # A group may be null, so the keys are compared null-safely; this is still an equi-join.
+    keys = [*groups, "_part"]
+    runs = runs.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_first", "_before")
+    match = F.lit(True)
+    for i, key in enumerate(keys):
+        match = match & F.col(key).eqNullSafe(F.col(f"_key{i}"))
     place = F.col("_before") + F.col("_row") - F.col("_first") + 1
-    return joined.select(*[rows[c] for c in df.columns], place.alias(name))
+    return rows.join(runs, match).select(*df.columns, place.alias(name))
 
 
 def first_rows(
