@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from storyline.functions.vectors import DISTANCE_DIGITS, l2_normalize, sum_of_squares
 from storyline.operators.components import connected_components
-from storyline.operators.nearest import TILE_ROWS, _matrix, _tie, nearest_within, tile_pairs, with_tiles
+from storyline.operators.nearest import TILE_ROWS, matrix, tie_order, nearest_within, tile_pairs, with_tiles
 from storyline.session import materialize
 
 #: Rows of an issue that one task takes whole: a 4,096 square of doubles is 128 MB.
@@ -56,7 +56,7 @@ def _merge_in_task(threshold: float, linkage: str, keys: list[str]):
         usable = np.flatnonzero(table["vec"].is_valid().to_numpy(zero_copy_only=False))
         parent, height = {}, {}
         if len(usable) > 1:
-            vectors, ids = _matrix(table.take(pa.array(usable)), "vec"), all_ids[usable]
+            vectors, ids = matrix(table.take(pa.array(usable)), "vec"), all_ids[usable]
             size = table["n"].to_numpy()[usable].astype(np.float64)
             distance = 1.0 - vectors @ vectors.T
             while len(ids) > 1:
@@ -66,7 +66,7 @@ def _merge_in_task(threshold: float, linkage: str, keys: list[str]):
                 r, c = np.nonzero((seen == least[:, None]) & (least < threshold)[:, None])
                 if not len(r):
                     break
-                order = np.lexsort((ids[c], _tie(ids[r], ids[c]), r))
+                order = np.lexsort((ids[c], tie_order(ids[r], ids[c]), r))
                 first = order[np.unique(r[order], return_index=True)[1]]
                 best = np.full(len(ids), -1)
                 best[r[first]] = c[first]
@@ -193,6 +193,7 @@ def _distributed_tree(
     while True:
         counts = nodes.groupBy(*keys).agg(F.count("*").alias("rows"))
         fits = F.col("rows") <= local_limit
+        # Two totals, not a list of issues. Issues where nothing merged any more have left ``nodes``.
         found = counts.agg(F.count_if(fits).alias("small"), F.count_if(~fits).alias("large")).first()
         if found.small:
             ready = nodes.join(counts.filter(fits), keys, "left_semi")
@@ -203,8 +204,6 @@ def _distributed_tree(
         if not found.large:
             break
         merges = materialize(mutual_pairs(nearest_within(nodes, keys, threshold, tile_rows), keys), "merges")
-        if merges.isEmpty():
-            break
         step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
         merged = merges.select(*keys, F.col("child").alias("id"), step.alias("path"))
         links = merged if links is None else links.unionByName(merged)
@@ -279,7 +278,7 @@ def _single_linkage(
     types = ", ".join(f"`{key}` {rows.schema[key].dataType.simpleString()}" for key in keys)
 
     def forest(table: pa.Table) -> pa.Table:
-        ids, vectors = table["id"].to_numpy(), _matrix(table, "vec")
+        ids, vectors = table["id"].to_numpy(), matrix(table, "vec")
         order = np.argsort(ids)
         ids, vectors = ids[order], vectors[order]
         waiting = np.ones(len(ids), bool)
@@ -320,7 +319,7 @@ def _complete_rounds(rows: DataFrame, keys: list[str], threshold: float, tile_ro
         table = table.sort_by([("cluster_id", "ascending"), ("part", "ascending")])
         unit = np.stack([table["cluster_id"].to_numpy(), table["part"].to_numpy()], axis=1)
         starts = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(axis=1)])
-        vectors, cluster = _matrix(table, "vec"), unit[starts, 0]
+        vectors, cluster = matrix(table, "vec"), unit[starts, 0]
         parts, tile = table["parts"].to_numpy()[starts], table["tile"].to_numpy()[starts]
         distance = np.maximum.reduceat(1.0 - vectors @ vectors.T, starts, axis=0)
         distance = np.round(np.maximum.reduceat(distance, starts, axis=1), DISTANCE_DIGITS)
@@ -331,14 +330,14 @@ def _complete_rounds(rows: DataFrame, keys: list[str], threshold: float, tile_ro
         whole = np.where(allowed & ~spread, distance, np.inf)
         least = whole.min(axis=1)
         r, c = np.nonzero((whole == least[:, None]) & np.isfinite(least)[:, None])
-        order = np.lexsort((cluster[c], _tie(cluster[r], cluster[c]), r))
+        order = np.lexsort((cluster[c], tie_order(cluster[r], cluster[c]), r))
         first = order[np.unique(r[order], return_index=True)[1]]
         sr, sc = np.nonzero(allowed & spread)
         r, c = np.r_[r[first], sr].astype(np.int64), np.r_[c[first], sc].astype(np.int64)
         columns = {key: table[key].take(pa.array(np.zeros(len(r), np.int64))) for key in keys}
         columns["id"], columns["partner"] = pa.array(cluster[r], pa.int64()), pa.array(cluster[c], pa.int64())
         columns["distance"] = pa.array(distance[r, c], pa.float64())
-        columns["tie"] = pa.array(_tie(cluster[r], cluster[c]), pa.int64())
+        columns["tie"] = pa.array(tie_order(cluster[r], cluster[c]), pa.int64())
         columns["needed"] = pa.array(parts[r] * parts[c], pa.int64())
         return pa.table(columns)
 

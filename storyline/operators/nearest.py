@@ -28,11 +28,11 @@ def with_tiles(df: DataFrame, keys: list[str], tile_rows: int, tiles: str, tile:
     return df.join(counts, keys).withColumn(tile, F.pmod(F.xxhash64("id"), F.col(tiles)))
 
 
-def _matrix(table: pa.Table, column: str) -> np.ndarray:
+def matrix(table: pa.Table, column: str) -> np.ndarray:
     return np.vstack([np.reshape(c.flatten().to_numpy(zero_copy_only=False), (len(c), -1)) for c in table[column].chunks])
 
 
-def _tie(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def tie_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """An order among equally near pairs that is the same from both ends and spread out, so that many merge at once."""
     low, high = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -51,7 +51,7 @@ def _best_in(rows: np.ndarray, row_ids: np.ndarray, row_own: np.ndarray, others:
         distance[row_own[part][:, None] == other_ids[None, :]] = np.inf
         least = distance.min(axis=1)
         r, c = np.nonzero((distance == least[:, None]) & np.isfinite(least)[:, None])
-        tie = _tie(row_ids[part][r], other_ids[c])
+        tie = tie_order(row_ids[part][r], other_ids[c])
         order = np.lexsort((other_ids[c], tie, r))
         first = order[np.unique(r[order], return_index=True)[1]]
         found.append((r[first] + start, other_ids[c[first]], least[r[first]], tie[first]))
@@ -101,7 +101,7 @@ def nearest_within(
     """
 
     def search(table: pa.Table) -> pa.Table:
-        ids, vectors = table["id"].to_numpy(), _matrix(table, "vec")
+        ids, vectors = table["id"].to_numpy(), matrix(table, "vec")
         tile, q = table["tile"].to_numpy(), table["q"][0].as_py()
         left, right = np.flatnonzero(tile != q), np.flatnonzero(tile == q)
         if table["p"][0].as_py() == q:
@@ -132,7 +132,7 @@ def nearest_other(
         if not left.num_rows or not right.num_rows:
             return _result(left, keys, np.array([], np.int64), np.array([], np.int64), [np.array([], np.int64)] * 4)
         ids = left["id"].to_numpy()
-        found = _best_in(_matrix(left, "vec"), ids, left["own"].to_numpy(), _matrix(right, "vec"), right["id"].to_numpy())
+        found = _best_in(matrix(left, "vec"), ids, left["own"].to_numpy(), matrix(right, "vec"), right["id"].to_numpy())
         at = found[0].astype(np.int64)
         return _result(left, keys, at, ids[at], found)
 
@@ -153,7 +153,7 @@ def near_pairs(nodes: DataFrame, keys: list[str], below: float, tile_rows: int =
     """All pairs of nodes nearer than ``below``, smaller id first: the answer of a similarity join."""
 
     def search(table: pa.Table) -> pa.Table:
-        ids, vectors = table["id"].to_numpy(), _matrix(table, "vec")
+        ids, vectors = table["id"].to_numpy(), matrix(table, "vec")
         tile, q = table["tile"].to_numpy(), table["q"][0].as_py()
         inner = table["p"][0].as_py() == q
         right = np.flatnonzero(tile == q)
