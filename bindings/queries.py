@@ -190,7 +190,7 @@ def clean_author(spark, sf_dir):
 
 @query
 def strip_feed_suffix(spark, sf_dir):
-    rows = B.document_entries(spark, sf_dir).join(B.feeds(spark, sf_dir), "feed_id")
+    rows = B.document_entries(spark, sf_dir).join(R.feed_dim(B.feeds(spark, sf_dir)), "feed_id")
     title = X.clean_html(F.col("title"))
     listed = X.is_aggregator(F.col("url"))
     return rows.select("seq", F.when(listed, X.strip_name_from_title(title, F.col("name"))).otherwise(title).alias("title"))
@@ -198,7 +198,7 @@ def strip_feed_suffix(spark, sf_dir):
 
 @query
 def feed_patterns(spark, sf_dir):
-    rows = B.document_entries(spark, sf_dir).join(B.feeds(spark, sf_dir), "feed_id")
+    rows = B.document_entries(spark, sf_dir).join(R.feed_dim(B.feeds(spark, sf_dir)), "feed_id")
     title = X.strip_prefix_pattern(X.clean_html(F.col("title")), F.col("title_prefix"))
     text = X.strip_prefix_pattern(X.clean_html(F.col("summary")), F.col("description_prefix"))
     return rows.select(

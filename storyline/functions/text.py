@@ -40,6 +40,12 @@ COMMON_ENTITIES = {
 #: What counts as white space: the Unicode property and the four separators Python also splits on.
 SPACE = r"[\s\x1c-\x1f]"
 
+#: The same as single characters, and the separators that a comparison of texts ignores.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+IGNORED = SPACES + "-–—|"
+
 
 @dataclass(frozen=True)
 class CleaningRules:
@@ -61,28 +67,32 @@ def _unescape(texts: pd.Series) -> pd.Series:
 def unescape_html(text: Column) -> Column:
     """HTML entities to characters, in one pass.
 
-    The common entities are replaced by Spark; only rows that hold another ``&`` are sent to Python.
+    Texts without ``&`` stay as they are, the common entities are replaced by Spark, and only rows that hold another
+    ``&`` are sent to Python.
     """
     names = "|".join(entity[1:-1] for entity in COMMON_ENTITIES)
-    rare = F.regexp_replace(text, f"&({names});", "").contains("&")
+    rare = text.contains("&") & F.regexp_replace(text, f"&({names});", "").contains("&")
     native = text
     for entity, character in COMMON_ENTITIES.items():
         native = F.replace(native, F.lit(entity), F.lit(character))
-    return F.coalesce(_unescape(F.when(rare, text)), native)
+    return F.coalesce(_unescape(F.when(rare, text)), F.when(text.contains("&"), native), text)
 
 
 def collapse_spaces(text: Column) -> Column:
+    """Runs of white space to one space, none at the ends."""
     return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
 
 
 def strip(text: Column) -> Column:
     """Drop white space at both ends."""
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def clean_html(text: Column) -> Column:
     """Unescape, delete tags, collapse white space; null reads as ""."""
-    return F.coalesce(collapse_spaces(F.regexp_replace(unescape_html(text), TAG, "")), F.lit(""))
+    plain = unescape_html(text)
+    untagged = F.when(plain.contains("<"), F.regexp_replace(plain, TAG, "")).otherwise(plain)
+    return F.coalesce(collapse_spaces(untagged), F.lit(""))
 
 
 def clean_author(author: Column) -> Column:
@@ -132,13 +142,19 @@ def comparison_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " "))
 
 
+def same_text(a: Column, b: Column) -> Column:
+    """Equal up to case, white space, dashes and bars. The first letters decide most rows before the full test."""
+    first = lambda c: F.left(F.ltrim(F.lower(c), F.lit(IGNORED)), F.lit(1))
+    return (first(a) == first(b)) & (comparison_form(a) == comparison_form(b))
+
+
 def blank_useless(description: Column, title: Column, rules: CleaningRules) -> Column:
     """"" for a filler, too short or title-repeating description."""
     useless = description.isin(list(rules.empty_values)) | (
         F.length(description) < rules.min_description_length
     )
     if rules.dedupe_title_description:
-        useless = useless | (comparison_form(description) == comparison_form(title))
+        useless = useless | same_text(description, title)
     return F.when(useless, F.lit("")).otherwise(description)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyline.functions.text import embedding_text
+from storyline.session import materialize
 
 # Fixed value: texts per provider call.
 BATCH_SIZE = 50
@@ -68,15 +68,14 @@ def embed(articles: DataFrame, provider: str, batch_size: int = BATCH_SIZE) -> D
 def embed_hashing(articles: DataFrame, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
     """Offline vectors: hashed words weighted by rarity, unit length. All inside the JVM."""
     texts = with_embedding_text(articles)
-    stages = [
-        RegexTokenizer(inputCol="embedding_text", outputCol="_words", pattern=r"(?U)\W+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),
-        IDF(inputCol="_counts", outputCol="_weights"),
-        Normalizer(inputCol="_weights", outputCol="_unit"),
-    ]
-    vectors = Pipeline(stages=stages).fit(texts).transform(texts)
+    words = RegexTokenizer(inputCol="embedding_text", outputCol="_words", pattern=r"(?U)\W+")
+    counter = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions)
+    # Texts are split once; the pass over all rows that weighs the words reads only their counts.
+    counted = materialize(counter.transform(words.transform(texts)).drop("_words"), "counted")
+    weighted = IDF(inputCol="_counts", outputCol="_weights").fit(counted.select("_counts")).transform(counted)
+    unit = Normalizer(inputCol="_weights", outputCol="_unit").transform(weighted)
     return (
-        vectors.withColumn("embedding", vector_to_array("_unit", "float32"))
+        unit.withColumn("embedding", vector_to_array("_unit", "float32"))
         .withColumn("provider", F.lit("hashing"))
-        .drop("_words", "_counts", "_weights", "_unit")
+        .drop("_counts", "_weights", "_unit")
     )

@@ -62,3 +62,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def even_parts(df: DataFrame) -> int:
+    """Tasks for a shuffle before a write of many files, whose cost is not in bytes, so adaptive merging is unwanted."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -24,9 +24,9 @@ def with_defaults(articles: DataFrame) -> DataFrame:
 def write_articles(articles: DataFrame, path: str) -> None:
     """Write issues, replacing only those in the batch; an empty batch changes nothing.
 
-    The range shuffle includes ``seq``, so a large issue becomes several even files.
+    Rows are gathered by issue, and adaptive execution splits a large issue into several even files.
     """
-    spread = articles.repartitionByRange(*ISSUE, "seq")
+    spread = articles.hint("rebalance", *[F.col(c) for c in ISSUE])
     spread.write.partitionBy(*ISSUE).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
@@ -58,9 +58,11 @@ def read_embeddings(spark: SparkSession, path: str, provider: str) -> DataFrame:
 
 
 def write_embeddings(embedded: DataFrame, path: str) -> None:
-    """Add embedded articles; providers stand in folders of their own."""
-    spread = embedded.repartitionByRange("provider", *ISSUE, "seq")
-    spread.write.partitionBy("provider", *ISSUE).mode("append").parquet(path)
+    """Add embedded articles; providers stand in folders of their own.
+
+    Rows are written where they were embedded: a shuffle would have to sample them, and so call the provider twice.
+    """
+    embedded.sortWithinPartitions("provider", *ISSUE).write.partitionBy("provider", *ISSUE).mode("append").parquet(path)
 
 
 def without_embedding(articles: DataFrame, stored: DataFrame) -> DataFrame:

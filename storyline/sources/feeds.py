@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from storyline.functions.text import CleaningRules
 from storyline.schema import FEEDS
+from storyline.session import even_parts, materialize
 
 #: Elements of a feed item that are read; the author may stand in either of two.
 ITEM = T.StructType(
@@ -52,17 +53,24 @@ def write_rss(entries: DataFrame, path: str) -> None:
     items = entries.select(
         "feed_id", "seq", "title", F.col("published").alias("pubDate"), "description", "summary", "author", "link"
     )
-    spread = items.repartitionByRange("feed_id", "seq").sortWithinPartitions("feed_id", "seq").drop("seq")
+    spread = items.repartitionByRange(even_parts(items), "feed_id", "seq").sortWithinPartitions("feed_id", "seq").drop("seq")
     spread.write.partitionBy("feed_id").format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
 
 
 def feed_dim(feeds: DataFrame) -> DataFrame:
-    """The feed dimension with its fixed columns; a missing pattern is null, a missing text "" ."""
+    """The feed dimension with its fixed columns; a missing pattern is null, a missing text "".
+
+    It is written once, so that Spark knows its size: a small one is broadcast to the entries, which then are not
+    shuffled, and one beyond the broadcast limit is joined by shuffle.
+    """
     have = set(feeds.columns)
     column = lambda n: F.col(n).cast("string") if n in have else F.lit(None).cast("string")
     texts = {"url", "country"}
-    return feeds.select(
-        *[(F.coalesce(column(f.name), F.lit("")) if f.name in texts else column(f.name)).alias(f.name) for f in FEEDS.fields]
+    return materialize(
+        feeds.select(
+            *[(F.coalesce(column(f.name), F.lit("")) if f.name in texts else column(f.name)).alias(f.name) for f in FEEDS.fields]
+        ),
+        "feeds",
     )
 
 
