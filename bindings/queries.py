@@ -280,7 +280,7 @@ def l2_normalize(spark, sf_dir):
 
 @query
 def cosine_pairs(spark, sf_dir):
-    rows = S.centroid_distances(B.labelled(spark, sf_dir), ISSUE)
+    rows = S.with_distances(B.labelled(spark, sf_dir), ISSUE)
     return rows.select("seq", "cluster_id", six("distance"))
 
 
@@ -524,7 +524,7 @@ def sources_view(spark, sf_dir):
 @query
 def briefing_context(spark, sf_dir):
     clustered, clusters = _analyzed(spark, sf_dir)
-    others = S.other_headlines(clustered.drop("embedding", "cluster_id"), clustered, clusters, ISSUE)
+    others = S.other_headlines(clustered.drop("embedding", "cluster_id", "distance"), clustered, clusters, ISSUE)
     rows = digests.briefing_context(clustered, clustered, clusters, others, B.episodes(spark, sf_dir))
     return rows.select(*issue(), "section", "rank", "block", "row", "line")
 
@@ -566,7 +566,7 @@ def daily_briefing(spark, sf_dir):
     """The whole daily run on documents: vectors, clusters, digest, other headlines, prompt lines."""
     embedded = E.embed_hashing(I.dedupe(B.articles(spark, sf_dir), ISSUE))
     clustered, clusters = analyze_day(embedded, X.CLUSTER_THRESHOLD)
-    others = S.other_headlines(clustered.drop("embedding", "cluster_id"), clustered, clusters, ISSUE)
+    others = S.other_headlines(clustered.drop("embedding", "cluster_id", "distance"), clustered, clusters, ISSUE)
     rows = digests.briefing_context(clustered, clustered, clusters, others, B.episodes(spark, sf_dir))
     return rows.select(*issue(), "section", "rank", "block", "row", "line")
 

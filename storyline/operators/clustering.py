@@ -18,10 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyline.functions.vectors import DISTANCE_DIGITS, l2_normalize, sum_of_squares
+from storyline.functions.vectors import DISTANCE_DIGITS, TINY, cosine_distance, l2_normalize, sum_of_squares
 from storyline.operators.components import connected_components
 from storyline.operators.nearest import TILE_ROWS, matrix, tie_order, nearest_within, tile_pairs, with_tiles
 from storyline.session import materialize
@@ -55,7 +57,7 @@ def _merge_in_task(threshold: float, linkage: str, keys: list[str]):
         all_ids = table["id"].to_numpy()
         usable = np.flatnonzero(table["vec"].is_valid().to_numpy(zero_copy_only=False))
         parent, height = {}, {}
-        if len(usable) > 1:
+        if len(usable):
             vectors, ids = matrix(table.take(pa.array(usable)), "vec"), all_ids[usable]
             size = table["n"].to_numpy()[usable].astype(np.float64)
             distance = 1.0 - vectors @ vectors.T
@@ -84,16 +86,25 @@ def _merge_in_task(threshold: float, linkage: str, keys: list[str]):
                 stay = np.ones(len(ids), bool)
                 stay[b] = False
                 ids, size, distance = ids[stay], size[stay], distance[np.ix_(stay, stay)]
-        paths = []
-        for node in all_ids:
-            path = []
+        paths, root = [], {}
+        for start in all_ids:
+            node, path = start, []
             while node in parent:
                 path.append({"cluster": parent[node], "height": height[node]})
                 node = parent[node]
             paths.append(path)
+            root[start] = node
+        distance = np.ones(len(all_ids))
+        if len(usable):
+            _, group = np.unique([root[i] for i in all_ids[usable]], return_inverse=True)
+            total = np.zeros((group.max() + 1, vectors.shape[1]))
+            np.add.at(total, group, vectors)
+            total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), TINY)
+            distance[usable] = 1.0 - (vectors * total[group]).sum(axis=1)
         columns = {key: table[key] for key in keys}
         columns["id"] = table["id"]
         columns["path"] = pa.array(paths, pa.list_(pa.struct([("cluster", pa.int64()), ("height", pa.float64())])))
+        columns["distance"] = pa.array(np.round(distance, DISTANCE_DIGITS))
         return pa.table(columns)
 
     return rounds
@@ -101,7 +112,7 @@ def _merge_in_task(threshold: float, linkage: str, keys: list[str]):
 
 def _tree_schema(df: DataFrame, keys: list[str]) -> str:
     types = ", ".join(f"`{key}` {df.schema[key].dataType.simpleString()}" for key in keys)
-    return f"{types}, id bigint, path {PATH}"
+    return f"{types}, id bigint, path {PATH}, distance double"
 
 
 def _local_tree(nodes: DataFrame, keys: list[str], threshold: float, linkage: str) -> DataFrame:
@@ -215,8 +226,26 @@ def _distributed_tree(
     start = members.select(
         *keys, "id", F.when(F.col("id") == F.col("node"), F.array().cast(PATH)).otherwise(copy).alias("path")
     )
-    alone = rows.filter(F.col("vec").isNull()).select(*keys, "id", F.array().cast(PATH).alias("path"))
-    return follow(start, links, keys).unionByName(alone)
+    tree = materialize(follow(start, links, keys), "tree")
+    whole = tree.withColumn("cluster_id", cluster_at(F.col("path"), F.col("id"), F.lit(threshold)))
+    far = centroid_distances(whole.join(usable, [*keys, "id"]), keys)
+    return far.select(*keys, "id", "path", "distance").unionByName(_alone(rows, keys, F.array().cast(PATH).alias("path")))
+
+
+def _alone(rows: DataFrame, keys: list[str], label: Column) -> DataFrame:
+    """Rows without a usable vector: groups of one."""
+    return rows.filter(F.col("vec").isNull()).select(*keys, "id", label, F.lit(1.0).alias("distance"))
+
+
+def centroid_distances(labelled: DataFrame, keys: list[str], vector: str = "vec") -> DataFrame:
+    """Replace the unit vector of each row by its distance from the mean of its cluster.
+
+    Partial sums leave each task, not vectors; the rows then meet one vector per cluster.
+    """
+    center = vector_to_array(Summarizer.mean(array_to_vector(F.col(vector)))).alias("_center")
+    centers = labelled.groupBy(*keys, "cluster_id").agg(center)
+    distance = F.round(cosine_distance(F.col(vector), F.col("_center")), DISTANCE_DIGITS)
+    return labelled.join(centers, [*keys, "cluster_id"]).withColumn("distance", distance).drop("_center", vector)
 
 
 def merge_tree(
@@ -256,15 +285,18 @@ def cluster_at(path: Column, own: Column, threshold: Column) -> Column:
 
 def cut(tree: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Labels at a threshold: ``keys, id, cluster_id``."""
-    return tree.select(*keys, "id", cluster_at(F.col("path"), F.col("id"), F.lit(threshold)).alias("cluster_id"))
+    return tree.select(*keys, "id", _label(threshold))
+
+
+def _label(threshold: float) -> Column:
+    return cluster_at(F.col("path"), F.col("id"), F.lit(threshold)).alias("cluster_id")
 
 
 def cut_many(tree: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
-    """Labels at several thresholds from one tree: ``keys, threshold, id, cluster_id``."""
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    return tree.select(*keys, grid, "id", "path").select(
-        *keys, "threshold", "id", cluster_at(F.col("path"), F.col("id"), F.col("threshold")).alias("cluster_id")
-    )
+    """Labels at several thresholds from one tree: ``keys, threshold, id, cluster_id`` and other columns it has."""
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    label = cluster_at(F.col("path"), F.col("id"), F.col("threshold"))
+    return tree.withColumn("threshold", grid).withColumn("cluster_id", label).drop("path")
 
 
 def _single_linkage(
@@ -385,32 +417,36 @@ def assign(
     local_limit: int = LOCAL_LIMIT,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Cluster labels at a threshold: ``keys, id, cluster_id``. Merges happen strictly below the threshold."""
+    """Labels at a threshold: ``keys, id, cluster_id, distance``, the distance being that from the cluster's mean.
+
+    Merges happen strictly below the threshold.
+    """
     check_linkage(linkage)
+    done = [*keys, "id", _label(threshold), "distance"]
     if linkage == "average":
-        tree = merge_tree(articles, keys, threshold, linkage, id_column, vector, local_limit, tile_rows)
-        return cut(tree, keys, threshold)
+        return merge_tree(articles, keys, threshold, linkage, id_column, vector, local_limit, tile_rows).select(*done)
     rows = unit_rows(articles, keys, id_column, vector)
     large = articles.groupBy(*keys).agg(F.count("*").alias("rows")).filter(F.col("rows") > local_limit).select(*keys)
     weighted = rows.withColumn("n", F.lit(1).cast("bigint"))
     if large.isEmpty():
-        return cut(_local_tree(weighted, keys, threshold, linkage), keys, threshold)
-    local = cut(_local_tree(weighted.join(large, keys, "left_anti"), keys, threshold, linkage), keys, threshold)
+        return _local_tree(weighted, keys, threshold, linkage).select(*done)
+    local = _local_tree(weighted.join(large, keys, "left_anti"), keys, threshold, linkage).select(*done)
     rest = materialize(rows.join(large, keys, "left_semi"), "vectors")
     usable = rest.filter(F.col("vec").isNotNull())
     nodes, members = _fold_copies(usable, keys)
     grouped = _single_linkage if linkage == "single" else _complete_rounds
     labels = grouped(nodes.select(*keys, "id", "vec"), keys, threshold, tile_rows)
     labels = members.join(labels.withColumnRenamed("id", "node"), [*keys, "node"]).select(*keys, "id", "cluster_id")
-    alone = rest.filter(F.col("vec").isNull()).select(*keys, "id", F.col("id").alias("cluster_id"))
-    return local.unionByName(labels).unionByName(alone)
+    far = centroid_distances(materialize(labels, "labels").join(usable, [*keys, "id"]), keys)
+    return local.unionByName(far).unionByName(_alone(rest, keys, F.col("id").alias("cluster_id")))
 
 
-def cluster_articles(articles: DataFrame, keys: list[str], threshold: float, **options) -> DataFrame:
-    """Articles with their ``cluster_id``; the vector travels along in its own row."""
-    id_column = options.get("id_column", "seq")
-    labels = assign(articles, keys, threshold, **options).withColumnRenamed("id", id_column)
-    return articles.join(labels, [*keys, id_column])
+def cluster_articles(
+    articles: DataFrame, keys: list[str], threshold: float, id_column: str = "seq", vector: str = "embedding", **options
+) -> DataFrame:
+    """Articles with ``cluster_id`` and ``distance`` in place of their vector, which is not moved a second time."""
+    labels = assign(articles, keys, threshold, id_column=id_column, vector=vector, **options)
+    return articles.drop(vector).join(labels.withColumnRenamed("id", id_column), [*keys, id_column])
 
 
 def with_cluster_size(clustered: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,16 +1,15 @@
 """Scores, representatives and classes of clusters.
 
-Input: ``keys, seq, source, title, description, link, cluster_id`` and, for representatives, ``embedding``.
+Input: ``keys, seq, source, title, description, link, cluster_id`` and, for representatives, ``distance`` or ``embedding``.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyline.functions.vectors import DISTANCE_DIGITS, cosine_distance, l2_normalize
+from storyline.functions.vectors import l2_normalize
+from storyline.operators.clustering import centroid_distances
 from storyline.operators.ordering import first_rows
 
 # Class rules.
@@ -37,17 +36,11 @@ def cluster_metrics(clustered: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def centroids(clustered: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of the unit vectors per cluster; partial sums leave each task, not vectors."""
-    unit = array_to_vector(l2_normalize(F.col("embedding")))
-    return clustered.groupBy(*keys, "cluster_id").agg(vector_to_array(Summarizer.mean(unit)).alias("centroid"))
-
-
-def centroid_distances(clustered: DataFrame, keys: list[str]) -> DataFrame:
-    """Each article's distance from its cluster's centroid."""
-    distance = F.round(cosine_distance(F.col("embedding").cast("array<double>"), F.col("centroid")), DISTANCE_DIGITS)
-    joined = clustered.join(centroids(clustered, keys), [*keys, "cluster_id"])
-    return joined.withColumn("distance", distance).drop("centroid", "embedding")
+def with_distances(clustered: DataFrame, keys: list[str]) -> DataFrame:
+    """Each article's distance from the mean of its cluster; clustering brings it along already."""
+    if "distance" in clustered.columns:
+        return clustered
+    return centroid_distances(clustered.withColumn("embedding", l2_normalize(F.col("embedding"))), keys, "embedding")
 
 
 def medoids(clustered: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,7 +50,7 @@ def medoids(clustered: DataFrame, keys: list[str]) -> DataFrame:
         F.struct("distance", "seq"),
     )
     return (
-        centroid_distances(clustered, keys)
+        with_distances(clustered, keys)
         .groupBy(*keys, "cluster_id")
         .agg(picked.alias("m"))
         .select(*keys, "cluster_id", "m.*")
