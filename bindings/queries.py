@@ -18,7 +18,6 @@ from storyline.operators import clustering as C
 from storyline.operators import embed as E
 from storyline.operators import ingest as I
 from storyline.operators import stories as S
-from storyline.operators.nearest import near_pairs
 from storyline.operators.ordering import positions
 from storyline.plans import catalog, digests, evaluation, views
 from storyline.plans.analysis import daily_analysis as analyze_day
@@ -414,8 +413,7 @@ def attach_embeddings(spark, sf_dir):
 
 @query
 def similarity_join(spark, sf_dir):
-    rows = C.unit_rows(B.vectors(spark, sf_dir), ISSUE).filter("vec is not null")
-    return near_pairs(rows, ISSUE, 0.75).select("id", "partner", six("distance"))
+    return C.similarity_join(B.vectors(spark, sf_dir), ISSUE, 0.75).select("id", "partner", six("distance"))
 
 
 @query

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from storyline.functions.vectors import DISTANCE_DIGITS, TINY, cosine_distance, l2_normalize, sum_of_squares
 from storyline.operators.components import connected_components
-from storyline.operators.nearest import TILE_ROWS, matrix, tie_order, nearest_within, tile_pairs, with_tiles
+from storyline.operators.nearest import TILE_ROWS, matrix, near_pairs, nearest_within, tie_order, tile_pairs, with_tiles
 from storyline.session import materialize
 
 #: Rows of an issue that one task takes whole: a 4,096 square of doubles is 128 MB.
@@ -49,6 +49,27 @@ def unit_rows(articles: DataFrame, keys: list[str], id_column: str = "seq", vect
     return plain.withColumn("vec", F.when(usable, F.col("vec")))
 
 
+def similarity_join(
+    articles: DataFrame, keys: list[str], below: float, id_column: str = "seq", vector: str = "embedding"
+) -> DataFrame:
+    """Pairs of articles of an issue nearer than ``below``: ``keys, id, partner, distance, copies, partner_copies``.
+
+    Equal vectors stand as one row with their number, so a group of copies does not become all its pairs; a row with
+    ``id = partner`` says that the group has copies. Clustering does not need this table.
+    """
+    usable = unit_rows(articles, keys, id_column, vector).filter(F.col("vec").isNotNull())
+    nodes, _ = _fold_copies(usable, keys)
+    counts = nodes.select(*keys, "id", F.col("n").alias("copies"))
+    pairs = near_pairs(nodes.select(*keys, "id", "vec"), keys, below)
+    found = pairs.join(counts, [*keys, "id"]).join(
+        counts.select(*keys, F.col("id").alias("partner"), F.col("copies").alias("partner_copies")), [*keys, "partner"]
+    )
+    same = counts.filter("copies > 1").select(
+        *keys, "id", F.col("id").alias("partner"), F.lit(0.0).alias("distance"), "copies", F.col("copies").alias("partner_copies")
+    )
+    return found.select(*same.columns).unionByName(same)
+
+
 def _merge_in_task(threshold: float, linkage: str, keys: list[str]):
     """The rounds of one bounded issue: merge all mutual nearest pairs, renew the distances, repeat."""
 
@@ -83,7 +104,8 @@ def _merge_in_task(threshold: float, linkage: str, keys: list[str]):
                     else:
                         side[a] = (np.maximum if linkage == "complete" else np.minimum)(side[a], side[b])
                 size[a] += size[b]
-                stay = np.ones(len(ids), bool)
+                # What has no partner below the threshold never gets one: a merged group is no nearer than its parts.
+                stay = least < threshold
                 stay[b] = False
                 ids, size, distance = ids[stay], size[stay], distance[np.ix_(stay, stay)]
         paths, root = [], {}
@@ -153,14 +175,18 @@ def _weighted_mean(parts: Column) -> Column:
     return F.when(F.size(parts) == 1, a["vec"]).otherwise(mixed)
 
 
-def _merged_nodes(nodes: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
-    """The groups after a round, for the issues in which something merged."""
+def _merged_nodes(nodes: DataFrame, best: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
+    """The groups after a round.
+
+    A group without a partner below the threshold never gets one, since a merged group is no nearer than the nearer
+    of its parts; such groups are final and leave the rounds.
+    """
     moving = merges.select(*keys, F.col("child").alias("id"), "parent")
-    active = merges.select(*keys).distinct()
-    joined = nodes.join(active, keys, "left_semi").join(moving, [*keys, "id"], "left")
+    active = nodes.join(best.select(*keys, "id"), [*keys, "id"], "left_semi")
     # At most two rows share a target, so the list below is bounded, and a sum of two has no order.
     return (
-        joined.groupBy(*keys, F.coalesce("parent", "id").alias("id"))
+        active.join(moving, [*keys, "id"], "left")
+        .groupBy(*keys, F.coalesce("parent", "id").alias("id"))
         .agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "vec")).alias("parts"))
         .select(*keys, "id", "n", _weighted_mean(F.col("parts")).alias("vec"))
     )
@@ -204,7 +230,7 @@ def _distributed_tree(
     while True:
         counts = nodes.groupBy(*keys).agg(F.count("*").alias("rows"))
         fits = F.col("rows") <= local_limit
-        # Two totals, not a list of issues. Issues where nothing merged any more have left ``nodes``.
+        # Two totals, not a list of issues. Finished groups have left ``nodes``.
         found = counts.agg(F.count_if(fits).alias("small"), F.count_if(~fits).alias("large")).first()
         if found.small:
             ready = nodes.join(counts.filter(fits), keys, "left_semi")
@@ -214,11 +240,12 @@ def _distributed_tree(
             nodes = nodes.join(counts.filter(~fits), keys, "left_semi")
         if not found.large:
             break
-        merges = materialize(mutual_pairs(nearest_within(nodes, keys, threshold, tile_rows), keys), "merges")
+        best = materialize(nearest_within(nodes, keys, threshold, tile_rows), "best")
+        merges = mutual_pairs(best, keys)
         step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
         merged = merges.select(*keys, F.col("child").alias("id"), step.alias("path"))
         links = merged if links is None else links.unionByName(merged)
-        nodes = materialize(_merged_nodes(nodes, merges, keys), "nodes")
+        nodes = materialize(_merged_nodes(nodes, best, merges, keys), "nodes")
     if links is None:
         links = nodes.limit(0).select(*keys, "id", F.array().cast(PATH).alias("path"))
     links = materialize(links, "links")
@@ -375,6 +402,7 @@ def _complete_rounds(rows: DataFrame, keys: list[str], threshold: float, tile_ro
 
     schema = f"{types}, id bigint, partner bigint, distance double, tie bigint, needed bigint"
     state = rows.withColumn("cluster_id", F.col("id"))
+    done = None
     while True:
         size = state.groupBy(*keys, "cluster_id").agg(F.ceil(F.count("*") / tile_rows).alias("parts"))
         counts = state.groupBy(*keys).agg(F.ceil(F.count("*") / tile_rows).alias("tiles"))
@@ -395,14 +423,17 @@ def _complete_rounds(rows: DataFrame, keys: list[str], threshold: float, tile_ro
             .agg(F.min(F.struct("distance", "tie", "partner")).alias("best"))
             .select(*keys, "id", "best.partner", "best.distance")
         )
-        merges = materialize(mutual_pairs(best, keys), "merges")
-        if merges.isEmpty():
-            return state.select(*keys, "id", "cluster_id")
-        moving = merges.select(*keys, F.col("child").alias("cluster_id"), "parent")
+        best = materialize(best, "best")
+        active = best.select(*keys, F.col("id").alias("cluster_id"))
+        final = state.join(active, [*keys, "cluster_id"], "left_anti").select(*keys, "id", "cluster_id")
+        done = final if done is None else done.unionByName(final)
+        if best.isEmpty():
+            return done
+        moving = mutual_pairs(best, keys).select(*keys, F.col("child").alias("cluster_id"), "parent")
         state = materialize(
-            state.join(moving, [*keys, "cluster_id"], "left").select(
-                *keys, "id", "vec", F.coalesce("parent", "cluster_id").alias("cluster_id")
-            ),
+            state.join(active, [*keys, "cluster_id"], "left_semi")
+            .join(moving, [*keys, "cluster_id"], "left")
+            .select(*keys, "id", "vec", F.coalesce("parent", "cluster_id").alias("cluster_id")),
             "state",
         )
 

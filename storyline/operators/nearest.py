@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 from storyline.functions.vectors import DISTANCE_DIGITS
 
-#: Rows per tile: two tiles of 4,096 vectors with 1,024 doubles are 64 MB in a task.
-TILE_ROWS = 4096
+#: Largest number of rows in a tile: two tiles of vectors with 1,024 doubles are 256 MB in a task. Larger tiles mean
+#: fewer copies of each row; blocks of less than 16 such tiles use smaller ones, so that they still fill many tasks.
+TILE_ROWS = 16384
+SPREAD = 16
+
+#: Rows per tile when the near pairs themselves are the answer: all pairs of two tiles are then at most 100 MB.
+PAIR_TILE_ROWS = 2048
 
 #: Cells of a distance matrix a task holds at once.
 MATRIX_CELLS = 1 << 24
@@ -24,12 +29,15 @@ MATRIX_CELLS = 1 << 24
 
 def with_tiles(df: DataFrame, keys: list[str], tile_rows: int, tiles: str, tile: str) -> DataFrame:
     """Add the number of tiles of the row's block and the row's own tile."""
-    counts = df.groupBy(*keys).agg(F.ceil(F.count("*") / tile_rows).alias(tiles))
+    rows = F.count("*")
+    number = F.greatest(F.ceil(rows / tile_rows), F.least(F.lit(SPREAD).cast("bigint"), F.ceil(rows * 4 / tile_rows)))
+    counts = df.groupBy(*keys).agg(number.alias(tiles))
     return df.join(counts, keys).withColumn(tile, F.pmod(F.xxhash64("id"), F.col(tiles)))
 
 
 def matrix(table: pa.Table, column: str) -> np.ndarray:
-    return np.vstack([np.reshape(c.flatten().to_numpy(zero_copy_only=False), (len(c), -1)) for c in table[column].chunks])
+    chunks = [c for c in table[column].chunks if len(c)]
+    return np.vstack([np.reshape(c.flatten().to_numpy(zero_copy_only=False), (len(c), -1)) for c in chunks])
 
 
 def tie_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,7 +51,10 @@ def tie_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _best_in(rows: np.ndarray, row_ids: np.ndarray, row_own: np.ndarray, others: np.ndarray, other_ids: np.ndarray):
     """For each row the nearest of ``others`` that is not ``row_own``: positions, partner ids, distances, ties."""
-    step = max(1, MATRIX_CELLS // max(1, len(others)))
+    none = np.array([], np.int64)
+    if not len(rows) or not len(others):
+        return [none, none, none, none]
+    step = max(1, MATRIX_CELLS // len(others))
     found = []
     for start in range(0, len(rows), step):
         part = slice(start, start + step)
@@ -55,7 +66,7 @@ def _best_in(rows: np.ndarray, row_ids: np.ndarray, row_own: np.ndarray, others:
         order = np.lexsort((other_ids[c], tie, r))
         first = order[np.unique(r[order], return_index=True)[1]]
         found.append((r[first] + start, other_ids[c[first]], least[r[first]], tie[first]))
-    return [np.concatenate(column) for column in zip(*found)] if found else [np.array([])] * 4
+    return [np.concatenate(column) for column in zip(*found)]
 
 
 def _result(source: pa.Table, keys: list[str], at: np.ndarray, ids: np.ndarray, found) -> pa.Table:
@@ -130,7 +141,8 @@ def nearest_other(
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _result(left, keys, np.array([], np.int64), np.array([], np.int64), [np.array([], np.int64)] * 4)
+            none = np.array([], np.int64)
+            return _result(left, keys, none, none, [none] * 4)
         ids = left["id"].to_numpy()
         found = _best_in(matrix(left, "vec"), ids, left["own"].to_numpy(), matrix(right, "vec"), right["id"].to_numpy())
         at = found[0].astype(np.int64)
@@ -149,8 +161,8 @@ def nearest_other(
     return _keep_best(matched, keys, None)
 
 
-def near_pairs(nodes: DataFrame, keys: list[str], below: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """All pairs of nodes nearer than ``below``, smaller id first: the answer of a similarity join."""
+def near_pairs(nodes: DataFrame, keys: list[str], below: float, tile_rows: int = PAIR_TILE_ROWS) -> DataFrame:
+    """All pairs of nodes nearer than ``below``, smaller id first. Far pairs never leave a task."""
 
     def search(table: pa.Table) -> pa.Table:
         ids, vectors = table["id"].to_numpy(), matrix(table, "vec")

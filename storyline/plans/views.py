@@ -60,10 +60,9 @@ def story_domains(viewed: DataFrame, keys: list[str] = ISSUE, limit: int = CARD_
 
 def story_cards(clustered: DataFrame, keys: list[str] = ISSUE, strict_view: bool = False) -> DataFrame:
     """One row per story of two or more articles, ranked by importance."""
-    shared = with_cluster_size(clustered, keys).filter("cluster_size >= 2")
-    metrics = cluster_metrics(shared, keys).drop("sources")
-    domains = story_domains(with_view_columns(shared.drop("embedding"), strict_view), keys)
-    cards = metrics.join(medoids(shared, keys), [*keys, "cluster_id"]).join(domains, [*keys, "cluster_id"], "left")
+    metrics = cluster_metrics(clustered, keys).drop("sources").filter("size >= 2")
+    domains = story_domains(with_view_columns(clustered.drop("embedding"), strict_view), keys)
+    cards = metrics.join(medoids(clustered, keys), [*keys, "cluster_id"]).join(domains, [*keys, "cluster_id"], "left")
     cards = cards.withColumns(
         {"icons": F.coalesce("icons", F.array().cast("array<string>")), "more": F.coalesce("more", F.lit(0))}
     )

@@ -99,3 +99,23 @@ def test_unknown_linkage(spark):
         C.assign(df, KEYS, 0.4, "ward")
     with pytest.raises(ValueError, match="unknown"):
         C.assign(df, KEYS, 0.4, "centroid")
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_distance_from_the_mean_agrees_on_all_paths(spark, linkage):
+    vectors = clumps(13, 40)
+    df = frame(spark, {"s": vectors})
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    expected = greedy(vectors, 0.3, linkage)
+    for options in ({}, {"local_limit": 8, "tile_rows": 16}):
+        for row in C.assign(df, KEYS, 0.3, linkage, **options).collect():
+            mean = u[expected == row.cluster_id].mean(axis=0)
+            assert row.distance == pytest.approx(1 - u[row.id] @ mean / np.linalg.norm(mean), abs=1e-9)
+
+
+def test_similarity_join_folds_copies(spark):
+    vectors = np.r_[clumps(4, 12), np.repeat(clumps(5, 1), 6, axis=0)]
+    found = {(r.id, r.partner): (r.copies, r.partner_copies) for r in C.similarity_join(frame(spark, {"s": vectors}), KEYS, 0.4).collect()}
+    u = vectors[:13] / np.linalg.norm(vectors[:13], axis=1, keepdims=True)
+    expected = {(a, b): (1, 6 if b == 12 else 1) for a, b in zip(*np.nonzero(np.triu(1 - u @ u.T < 0.4, 1)))}
+    assert found == {**expected, (12, 12): (6, 6)}
