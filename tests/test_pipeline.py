@@ -146,11 +146,13 @@ def test_sweep_matches_pairwise_metrics(spark, sample):
 def test_suggested_threshold(spark):
     schema = "show string, threshold double, silhouette double, pct_clustered double, task_score double"
     rows = [("a", 0.1, 0.9, 10.0, 9.0), ("a", 0.2, 0.4, 30.0, 2.0), ("a", 0.3, 0.31, 40.0, 5.0), ("a", 0.4, 0.29, 50.0, 9.0), ("a", 0.5, 0.35, 60.0, 5.0),
-            ("b", 0.1, None, 50.0, 1.0), ("b", 0.2, None, 60.0, 3.0), ("b", 0.3, 0.5, 10.0, 3.0)]
+            ("b", 0.1, None, 50.0, 1.0), ("b", 0.2, None, 60.0, 3.0), ("b", 0.3, 0.5, 10.0, 3.0),
+            ("c", 0.1, -0.1, 50.0, 1.0), ("c", 0.2, -0.2, 60.0, 3.0)]
     found = {r.show: r for r in evaluation.suggest_threshold(spark.createDataFrame(rows, schema), ["show"]).collect()}
     assert found["a"].threshold == 0.3
     assert found["a"].reason == "silhouette peak=0.4000 (pct_clustered>=20%), quality band=[0.20, 0.50], chosen silhouette=0.3100, task_score=5.00"
     assert found["b"].threshold == 0.2 and found["b"].reason.startswith("fallback") and found["b"].reason.endswith("max task_score=3.0")
+    assert found["c"].threshold == 0.2 and "[0.10, 0.20]" in found["c"].reason
     assert evaluation.threshold_grid()[0] == 0.1 and len(evaluation.threshold_grid()) == 31 and evaluation.threshold_grid()[-1] == 0.7
 
 
