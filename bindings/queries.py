@@ -22,7 +22,7 @@ from storyline.operators.ordering import positions
 from storyline.plans import catalog, digests, evaluation, views
 from storyline.plans.analysis import daily_analysis as analyze_day
 from storyline.schema import ISSUE
-from storyline.session import new_path
+from storyline.session import materialize, new_path
 from storyline.sources import articles as A
 from storyline.sources import episodes as P
 from storyline.sources import feeds as R
@@ -153,7 +153,7 @@ def episode_catalog(spark, sf_dir):
 
 def _analyzed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     clustered = B.labelled(spark, sf_dir)
-    return clustered, S.analyze(clustered, ISSUE)
+    return clustered, materialize(S.analyze(clustered, ISSUE), "clusters")
 
 
 @query
@@ -538,7 +538,7 @@ def hac_average(spark, sf_dir):
 @query
 def hac_average_rounds(spark, sf_dir):
     """The same clustering with every merge found by the distributed rounds."""
-    return C.assign(B.vectors(spark, sf_dir), ISSUE, NEAR, local_limit=64, tile_rows=512).select("id", "cluster_id")
+    return C.assign(B.vectors(spark, sf_dir), ISSUE, NEAR, local_limit=64, tile_rows=2048).select("id", "cluster_id")
 
 
 @query

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from storyline.functions.vectors import DISTANCE_DIGITS, TINY, cosine_distance, l2_normalize, sum_of_squares
 from storyline.operators.components import connected_components
-from storyline.operators.nearest import TILE_ROWS, matrix, near_pairs, nearest_within, tie_order, tile_pairs, with_tiles
+from storyline.operators.nearest import TILE_ROWS, issue_sizes, matrix, near_pairs, nearest_within, tie_order, tile_pairs, with_tiles
 from storyline.session import materialize
 
 #: Rows of an issue that one task takes whole: a 4,096 square of doubles is 128 MB.
@@ -228,7 +228,7 @@ def _distributed_tree(
     nodes, members = _fold_copies(usable, keys)
     links = None
     while True:
-        counts = nodes.groupBy(*keys).agg(F.count("*").alias("rows"))
+        counts = issue_sizes(nodes, keys)
         fits = F.col("rows") <= local_limit
         # Two totals, not a list of issues. Finished groups have left ``nodes``.
         found = counts.agg(F.count_if(fits).alias("small"), F.count_if(~fits).alias("large")).first()
@@ -240,7 +240,7 @@ def _distributed_tree(
             nodes = nodes.join(counts.filter(~fits), keys, "left_semi")
         if not found.large:
             break
-        best = materialize(nearest_within(nodes, keys, threshold, tile_rows), "best")
+        best = materialize(nearest_within(nodes, keys, threshold, tile_rows, counts), "best")
         merges = mutual_pairs(best, keys)
         step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
         merged = merges.select(*keys, F.col("child").alias("id"), step.alias("path"))
@@ -275,6 +275,12 @@ def centroid_distances(labelled: DataFrame, keys: list[str], vector: str = "vec"
     return labelled.join(centers, [*keys, "cluster_id"]).withColumn("distance", distance).drop("_center", vector)
 
 
+def _large_issues(articles: DataFrame, keys: list[str], local_limit: int) -> DataFrame:
+    """Issues that no single task may take; there are at most ``rows / local_limit`` of them."""
+    counts = articles.groupBy(*keys).agg(F.count("*").alias("rows"))
+    return materialize(counts.filter(F.col("rows") > local_limit).select(*keys), "large")
+
+
 def merge_tree(
     articles: DataFrame,
     keys: list[str],
@@ -292,8 +298,7 @@ def merge_tree(
     check_linkage(linkage)
     rows = unit_rows(articles, keys, id_column, vector)
     # Counts read the issue columns only, so this check does not touch the vectors.
-    sizes = articles.groupBy(*keys).agg(F.count("*").alias("rows"))
-    large = sizes.filter(F.col("rows") > local_limit).select(*keys)
+    large = _large_issues(articles, keys, local_limit)
     weighted = rows.withColumn("n", F.lit(1).cast("bigint"))
     if large.isEmpty():
         return _local_tree(weighted, keys, threshold, linkage)
@@ -405,10 +410,10 @@ def _complete_rounds(rows: DataFrame, keys: list[str], threshold: float, tile_ro
     done = None
     while True:
         size = state.groupBy(*keys, "cluster_id").agg(F.ceil(F.count("*") / tile_rows).alias("parts"))
-        counts = state.groupBy(*keys).agg(F.ceil(F.count("*") / tile_rows).alias("tiles"))
+        counts = issue_sizes(state, keys)
         tiled = (
             state.join(size, [*keys, "cluster_id"])
-            .join(counts, keys)
+            .join(counts.select(*keys, F.ceil(F.col("rows") / tile_rows).alias("tiles")), keys)
             .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
             .withColumn("tile", F.pmod(F.xxhash64("cluster_id", "part"), F.col("tiles")))
         )
@@ -457,7 +462,7 @@ def assign(
     if linkage == "average":
         return merge_tree(articles, keys, threshold, linkage, id_column, vector, local_limit, tile_rows).select(*done)
     rows = unit_rows(articles, keys, id_column, vector)
-    large = articles.groupBy(*keys).agg(F.count("*").alias("rows")).filter(F.col("rows") > local_limit).select(*keys)
+    large = _large_issues(articles, keys, local_limit)
     weighted = rows.withColumn("n", F.lit(1).cast("bigint"))
     if large.isEmpty():
         return _local_tree(weighted, keys, threshold, linkage).select(*done)

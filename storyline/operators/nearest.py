@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyline.functions.vectors import DISTANCE_DIGITS
+from storyline.session import materialize
 
 #: Largest number of rows in a tile: two tiles of vectors with 1,024 doubles are 256 MB in a task. Larger tiles mean
 #: fewer copies of each row; blocks of less than 16 such tiles use smaller ones, so that they still fill many tasks.
@@ -27,12 +28,21 @@ PAIR_TILE_ROWS = 2048
 MATRIX_CELLS = 1 << 24
 
 
-def with_tiles(df: DataFrame, keys: list[str], tile_rows: int, tiles: str, tile: str) -> DataFrame:
+def issue_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per block, written so that its size is known: joining it then moves no vectors unless it is very large."""
+    return materialize(df.groupBy(*keys).agg(F.count("*").alias("rows")), "sizes")
+
+
+def with_tiles(
+    df: DataFrame, keys: list[str], tile_rows: int, tiles: str, tile: str, sizes: DataFrame | None = None
+) -> DataFrame:
     """Add the number of tiles of the row's block and the row's own tile."""
-    rows = F.count("*")
+    rows = F.col("rows")
     number = F.greatest(F.ceil(rows / tile_rows), F.least(F.lit(SPREAD).cast("bigint"), F.ceil(rows * 4 / tile_rows)))
-    counts = df.groupBy(*keys).agg(number.alias(tiles))
-    return df.join(counts, keys).withColumn(tile, F.pmod(F.xxhash64("id"), F.col(tiles)))
+    sizes = issue_sizes(df, keys) if sizes is None else sizes
+    return df.join(sizes.select(*keys, number.alias(tiles)), keys).withColumn(
+        tile, F.pmod(F.xxhash64("id"), F.col(tiles))
+    )
 
 
 def matrix(table: pa.Table, column: str) -> np.ndarray:
@@ -103,7 +113,11 @@ def tile_pairs(tiled: DataFrame) -> DataFrame:
 
 
 def nearest_within(
-    nodes: DataFrame, keys: list[str], below: float | None = None, tile_rows: int = TILE_ROWS
+    nodes: DataFrame,
+    keys: list[str],
+    below: float | None = None,
+    tile_rows: int = TILE_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """For each node the nearest other node of its block: ``keys, id, partner, distance``.
 
@@ -125,7 +139,7 @@ def nearest_within(
             tables.append(_result(table, keys, at, ids[at], found))
         return pa.concat_tables(tables)
 
-    tiled = tile_pairs(with_tiles(nodes.select(*keys, "id", "vec"), keys, tile_rows, "tiles", "tile"))
+    tiled = tile_pairs(with_tiles(nodes.select(*keys, "id", "vec"), keys, tile_rows, "tiles", "tile", sizes))
     return _keep_best(
         tiled.groupBy(*keys, "p", "q").applyInArrow(search, _schema(nodes, keys)), keys, below
     )
@@ -152,8 +166,8 @@ def nearest_other(
     # Aliases give the right side columns of its own, also when both sides come from one table.
     groups = groups.select(*[F.col(c).alias(c) for c in (*keys, "id", "vec")])
     b = with_tiles(groups, keys, tile_rows, "right_tiles", "q")
-    a_tiles = a.select(*keys, "left_tiles").distinct()
-    b_tiles = b.select(*keys, "right_tiles").distinct()
+    a_tiles = materialize(a.select(*keys, "left_tiles").distinct(), "tiles")
+    b_tiles = materialize(b.select(*keys, "right_tiles").distinct(), "tiles")
     span = lambda column: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(column) - 1))
     a = a.join(b_tiles, keys).withColumn("q", span("right_tiles")).select(*keys, "id", "own", "vec", "p", "q")
     b = b.join(a_tiles, keys).withColumn("p", span("left_tiles")).select(*keys, "id", "vec", "p", "q")

@@ -25,7 +25,8 @@ def positions(df: DataFrame, groups: list[str], order: list[Column], name: str =
     runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
     # A group may be null, so the keys are compared null-safely; this is still an equi-join.
     keys = [*groups, "_part"]
-    runs = runs.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_first", "_before")
+    # Written, so that its size is known and the rows stay where they are while it is small.
+    runs = materialize(runs, "runs").select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_first", "_before")
     match = F.lit(True)
     for i, key in enumerate(keys):
         match = match & F.col(key).eqNullSafe(F.col(f"_key{i}"))

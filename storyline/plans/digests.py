@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storyline.operators.ordering import positions
 from storyline.operators.stories import PRINTED_STORIES, story_members, top_stories
 from storyline.schema import ISSUE
+from storyline.session import materialize
 
 # Wording of the digest and of the prompt.
 DIGEST_TITLE = "# Coverage Pulse - "
@@ -41,7 +42,8 @@ def stories_digest(
 
     Rank 0 is the heading, which every issue with clusters has.
     """
-    stories = top_stories(clusters, keys, limit)
+    # A few rows per issue, written so that the joins with articles know it.
+    stories = materialize(top_stories(clusters, keys, limit), "stories")
     day = F.date_format("issue_date", "yyyy-MM-dd")
     heads = F.array(F.concat(F.lit(DIGEST_TITLE), day), F.lit(""))
     heading = clusters.select(*keys).distinct().select(*keys, F.posexplode(heads))

@@ -12,6 +12,7 @@ from storyline.operators.clustering import with_cluster_size
 from storyline.operators.ordering import first_rows, positions
 from storyline.operators.stories import cluster_metrics, medoids, story_order
 from storyline.schema import ISSUE
+from storyline.session import materialize
 
 # Fixed value: icons shown on a card.
 CARD_ICONS = 6
@@ -119,5 +120,5 @@ def sources_view(clustered: DataFrame, keys: list[str] = ISSUE, strict_view: boo
 def source_listing(articles: DataFrame, keys: list[str] = ISSUE) -> DataFrame:
     """Articles grouped by source, sources by name: each row knows its place and its source's count."""
     named = articles.filter(F.col("source").isNotNull())
-    counts = named.groupBy(*keys, "source").agg(F.count("*").alias("source_articles"))
+    counts = materialize(named.groupBy(*keys, "source").agg(F.count("*").alias("source_articles")), "counts")
     return positions(named, [*keys, "source"], [F.col("seq")]).join(counts, [*keys, "source"])
