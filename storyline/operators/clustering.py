@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from storyline.functions.vectors import DISTANCE_DIGITS, TINY, cosine_distance, l2_normalize, sum_of_squares
 from storyline.operators.components import connected_components
-from storyline.operators.nearest import TILE_ROWS, issue_sizes, matrix, near_pairs, nearest_within, tie_order, tile_pairs, with_tiles
+from storyline.operators.nearest import TILE_ROWS, issue_sizes, matrix, near_pairs, nearest_cells, nearest_within, tie_order, tile_pairs, with_tiles
 from storyline.session import materialize
 
 #: Rows of an issue that one task takes whole: a 4,096 square of doubles is 128 MB.
@@ -84,15 +84,13 @@ def _merge_in_task(threshold: float, linkage: str, keys: list[str]):
             distance = 1.0 - vectors @ vectors.T
             while len(ids) > 1:
                 np.fill_diagonal(distance, np.inf)
-                seen = np.round(distance, DISTANCE_DIGITS)
-                least = seen.min(axis=1)
-                r, c = np.nonzero((seen == least[:, None]) & (least < threshold)[:, None])
-                if not len(r):
+                r, c, near, _ = nearest_cells(distance.min(axis=1), distance, ids, ids)
+                least = np.full(len(ids), np.inf)
+                least[r] = near
+                if not (least < threshold).any():
                     break
-                order = np.lexsort((ids[c], tie_order(ids[r], ids[c]), r))
-                first = order[np.unique(r[order], return_index=True)[1]]
                 best = np.full(len(ids), -1)
-                best[r[first]] = c[first]
+                best[r] = np.where(near < threshold, c, -1)
                 a = np.flatnonzero((best >= 0) & (best[best] == np.arange(len(ids))) & (np.arange(len(ids)) < best))
                 b = best[a]
                 for one, other in zip(a, b):

@@ -59,6 +59,19 @@ def tie_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(1)).astype(np.int64)
 
 
+def nearest_cells(least: np.ndarray, distance: np.ndarray, row_ids: np.ndarray, other_ids: np.ndarray):
+    """The chosen cell of each row: row, column, rounded distance, tie. ``least`` is the smallest value per row.
+
+    Only cells that may round to the least value are rounded and compared, not the whole matrix.
+    """
+    close = distance <= (least + 2 * 10.0**-DISTANCE_DIGITS)[:, None]
+    r, c = np.nonzero(close & np.isfinite(least)[:, None])
+    rounded, tie = np.round(distance[r, c], DISTANCE_DIGITS), tie_order(row_ids[r], other_ids[c])
+    order = np.lexsort((other_ids[c], tie, rounded, r))
+    first = order[np.unique(r[order], return_index=True)[1]]
+    return r[first], c[first], rounded[first], tie[first]
+
+
 def _best_in(rows: np.ndarray, row_ids: np.ndarray, row_own: np.ndarray, others: np.ndarray, other_ids: np.ndarray):
     """For each row the nearest of ``others`` that is not ``row_own``: positions, partner ids, distances, ties."""
     none = np.array([], np.int64)
@@ -68,14 +81,10 @@ def _best_in(rows: np.ndarray, row_ids: np.ndarray, row_own: np.ndarray, others:
     found = []
     for start in range(0, len(rows), step):
         part = slice(start, start + step)
-        distance = np.round(1.0 - rows[part] @ others.T, DISTANCE_DIGITS)
-        distance[row_own[part][:, None] == other_ids[None, :]] = np.inf
-        least = distance.min(axis=1)
-        r, c = np.nonzero((distance == least[:, None]) & np.isfinite(least)[:, None])
-        tie = tie_order(row_ids[part][r], other_ids[c])
-        order = np.lexsort((other_ids[c], tie, r))
-        first = order[np.unique(r[order], return_index=True)[1]]
-        found.append((r[first] + start, other_ids[c[first]], least[r[first]], tie[first]))
+        likeness = rows[part] @ others.T
+        likeness[row_own[part][:, None] == other_ids[None, :]] = -np.inf
+        r, c, distance, tie = nearest_cells(1.0 - likeness.max(axis=1), 1.0 - likeness, row_ids[part], other_ids)
+        found.append((r + start, other_ids[c], distance, tie))
     return [np.concatenate(column) for column in zip(*found)]
 
 
