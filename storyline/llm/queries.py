@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import chat, decontamination, language, neardup, packing, sharding, toxicity, warc
+from storyline.llm import chat, decontamination, language, neardup, ngramjoin, packing, sharding, suffixtree, toxicity, warc
 from storyline.llm.common import table, text_remainder
 
 
@@ -74,6 +74,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngramjoin.join(docs).select("doc_id", "n_links", "class_id", "kept")
+
+
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixtree.score(docs, text_remainder("doc_id", 7) == 2)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_digests(packing.pack(docs))
@@ -101,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_fixity": op4_warc_fixity,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_suffix_tree": op8_suffix_tree,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
 }
