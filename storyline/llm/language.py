@@ -124,7 +124,7 @@ def train(docs: DataFrame, fold: Column | None = None, per_language: int = SAMPL
 
     found = rows.filter(chosen).mapInArrow(sets, "lang string, key bigint, bits binary").filter("bits is not null").distinct().collect()
     found = sorted({(r["key"], r["lang"], bytes(r["bits"])) for r in found})
-    matrix = np.unpackbits(np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(len(found), -1), axis=1)
+    matrix = np.unpackbits(np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(-1, BINS // 8), axis=1)
     return fit(matrix, [r[1] for r in found])
 
 

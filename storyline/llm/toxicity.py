@@ -109,17 +109,22 @@ def fit(lists: list[np.ndarray], labels: list[int]) -> FactorizationMachine:
         seen = [s + m**2 for s, m in zip(seen, moves)]
         bias, weights, factors = (v - RATE * m / np.sqrt(s) for v, m, s in zip((bias, weights, factors), moves, seen))
     value = _margin(bias, weights, factors, row, at, len(y))[0]
-    return FactorizationMachine(float(bias) - boundary(value, y) + float(np.log(TOXIC_FROM / (1 - TOXIC_FROM))), bins, weights, factors)
+    return FactorizationMachine(float(bias) + shift(value, y), bins, weights, factors)
 
 
-def boundary(value: np.ndarray, y: np.ndarray) -> float:
-    """The value that parts the classes of the sample best, halfway between its neighbours; it is to score ``TOXIC_FROM``."""
+def shift(value: np.ndarray, y: np.ndarray) -> float:
+    """What to add so that the cut that parts the classes of the sample best, halfway between its neighbours, scores ``TOXIC_FROM``.
+
+    Nothing, if no cut tells at least half of one class from the other.
+    """
     order = np.argsort(value, kind="stable")
     value, toxic = value[order], y[order] == 1
     kept = np.cumsum(~toxic) / max(1, (~toxic).sum()) - np.cumsum(toxic) / max(1, toxic.sum())  # if the cut is after each
     kept[:-1][value[1:] == value[:-1]] = -np.inf
-    best = int(np.argmax(kept[:-1])) if len(value) > 1 else 0
-    return float((value[best] + value[min(best + 1, len(value) - 1)]) / 2)
+    best = int(np.argmax(kept[:-1]))
+    if kept[best] < 0.5:
+        return 0.0
+    return float(np.log(TOXIC_FROM / (1 - TOXIC_FROM)) - (value[best] + value[best + 1]) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, per_class: int = SAMPLE_PER_CLASS) -> FactorizationMachine:
