@@ -107,10 +107,10 @@ OTHERS = r"""others AS (
       AND b.source = a.source AND b.title = a.title))"""
 
 EPISODE = r"""episode AS (
-  SELECT CAST(conv_id AS VARCHAR) AS programme, strftime(DATE '2024-01-01' + CAST(turn AS INTEGER), '%Y-%m-%d') AS day,
+  SELECT CAST(conv_id AS VARCHAR) AS programme, strftime(DATE '2024-01-01' + CAST(turn + turn // 3 AS INTEGER), '%Y-%m-%d') AS day,
          text AS script, octet_length(encode(text)) AS audio_bytes, CAST(floor(length(text) / 15) AS INTEGER) AS duration_s,
          role = 'assistant' AS has_sources_view
-  FROM conversations WHERE turn % 4 <> 2),
+  FROM conversations),
 item AS (
   SELECT *, 'https://example.org/' || programme || '/artifacts/' || day AS guid,
          CASE WHEN has_sources_view THEN 'https://example.org/' || programme || '/artifacts/' || day || '/' || day || '-sources-view.html' END AS view_url
@@ -148,6 +148,96 @@ cleaned AS (
   FROM pruned)"""
 
 
+def _merged(threshold: float, linkage: str, name: str) -> str:
+    """CTEs with the groups of one linkage, ``<name>(id, cluster_id)``: rounds of mutual nearest pairs.
+
+    The state holds pairs of groups (kind 0, with the sum, largest or least of their distances and their sizes) and members (1).
+    """
+    joined = {"average": "sum(s)", "complete": "max(s)", "single": "min(s)"}[linkage]
+    d = "s / (na * nb)" if linkage == "average" else "s"
+    return f"""{name}_v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+{name}_state(step, kind, a, b, s, na, nb) AS (
+  SELECT 0, 0, x.vec_id, y.vec_id, 1 - list_cosine_similarity(x.v, y.v), CAST(1 AS BIGINT), CAST(1 AS BIGINT)
+  FROM {name}_v x JOIN {name}_v y ON x.vec_id < y.vec_id
+  UNION ALL SELECT 0, 1, vec_id, vec_id, CAST(0 AS DOUBLE), CAST(1 AS BIGINT), CAST(1 AS BIGINT) FROM {name}_v
+  UNION ALL
+  SELECT * FROM (
+    WITH near AS (SELECT a, b, {d} AS d FROM {name}_state WHERE kind = 0 AND {d} < {threshold}),
+    ends AS (SELECT a AS n, b AS o, d FROM near UNION ALL SELECT b, a, d FROM near),
+    best AS (SELECT n, arg_min(o, d) AS o FROM ends GROUP BY n),
+    moved AS (SELECT p.n AS keep, p.o AS gone FROM best p JOIN best q ON p.o = q.n AND q.o = p.n WHERE p.n < p.o),
+    mapped AS (
+      SELECT step, kind, coalesce(m.keep, a) AS a, coalesce(k.keep, b) AS b, s, na, nb
+      FROM {name}_state LEFT JOIN moved m ON m.gone = a AND kind = 0 LEFT JOIN moved k ON k.gone = b),
+    sizes AS (SELECT b AS n, count(*) AS size FROM mapped WHERE kind = 1 GROUP BY b)
+    SELECT min(step) + 1, 0, least(a, b), greatest(a, b), {joined}, min(x.size), min(y.size)
+    FROM mapped JOIN sizes x ON x.n = least(a, b) JOIN sizes y ON y.n = greatest(a, b)
+    WHERE kind = 0 AND a <> b AND EXISTS (SELECT 1 FROM moved) GROUP BY least(a, b), greatest(a, b)
+    UNION ALL SELECT step + 1, 1, a, b, s, na, nb FROM mapped WHERE kind = 1 AND EXISTS (SELECT 1 FROM moved))),
+{name} AS (SELECT a AS id, b AS cluster_id FROM {name}_state WHERE kind = 1 AND step = (SELECT max(step) FROM {name}_state))"""
+
+
+def _groups(threshold: float, linkage: str) -> str:
+    return f"WITH RECURSIVE {_merged(threshold, linkage, 'merged')}\nSELECT id, cluster_id FROM merged"
+
+
+#: The vectors with their groups as ``lab``, as the other fragments expect it.
+VECTOR_LAB = r"""lab AS (
+  SELECT vec_id AS seq, CAST('all' AS VARCHAR) AS programme, '2024-01-01' AS issue_date, 'src' || label AS source, 'v' || vec_id AS title,
+         CAST('' AS VARCHAR) AS description, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS emb, m.cluster_id
+  FROM embeddings JOIN merged m ON m.id = vec_id)"""
+
+SWEPT = [0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90]
+
+
+def _sweep() -> str:
+    """CTEs ending in ``sweep``: metrics of the groups at each threshold."""
+    names = [f"at{round(100 * t)}" for t in SWEPT]
+    every = " UNION ALL ".join(f"SELECT {t} AS threshold, id, cluster_id FROM {n}" for t, n in zip(SWEPT, names))
+    return (
+        "WITH RECURSIVE "
+        + ",\n".join(_merged(t, "average", n) for t, n in zip(SWEPT, names))
+        + f""",
+grouped AS ({every}),
+unit AS (
+  SELECT vec_id, 'src' || label AS source, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u
+  FROM (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)),
+member AS (SELECT CAST(g.threshold AS DOUBLE) AS threshold, g.id, g.cluster_id, source, u FROM grouped g JOIN unit ON vec_id = id),
+sized AS (
+  SELECT threshold, cluster_id, count(*) AS size, count(DISTINCT source) AS n_sources FROM member GROUP BY ALL),
+classed AS (
+  SELECT *, n_sources / size AS diversity, CASE WHEN size > 2 AND n_sources = 1 THEN 'junk'
+              WHEN size >= 3 AND n_sources / size >= 0.3 THEN 'top' ELSE 'niche' END AS category FROM sized),
+part AS (SELECT threshold, cluster_id, i, sum(u[i]) AS s FROM member, range(1, 65) r(i) GROUP BY ALL),
+total AS (SELECT threshold, cluster_id, list(s ORDER BY i) AS total FROM part GROUP BY ALL),
+shared AS (SELECT * FROM sized JOIN total USING (threshold, cluster_id) WHERE size >= 2),
+inner_d AS (
+  SELECT m.threshold, m.id, (size - list_inner_product(u, total)) / (size - 1) AS a
+  FROM member m JOIN shared USING (threshold, cluster_id)),
+outer_d AS (
+  SELECT m.threshold, m.id, min(1 - list_inner_product(m.u, s.total) / s.size) AS b
+  FROM member m JOIN shared own USING (threshold, cluster_id) JOIN shared s ON s.threshold = m.threshold AND s.cluster_id <> m.cluster_id
+  GROUP BY ALL),
+quality AS (SELECT threshold, avg((b - a) / greatest(a, b)) AS silhouette FROM inner_d JOIN outer_d USING (threshold, id) GROUP BY 1),
+inside AS (
+  SELECT threshold, avg((list_inner_product(total, total) - size) / (size * (size - 1))) AS mean_intra_sim FROM shared GROUP BY 1),
+counted AS (
+  SELECT threshold, CAST(sum(size) AS BIGINT) AS articles, count(*) AS n_clusters, count(*) FILTER (size = 1) AS n_singletons,
+         count(*) FILTER (category = 'top') AS n_top_stories, count(*) FILTER (category = 'junk') AS n_junk,
+         coalesce(avg(diversity) FILTER (category = 'top'), 0) AS diversity,
+         count(*) FILTER (size >= 2) AS groups, coalesce(sum(size) FILTER (size >= 2), 0) AS members
+  FROM classed GROUP BY 1),
+sweep AS (
+  SELECT threshold, n_clusters, n_singletons, round_even(100 * (1 - n_singletons / articles), 1) AS pct_clustered,
+         CASE WHEN groups >= 2 AND members > groups THEN round_even(silhouette, 4) END AS silhouette,
+         round_even(mean_intra_sim, 4) AS mean_intra_sim, n_top_stories, n_junk, round_even(diversity, 3) AS mean_top_diversity,
+         round_even(n_top_stories * diversity, 2) AS task_score
+  FROM counted LEFT JOIN quality USING (threshold) LEFT JOIN inside USING (threshold))
+"""
+    )
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -210,7 +300,7 @@ FROM f""",
     + "SELECT seq, source, title, issue_date FROM art WHERE day(published) % 2 = 0",
     "embed_incremental": _with(ART)
     + f""", e AS (SELECT seq, {EMBEDDING_TEXT} AS e FROM art)
-SELECT seq, e AS embedding_text, CAST(length(e) - length(replace(e, 'a', '')) AS DOUBLE) AS first FROM e""",
+SELECT seq, e AS embedding_text, {LETTER_VECTOR} AS vector FROM e""",
     "embed_articles": _with(ART)
     + f""", e AS (SELECT seq, {EMBEDDING_TEXT} AS e FROM art)
 SELECT seq, {LETTER_VECTOR} AS vector, 'letters' AS provider FROM e""",
@@ -502,4 +592,31 @@ ra AS (SELECT label_a, sum(n) AS na FROM cells GROUP BY 1), rb AS (SELECT label_
 mi AS (SELECT sum(n / total * ln(n * total / (na * nb))) AS mi FROM cells JOIN ra USING (label_a) JOIN rb USING (label_b), t),
 ha AS (SELECT -sum(na / total * ln(na / total)) AS h FROM ra, t), hb AS (SELECT -sum(nb / total * ln(nb / total)) AS h FROM rb, t)
 SELECT round(mi / ((ha.h + hb.h) / 2), 6) AS nmi FROM mi, ha, hb""",
+    "short_context": _with(LAB, EPISODE)
+    + r""", issue AS (SELECT DISTINCT programme, issue_date, strftime(CAST(issue_date AS DATE) - 1, '%Y-%m-%d') AS previous FROM lab)
+SELECT programme, issue_date, 0 AS section, source, CAST(-1 AS BIGINT) AS seq, unnest([0, 1]) AS row, unnest(['## ' || source, '']) AS line
+FROM (SELECT DISTINCT programme, issue_date, source FROM lab)
+UNION ALL SELECT programme, issue_date, 0, source, seq, 0, '* ' || strftime(wall, '%a, %d %b %Y %H:%M:%S +0100') || ': ' || title FROM lab
+UNION ALL SELECT i.programme, i.issue_date, 1, '', -1, unnest(range(0, 4)),
+                 unnest(['', '# Previous Episode', '', coalesce(e.script, 'No previous episode found.')])
+FROM issue i LEFT JOIN episode e ON e.programme = i.programme AND e.day = i.previous""",
+    "hac_average": _groups(0.80, "average"),
+    "hac_average_rounds": _groups(0.80, "average"),
+    "hac_single": _groups(0.70, "single"),
+    "hac_single_rounds": _groups(0.70, "single"),
+    "hac_complete": _groups(0.80, "complete"),
+    "hac_complete_rounds": _groups(0.80, "complete"),
+    "daily_analysis": f"WITH RECURSIVE {_merged(0.80, 'average', 'merged')},\n{VECTOR_LAB},\n{METRICS},\n{UNIT}\n"
+    + r"""SELECT programme, issue_date, CAST(rank AS INTEGER) AS rank, cluster_id, label, size, n_sources, round(diversity_score, 6) AS diversity_score,
+       round(importance_score, 6) AS importance_score, category
+FROM ranked JOIN medoid USING (programme, issue_date, cluster_id) WHERE rank <= 20""",
+    "threshold_sweep": _sweep() + "SELECT * FROM sweep",
+    "suggest_threshold": _sweep()
+    + r""", valid AS (SELECT * FROM sweep WHERE silhouette IS NOT NULL AND pct_clustered >= 20),
+peak AS (SELECT max(silhouette) AS peak FROM valid),
+band AS (SELECT valid.* FROM valid, peak WHERE silhouette >= 0.75 * peak OR peak < 0),
+chosen AS (SELECT * FROM band ORDER BY task_score DESC, threshold LIMIT 1)
+SELECT threshold, printf('silhouette peak=%.4f (pct_clustered>=20%%), quality band=[%.2f, %.2f], chosen silhouette=%.4f, task_score=%.2f',
+    peak, (SELECT min(threshold) FROM band), (SELECT max(threshold) FROM band), silhouette, task_score) AS reason
+FROM chosen, peak""",
 }

@@ -113,8 +113,12 @@ def embed_incremental(spark, sf_dir):
     rows = B.articles(spark, sf_dir)
     A.write_embeddings(E.embed(_halves(rows), "letters"), path)
     missing = A.without_embedding(rows, A.read_embeddings(spark, path, "letters"))
-    A.write_embeddings(E.embed(missing, "letters"), path)
-    return A.read_embeddings(spark, path, "letters").select("seq", "embedding_text", F.col("embedding")[0].cast("double").alias("first"))
+    A.write_embeddings(E.embed(missing, "Letters"), path)
+    return A.read_embeddings(spark, path, "LETTERS").select("seq", "embedding_text", _letters().alias("vector"))
+
+
+def _letters() -> Column:
+    return F.concat_ws(",", F.transform("embedding", lambda x: x.cast("int").cast("string")))
 
 
 @query
@@ -168,6 +172,12 @@ def headline_context(spark, sf_dir):
     return positions(blocks, ISSUE, [F.col("source"), F.col("seq")]).select(*issue(), "position", "line")
 
 
+@query
+def short_context(spark, sf_dir):
+    rows = digests.short_context(B.labelled(spark, sf_dir).drop("embedding"), B.episodes(spark, sf_dir))
+    return rows.select(*issue(), "section", "source", "seq", "row", "line")
+
+
 # Scalar functions
 
 
@@ -388,8 +398,9 @@ def stream_ingest(spark, sf_dir):
     spark = B.prepare(spark)
     landed, out, marks = (new_path(spark, name) for name in ("landed", "streamed", "marks"))
     entries = B.document_entries(spark, sf_dir)
-    entries.write.parquet(landed)
-    stream = spark.readStream.schema(entries.schema).parquet(landed)
+    # Several files, one a batch: the result doesn't depend on how entries arrive.
+    entries.repartition(4, "seq").write.parquet(landed)
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     start_ingest(stream_articles(stream, R.feed_dim(B.feeds(spark, sf_dir))), out, marks).awaitTermination()
     return spark.read.parquet(out).select("source", "title")
 
@@ -546,11 +557,21 @@ def hac_single(spark, sf_dir):
     return C.assign(B.vectors(spark, sf_dir), ISSUE, 0.70, "single").select("id", "cluster_id")
 
 
+@query
+def hac_single_rounds(spark, sf_dir):
+    return C.assign(B.vectors(spark, sf_dir), ISSUE, 0.70, "single", local_limit=64, tile_rows=2048).select("id", "cluster_id")
+
+
 @query
 def hac_complete(spark, sf_dir):
     return C.assign(B.vectors(spark, sf_dir), ISSUE, NEAR, "complete").select("id", "cluster_id")
 
 
+@query
+def hac_complete_rounds(spark, sf_dir):
+    return C.assign(B.vectors(spark, sf_dir), ISSUE, NEAR, "complete", local_limit=64, tile_rows=2048).select("id", "cluster_id")
+
+
 @query
 def daily_analysis(spark, sf_dir):
     _, clusters = analyze_day(B.vectors(spark, sf_dir), NEAR)
@@ -572,7 +593,7 @@ def daily_briefing(spark, sf_dir):
 @query
 def embed_articles(spark, sf_dir):
     rows = E.embed(B.articles(spark, sf_dir), "letters")
-    return rows.select("seq", F.concat_ws(",", F.transform("embedding", lambda x: x.cast("int").cast("string"))).alias("vector"), "provider")
+    return rows.select("seq", _letters().alias("vector"), "provider")
 
 
 @query

@@ -17,25 +17,51 @@ ITALIAN_MONTHS = [
 ]
 PUBLISH_HOUR = 8
 
-# Shapes of feed dates; each is matched once and its clock parsed once.
-ZONE = r"(?:GMT|UTC|UT|Z|[+-]\d{2}:?\d{2})"
-MAIL_DATE = rf"^(?:[A-Za-z]{{3,}},\s*)?(\d{{1,2}} [A-Za-z]{{3}} \d{{4}} \d{{1,2}}:\d{{2}}(?::\d{{2}})?)\s*{ZONE}?$"
-ISO_DATE = rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}})(?:[T ](\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,9}})?)?)\s*{ZONE}?)?$"
-SLASH_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}:\d{2})$"
-OFFSET_TAIL = r"^.*:\d{2}(?:\.\d+)?\s*([+-](?:0\d|1[0-7])):?([0-5]\d)$"
+# Month names by their first letters.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+# Shapes of feed dates; each is matched once and its clock parsed once. A zone's name doesn't move the clock: it counts as UTC.
+DAY_NAME = r"(?:[A-Za-z]{3,9}\.?,?\s+)?"
+MONTH = r"((?i:" + "|".join(MONTHS) + r"))[a-z]{0,6}\.?"
+CLOCK = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)(?:\s*([AaPp])\.?[Mm]\.?)?"
+ZONE = r"(?:\s*(?:[A-Z]{1,5}|[+-]\d{2}:?\d{2}))?"
+#: Shape, then the groups of year, month, day, clock and half of the day.
+SHAPES = [
+    (rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})(?:[T ]{CLOCK}{ZONE})?$", (1, 2, 3, 4, 5)),
+    (rf"^{DAY_NAME}(\d{{1,2}})[ -]{MONTH}[ ,-]+(\d{{4}}|\d{{2}})(?:,?[ T]+{CLOCK}{ZONE})?$", (3, 2, 1, 4, 5)),
+    (rf"^{DAY_NAME}{MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}})(?:,?\s+{CLOCK}{ZONE})?$", (3, 1, 2, 4, 5)),
+    (rf"^{DAY_NAME}{MONTH}\s+(\d{{1,2}})\s+{CLOCK}{ZONE}\s+(\d{{4}})$", (5, 1, 2, 3, 4)),
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})\s+{CLOCK}$", (3, 2, 1, 4, 5)),
+]
+COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?(?:Z|[+-]\d{2}:?\d{2})?$"
+OFFSET_TAIL = r"^.*(?:T\d{4,6}|:\d{2}(?:\.\d+)?)\s*([+-](?:0\d|1[0-7])):?([0-5]\d)(?: \d{4})?$"
+
+
+def _clock_of(plain: Column, shape: str, groups: tuple[int, ...]) -> Column:
+    """The zone-less timestamp that a shape's groups spell."""
+    year, month, day, clock, half = (F.regexp_extract(plain, shape, g) for g in groups)
+    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    for number, name in enumerate(MONTHS, 1):
+        month = F.when(F.lower(month) == name, str(number)).otherwise(month)
+    date = F.concat_ws("-", year, month, day)
+    plain_clock = F.concat_ws(" ", date, clock)
+    halved = F.concat(date, F.lit(" "), clock, F.lit(" "), F.upper(half), F.lit("M"))
+    return F.when(half == "", F.trim(plain_clock).try_cast("timestamp_ntz")).otherwise(
+        F.try_to_timestamp(halved, F.lit("yyyy-M-d h:mm[:ss] a")).cast("timestamp_ntz")
+    )
 
 
 def wall_clock(text: Column) -> Column:
-    """The clock written in the text, without its offset, as a zone-less timestamp; null if unreadable."""
+    """The clock written in the text, without its offset, as a zone-less timestamp; null if unreadable.
+
+    Dates of digits and slashes are read day first. A two-digit year is of this century.
+    """
     plain = F.trim(text)
-    iso = F.regexp_replace(plain, ISO_DATE, "$1 $2")
-    slash = F.regexp_replace(plain, SLASH_DATE, "$3-$2-$1 $4")
-    mail = F.initcap(F.regexp_extract(plain, MAIL_DATE, 1))
-    return (
-        F.when(plain.rlike(ISO_DATE), F.trim(iso).try_cast("timestamp_ntz"))
-        .when(plain.rlike(MAIL_DATE), F.try_to_timestamp(mail, F.lit("d MMM yyyy H:mm[:ss]")).cast("timestamp_ntz"))
-        .when(plain.rlike(SLASH_DATE), slash.try_cast("timestamp_ntz"))
-    )
+    compact = F.regexp_replace(plain, COMPACT_DATE, "$1-$2-$3 $4:$5:$6")
+    found = F.when(plain.rlike(COMPACT_DATE), F.regexp_replace(compact, ":$", "").try_cast("timestamp_ntz"))
+    for shape, groups in SHAPES:
+        found = found.when(plain.rlike(shape), _clock_of(plain, shape, groups))
+    return found
 
 
 def parse_published(text: Column) -> Column:

@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyline.functions.vectors import DISTANCE_DIGITS, TINY, cosine_distance, l2_normalize, sum_of_squares
-from storyline.operators.components import connected_components
-from storyline.operators.nearest import TILE_ROWS, issue_sizes, matrix, near_pairs, nearest_cells, nearest_within, tie_order, tile_pairs, with_tiles
+from storyline.operators.nearest import MATRIX_CELLS, TILE_ROWS, issue_sizes, matrix, near_pairs, nearest_cells, nearest_within, tie_order, tile_pairs, with_tiles
 from storyline.session import materialize
 
 #: Rows of an issue that one task takes whole: a 4,096 square of doubles is 128 MB.
@@ -218,12 +217,8 @@ def follow(paths: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _distributed_tree(
-    rows: DataFrame, keys: list[str], threshold: float, local_limit: int, tile_rows: int
-) -> DataFrame:
-    """Trees of issues too large for one task, average linkage."""
-    usable = rows.filter(F.col("vec").isNotNull())
-    nodes, members = _fold_copies(usable, keys)
+def _average_rounds(nodes: DataFrame, keys: list[str], threshold: float, local_limit: int, tile_rows: int) -> DataFrame:
+    """Merges of average linkage, in rounds: ``keys, id, path`` of every group that was merged away."""
     links = None
     while True:
         counts = issue_sizes(nodes, keys)
@@ -239,13 +234,27 @@ def _distributed_tree(
         if not found.large:
             break
         best = materialize(nearest_within(nodes, keys, threshold, tile_rows, counts), "best")
-        merges = mutual_pairs(best, keys)
+        if best.isEmpty():
+            break
+        merges = materialize(mutual_pairs(best, keys), "merges")
+        _check_progress(merges)
         step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
         merged = merges.select(*keys, F.col("child").alias("id"), step.alias("path"))
         links = merged if links is None else links.unionByName(merged)
         nodes = materialize(_merged_nodes(nodes, best, merges, keys), "nodes")
-    if links is None:
-        links = nodes.limit(0).select(*keys, "id", F.array().cast(PATH).alias("path"))
+    return _no_links(nodes, keys) if links is None else links
+
+
+def _distributed_tree(
+    rows: DataFrame, keys: list[str], threshold: float, linkage: str, local_limit: int, tile_rows: int
+) -> DataFrame:
+    """Trees of issues too large for one task."""
+    usable = rows.filter(F.col("vec").isNotNull())
+    nodes, members = _fold_copies(usable, keys)
+    if linkage == "average":
+        links = _average_rounds(nodes, keys, threshold, local_limit, tile_rows)
+    else:
+        links = _member_rounds(nodes.select(*keys, "id", "vec"), keys, threshold, linkage, tile_rows)
     links = materialize(links, "links")
     copy = F.array(F.struct(F.col("node").alias("cluster"), F.lit(0.0).alias("height"))).cast(PATH)
     start = members.select(
@@ -268,7 +277,8 @@ def centroid_distances(labelled: DataFrame, keys: list[str], vector: str = "vec"
     Partial sums leave each task, not vectors; the rows then meet one vector per cluster.
     """
     center = vector_to_array(Summarizer.mean(array_to_vector(F.col(vector)))).alias("_center")
-    centers = labelled.groupBy(*keys, "cluster_id").agg(center)
+    # Written, so that the rows of a hot cluster can be split when they meet its centre.
+    centers = materialize(labelled.groupBy(*keys, "cluster_id").agg(center), "centers")
     distance = F.round(cosine_distance(F.col(vector), F.col("_center")), DISTANCE_DIGITS)
     return labelled.join(centers, [*keys, "cluster_id"]).withColumn("distance", distance).drop("_center", vector)
 
@@ -289,22 +299,20 @@ def merge_tree(
     local_limit: int = LOCAL_LIMIT,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Merge history up to ``threshold``: ``keys, id, path``.
+    """Merge history up to ``threshold``: ``keys, id, path, distance``, for every linkage and issues of any size.
 
-    For complete and single linkage of issues above the limit use :func:`assign`, which gives labels only.
+    Issues of at most ``local_limit`` rows are many small groups, one task each; larger ones run in rounds. Both give the same
+    merges. ``articles`` is read more than once, so what a provider made has to be a written table.
     """
     check_linkage(linkage)
     rows = unit_rows(articles, keys, id_column, vector)
-    # Counts read the issue columns only, so this check does not touch the vectors.
     large = _large_issues(articles, keys, local_limit)
     weighted = rows.withColumn("n", F.lit(1).cast("bigint"))
     if large.isEmpty():
         return _local_tree(weighted, keys, threshold, linkage)
-    if linkage != "average":
-        raise ValueError(f"{linkage} linkage keeps no merge history for an issue of more than {local_limit} rows")
     local = _local_tree(weighted.join(large, keys, "left_anti"), keys, threshold, linkage)
     rows = materialize(rows.join(large, keys, "left_semi"), "vectors")
-    return local.unionByName(_distributed_tree(rows, keys, threshold, local_limit, tile_rows))
+    return local.unionByName(_distributed_tree(rows, keys, threshold, linkage, local_limit, tile_rows))
 
 
 def cluster_at(path: Column, own: Column, threshold: Column) -> Column:
@@ -329,53 +337,28 @@ def cut_many(tree: DataFrame, keys: list[str], thresholds: list[float]) -> DataF
     return tree.withColumn("threshold", grid).withColumn("cluster_id", label).drop("path")
 
 
-def _single_linkage(
-    rows: DataFrame, keys: list[str], threshold: float, tile_rows: int
-) -> DataFrame:
-    """Components of the graph of pairs below the threshold.
-
-    Each pair of tiles returns a spanning forest of its own pairs, at most one row per vector, which keeps the
-    components of the whole graph without emitting its edges.
-    """
-    types = ", ".join(f"`{key}` {rows.schema[key].dataType.simpleString()}" for key in keys)
-
-    def forest(table: pa.Table) -> pa.Table:
-        ids, vectors = table["id"].to_numpy(), matrix(table, "vec")
-        order = np.argsort(ids)
-        ids, vectors = ids[order], vectors[order]
-        waiting = np.ones(len(ids), bool)
-        hubs, members = [], []
-        for start in range(len(ids)):
-            if not waiting[start]:
-                continue
-            waiting[start] = False
-            frontier = np.array([start])
-            while len(frontier):
-                rest = np.flatnonzero(waiting)
-                if not len(rest):
-                    break
-                near = np.round(1.0 - vectors[frontier] @ vectors[rest].T, DISTANCE_DIGITS) < threshold
-                frontier = rest[near.any(axis=0)]
-                waiting[frontier] = False
-                hubs.extend([ids[start]] * len(frontier))
-                members.extend(ids[frontier])
-        columns = {key: table[key].take(pa.array(np.zeros(len(hubs), np.int64))) for key in keys}
-        columns["a"], columns["b"] = pa.array(hubs, pa.int64()), pa.array(members, pa.int64())
-        return pa.table(columns)
-
-    tiled = tile_pairs(with_tiles(rows, keys, tile_rows, "tiles", "tile"))
-    edges = tiled.groupBy(*keys, "p", "q").applyInArrow(forest, f"{types}, a bigint, b bigint")
-    return connected_components(rows.select(*keys, "id"), edges, keys)
+def _unit_groups(starts: np.ndarray, rows: int, most: int):
+    """Runs of consecutive units of at most ``most`` rows in all, or one unit: ``(first unit, last unit + 1)``."""
+    ends = np.r_[starts[1:], rows]
+    first = 0
+    for k in range(1, len(starts) + 1):
+        if k == len(starts) or ends[k] - starts[first] > most:
+            yield first, k
+            first = k
 
 
-def _complete_rounds(rows: DataFrame, keys: list[str], threshold: float, tile_rows: int) -> DataFrame:
-    """Complete linkage in rounds: the distance of two groups is the largest over their members.
+def _member_rounds(rows: DataFrame, keys: list[str], threshold: float, linkage: str, tile_rows: int) -> DataFrame:
+    """Merges of single or complete linkage, in rounds: ``keys, id, path`` of every group that was merged away.
 
-    Members keep to the tile of their group, so a pair of tiles knows the full distance of its group pairs and
-    returns the best one per group. A group of more than a tile is spread over parts; pairs with it are returned
-    with a partial maximum and count only when every combination of parts stayed below the threshold.
+    The distance of two groups is the least (single) or the largest (complete) over their members, so members stay. They
+    keep to the tile of their group, and a pair of tiles returns the best pair per group. A group of more than a tile is spread
+    over parts. The least over parts is the least of all; for complete linkage, pairs with a spread group are returned with a
+    partial maximum and count only when every combination of parts stayed below the threshold. Both linkages are reducible,
+    so a group without a partner below the threshold never gets one and leaves the rounds.
     """
     types = ", ".join(f"`{key}` {rows.schema[key].dataType.simpleString()}" for key in keys)
+    complete = linkage == "complete"
+    reach = np.maximum if complete else np.minimum
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster_id", "ascending"), ("part", "ascending")])
@@ -383,31 +366,47 @@ def _complete_rounds(rows: DataFrame, keys: list[str], threshold: float, tile_ro
         starts = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(axis=1)])
         vectors, cluster = matrix(table, "vec"), unit[starts, 0]
         parts, tile = table["parts"].to_numpy()[starts], table["tile"].to_numpy()[starts]
-        distance = np.maximum.reduceat(1.0 - vectors @ vectors.T, starts, axis=0)
-        distance = np.round(np.maximum.reduceat(distance, starts, axis=1), DISTANCE_DIGITS)
-        allowed = (distance < threshold) & (cluster[:, None] != cluster[None, :])
-        if table["p"][0].as_py() != table["q"][0].as_py():
-            allowed &= tile[:, None] != tile[None, :]
-        spread = (parts[:, None] > 1) | (parts[None, :] > 1)
-        whole = np.where(allowed & ~spread, distance, np.inf)
-        least = whole.min(axis=1)
-        r, c = np.nonzero((whole == least[:, None]) & np.isfinite(least)[:, None])
-        order = np.lexsort((cluster[c], tie_order(cluster[r], cluster[c]), r))
-        first = order[np.unique(r[order], return_index=True)[1]]
-        sr, sc = np.nonzero(allowed & spread)
-        r, c = np.r_[r[first], sr].astype(np.int64), np.r_[c[first], sc].astype(np.int64)
+        apart = table["p"][0].as_py() != table["q"][0].as_py()
+        most = max(1, MATRIX_CELLS // len(vectors))
+        made = []
+        for first, last in _unit_groups(starts, len(vectors), most):
+            begin, end = starts[first], starts[last] if last < len(starts) else len(vectors)
+            distance = None
+            for low in range(begin, end, most):  # more than one step only if a single unit is that large
+                block = reach.reduceat(1.0 - vectors[low : min(end, low + most)] @ vectors.T, starts, axis=1)
+                if last - first > 1:
+                    distance = reach.reduceat(block, starts[first:last] - begin, axis=0)
+                else:
+                    block = reach.reduce(block, axis=0, keepdims=True)
+                    distance = block if distance is None else reach(distance, block)
+            distance = np.round(distance, DISTANCE_DIGITS)
+            own = slice(first, last)
+            allowed = (distance < threshold) & (cluster[own][:, None] != cluster[None, :])
+            if apart:
+                allowed &= tile[own][:, None] != tile[None, :]
+            spread = (parts[own][:, None] > 1) | (parts[None, :] > 1) if complete else np.zeros_like(allowed)
+            whole = np.where(allowed & ~spread, distance, np.inf)
+            least = whole.min(axis=1)
+            r, c = np.nonzero((whole == least[:, None]) & np.isfinite(least)[:, None])
+            order = np.lexsort((cluster[c], tie_order(cluster[own][r], cluster[c]), r))
+            best = order[np.unique(r[order], return_index=True)[1]]
+            sr, sc = np.nonzero(allowed & spread)
+            r, c = np.r_[r[best], sr].astype(np.int64), np.r_[c[best], sc].astype(np.int64)
+            made.append((r + first, c, distance[r, c]))
+        r, c, d = (np.concatenate(x) for x in zip(*made))
         columns = {key: table[key].take(pa.array(np.zeros(len(r), np.int64))) for key in keys}
         columns["id"], columns["partner"] = pa.array(cluster[r], pa.int64()), pa.array(cluster[c], pa.int64())
-        columns["distance"] = pa.array(distance[r, c], pa.float64())
+        columns["distance"] = pa.array(d, pa.float64())
         columns["tie"] = pa.array(tie_order(cluster[r], cluster[c]), pa.int64())
-        columns["needed"] = pa.array(parts[r] * parts[c], pa.int64())
+        columns["needed"] = pa.array(parts[r] * parts[c] if complete else np.ones(len(r), np.int64), pa.int64())
         return pa.table(columns)
 
     schema = f"{types}, id bigint, partner bigint, distance double, tie bigint, needed bigint"
     state = rows.withColumn("cluster_id", F.col("id"))
-    done = None
+    links = None
     while True:
-        size = state.groupBy(*keys, "cluster_id").agg(F.ceil(F.count("*") / tile_rows).alias("parts"))
+        # Written, so that a large group's rows can be split when they meet them.
+        size = materialize(state.groupBy(*keys, "cluster_id").agg(F.ceil(F.count("*") / tile_rows).alias("parts")), "sizes")
         counts = issue_sizes(state, keys)
         tiled = (
             state.join(size, [*keys, "cluster_id"])
@@ -416,29 +415,44 @@ def _complete_rounds(rows: DataFrame, keys: list[str], threshold: float, tile_ro
             .withColumn("tile", F.pmod(F.xxhash64("cluster_id", "part"), F.col("tiles")))
         )
         found = tile_pairs(tiled).groupBy(*keys, "p", "q").applyInArrow(search, schema)
-        pairs = (
-            found.groupBy(*keys, "id", "partner")
-            .agg(F.max("distance").alias("distance"), F.max("tie").alias("tie"), F.count("*").alias("seen"), F.max("needed").alias("needed"))
-            .filter("seen = needed")
-        )
+        if complete:
+            found = (
+                found.groupBy(*keys, "id", "partner")
+                .agg(F.max("distance").alias("distance"), F.max("tie").alias("tie"), F.count("*").alias("seen"), F.max("needed").alias("needed"))
+                .filter("seen = needed")
+            )
         best = (
-            pairs.groupBy(*keys, "id")
+            found.groupBy(*keys, "id")
             .agg(F.min(F.struct("distance", "tie", "partner")).alias("best"))
             .select(*keys, "id", "best.partner", "best.distance")
         )
         best = materialize(best, "best")
-        active = best.select(*keys, F.col("id").alias("cluster_id"))
-        final = state.join(active, [*keys, "cluster_id"], "left_anti").select(*keys, "id", "cluster_id")
-        done = final if done is None else done.unionByName(final)
         if best.isEmpty():
-            return done
-        moving = mutual_pairs(best, keys).select(*keys, F.col("child").alias("cluster_id"), "parent")
+            break
+        merges = materialize(mutual_pairs(best, keys), "merges")
+        _check_progress(merges)
+        step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
+        merged = merges.select(*keys, F.col("child").alias("id"), step.alias("path"))
+        links = merged if links is None else links.unionByName(merged)
+        active = best.select(*keys, F.col("id").alias("cluster_id"))
+        moving = merges.select(*keys, F.col("child").alias("cluster_id"), "parent")
         state = materialize(
             state.join(active, [*keys, "cluster_id"], "left_semi")
             .join(moving, [*keys, "cluster_id"], "left")
             .select(*keys, "id", "vec", F.coalesce("parent", "cluster_id").alias("cluster_id")),
             "state",
         )
+    return _no_links(rows, keys) if links is None else links
+
+
+def _check_progress(merges: DataFrame) -> None:
+    """Candidates without any mutual pair would mean that two tasks saw different distances for one pair."""
+    if merges.isEmpty():
+        raise RuntimeError("no pair merged although candidates remain")
+
+
+def _no_links(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.limit(0).select(*keys, "id", F.array().cast(PATH).alias("path"))
 
 
 def assign(
@@ -455,24 +469,8 @@ def assign(
 
     Merges happen strictly below the threshold.
     """
-    check_linkage(linkage)
-    done = [*keys, "id", _label(threshold), "distance"]
-    if linkage == "average":
-        return merge_tree(articles, keys, threshold, linkage, id_column, vector, local_limit, tile_rows).select(*done)
-    rows = unit_rows(articles, keys, id_column, vector)
-    large = _large_issues(articles, keys, local_limit)
-    weighted = rows.withColumn("n", F.lit(1).cast("bigint"))
-    if large.isEmpty():
-        return _local_tree(weighted, keys, threshold, linkage).select(*done)
-    local = _local_tree(weighted.join(large, keys, "left_anti"), keys, threshold, linkage).select(*done)
-    rest = materialize(rows.join(large, keys, "left_semi"), "vectors")
-    usable = rest.filter(F.col("vec").isNotNull())
-    nodes, members = _fold_copies(usable, keys)
-    grouped = _single_linkage if linkage == "single" else _complete_rounds
-    labels = grouped(nodes.select(*keys, "id", "vec"), keys, threshold, tile_rows)
-    labels = members.join(labels.withColumnRenamed("id", "node"), [*keys, "node"]).select(*keys, "id", "cluster_id")
-    far = centroid_distances(materialize(labels, "labels").join(usable, [*keys, "id"]), keys)
-    return local.unionByName(far).unionByName(_alone(rest, keys, F.col("id").alias("cluster_id")))
+    tree = merge_tree(articles, keys, threshold, linkage, id_column, vector, local_limit, tile_rows)
+    return tree.select(*keys, "id", _label(threshold), "distance")
 
 
 def cluster_articles(
@@ -484,10 +482,13 @@ def cluster_articles(
 
 
 def with_cluster_size(clustered: DataFrame, keys: list[str]) -> DataFrame:
-    sizes = clustered.groupBy(*keys, "cluster_id").agg(F.count("*").alias("cluster_size"))
+    """Add the number of rows of the cluster. The sizes are written, so that a hot cluster's rows can be split in the join."""
+    sizes = materialize(clustered.groupBy(*keys, "cluster_id").agg(F.count("*").alias("cluster_size")), "sizes")
     return clustered.join(sizes, [*keys, "cluster_id"])
 
 
 def unclustered(clustered: DataFrame, keys: list[str]) -> DataFrame:
-    """Articles that stayed alone."""
-    return with_cluster_size(clustered, keys).filter("cluster_size = 1").drop("cluster_size")
+    """Articles that stayed alone: the only row of a group is any row of it, so one aggregate finds them, without a join."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in clustered.columns])
+    alone = clustered.groupBy(*keys, "cluster_id").agg(F.count("*").alias("_n"), F.min(whole).alias("_row"))
+    return alone.filter("_n = 1").select("_row.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyline.functions.text import embedding_text
+from storyline.schema import ISSUE
 from storyline.session import materialize
 
 # Fixed value: texts per provider call.
@@ -43,10 +44,12 @@ def embed(articles: DataFrame, provider: str, batch_size: int = BATCH_SIZE) -> D
     """Add ``embedding_text, embedding, provider``.
 
     Every task makes its own provider and sends ``batch_size`` texts per call; a failing call fails the task, which
-    Spark runs again, so a provider must give the same vector for the same text.
+    Spark runs again, so a provider must give the same vector for the same text. The result is written, so that whatever reads
+    it, and however often, no text is sent twice. Rows of an issue come together first, so that a table by issue gets few files.
     """
     factory = provider_factory(provider)
-    texts = with_embedding_text(articles)
+    issue = [F.col(c) for c in ISSUE if c in articles.columns]
+    texts = with_embedding_text(articles.hint("rebalance", *issue) if issue else articles)
     schema = T.StructType(texts.schema.fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,7 +65,7 @@ def embed(articles: DataFrame, provider: str, batch_size: int = BATCH_SIZE) -> D
                 vectors.extend(answer)
             yield batch.assign(embedding=vectors)
 
-    return texts.mapInPandas(run, schema).withColumn("provider", F.lit(provider.lower()))
+    return materialize(texts.mapInPandas(run, schema).withColumn("provider", F.lit(provider.lower())), "embedded")
 
 
 def embed_hashing(articles: DataFrame, dimensions: int = HASH_DIMENSIONS) -> DataFrame:

@@ -55,7 +55,7 @@ def stories_digest(
     opening = stories.select(*keys, "rank", F.posexplode(head))
     closing = stories.select(*keys, "rank", F.posexplode(F.array(F.lit(""), F.lit(""))))
     members = story_members(clustered, stories, keys)
-    told = F.concat(F.lit("- **"), "source", F.lit("**: "), "title", F.lit(" "), "description")
+    told = F.concat(F.lit("- **"), _text("source"), F.lit("**: "), _text("title"), F.lit(" "), _text("description"))
     rank, pos, text = F.col("rank"), F.col("pos"), F.col("col")
     return (
         _lines(heading, keys, section, F.lit(0), 0, pos, text)
@@ -65,19 +65,46 @@ def stories_digest(
     )
 
 
+def _text(column: str) -> Column:
+    """A part of a line; a null part is empty, so that the line stays."""
+    return F.coalesce(F.col(column), F.lit(""))
+
+
 def headline_blocks(articles: DataFrame, keys: list[str] = ISSUE) -> DataFrame:
     """One tagged block per article: ``keys, source, seq, line``; read in order of source, then ``seq``."""
-    opening = F.concat(F.lit('<article source="'), "source", F.lit('" date="'), "date", F.lit('">\n'))
-    body = F.when(F.col("description") != "", F.concat("title", F.lit("\n"), "description")).otherwise(F.col("title"))
+    opening = F.concat(F.lit('<article source="'), _text("source"), F.lit('" date="'), _text("date"), F.lit('">\n'))
+    body = F.when(_text("description") != "", F.concat(_text("title"), F.lit("\n"), "description")).otherwise(_text("title"))
     return articles.select(*keys, "source", "seq", F.concat(opening, body, F.lit("\n</article>")).alias("line"))
 
 
 def headline_bullets(articles: DataFrame, keys: list[str] = ISSUE) -> DataFrame:
-    """The short form, one bullet per article: ``keys, source, seq, line``."""
-    line = F.concat(F.lit("* "), "date", F.lit(": "), "title")
+    """One bullet per article: ``keys, source, seq, line``."""
+    line = F.concat(F.lit("* "), _text("date"), F.lit(": "), _text("title"))
     return articles.select(*keys, "source", "seq", line.alias("line"))
 
 
+def short_context(articles: DataFrame, episodes: DataFrame, keys: list[str] = ISSUE) -> DataFrame:
+    """The short prompt: a heading per source with its bullets, then the previous script.
+
+    ``keys, section, source, seq, row, line``: read in this order. Section 0 holds the sources, section 1 the script.
+    """
+    bullets = headline_bullets(articles, keys)
+    heads = bullets.select(*keys, "source").distinct()
+    heads = heads.select(*keys, "source", F.posexplode(F.array(F.concat(F.lit("## "), _text("source")), F.lit(""))))
+    previous = previous_episode(articles.select(*ISSUE).distinct(), episodes)
+    script = F.array(F.lit(""), F.lit("# Previous Episode"), F.lit(""), F.col("previous_script"))
+    last = previous.select(*keys, F.posexplode(script))
+    line = lambda df, section, source, seq, row, text: df.select(
+        *keys, F.lit(section).alias("section"), source.alias("source"), seq.cast("bigint").alias("seq"), row.cast("bigint").alias("row"), text.alias("line")
+    )
+    first = F.lit(-1)
+    return (
+        line(heads, 0, F.col("source"), first, F.col("pos"), F.col("col"))
+        .unionByName(line(bullets, 0, F.col("source"), F.col("seq"), F.lit(0), F.col("line")))
+        .unionByName(line(last, 1, F.lit(""), first, F.col("pos"), F.col("col")))
+    )
+
+
 def previous_episode(issues: DataFrame, episodes: DataFrame) -> DataFrame:
     """The script of the day before each issue: ``show, issue_date, previous_date, previous_script``.
 

@@ -45,7 +45,7 @@ def refresh(incoming: DataFrame, stored: DataFrame, force_refresh: bool = False)
 
 
 def read_embeddings(spark: SparkSession, path: str, provider: str) -> DataFrame:
-    """Embedded articles of one provider; the provider and issue folders are pruned."""
+    """Embedded articles of one provider, named in any case; the provider and issue folders are pruned."""
     schema = T.StructType(
         ARTICLES.fields
         + [
@@ -54,13 +54,13 @@ def read_embeddings(spark: SparkSession, path: str, provider: str) -> DataFrame:
             T.StructField("provider", T.StringType()),
         ]
     )
-    return spark.read.schema(schema).parquet(path).filter(F.col("provider") == provider)
+    return spark.read.schema(schema).parquet(path).filter(F.col("provider") == provider.lower())
 
 
 def write_embeddings(embedded: DataFrame, path: str) -> None:
     """Add embedded articles; providers stand in folders of their own.
 
-    Rows are written where they were embedded: a shuffle would have to sample them, and so call the provider twice.
+    ``embed`` has brought the rows of an issue together, so they are written where they are.
     """
     embedded.sortWithinPartitions("provider", *ISSUE).write.partitionBy("provider", *ISSUE).mode("append").parquet(path)
 

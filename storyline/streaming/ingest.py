@@ -1,25 +1,35 @@
-"""The ingest as a stream over landed entries: the same rules, with a watermark in place of the age limit."""
+"""The ingest as a stream over landed entries: the same rules, batch by batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from storyline.functions.text import CleaningRules
-from storyline.operators.ingest import MAX_AGE_DAYS, to_articles, validate
+from storyline.operators.ingest import MAX_AGE_DAYS, to_articles, validate, within_age
 
 
 def stream_articles(
-    entries: DataFrame, feeds: DataFrame, max_age_days: int = MAX_AGE_DAYS, rules: CleaningRules = CleaningRules()
+    entries: DataFrame,
+    feeds: DataFrame,
+    as_of: Column | None = None,
+    max_age_days: int = MAX_AGE_DAYS,
+    rules: CleaningRules = CleaningRules(),
+    remember: str = "30 days",
 ) -> DataFrame:
-    """Clean articles from a stream of entries, each (source, title) once within the watermark.
+    """Clean articles from a stream of entries, each (source, title) once.
 
+    What is too old is told by ``as_of`` (the run's time, or null for no limit), never by other entries, so the result doesn't
+    depend on the order or the size of batches, and an entry dated in the future does no harm. Repeats are known by arrival:
+    ``remember`` is how long after the first one a repeat is left out, and bounds the state.
     ``feeds`` is a static table. Newest-per-feed stays with the daily batch, since a stream has no last row.
     """
     good = validate(entries).filter("reason is null").drop("reason")
-    articles = to_articles(good, feeds, rules).filter(F.col("published").isNotNull())
-    return articles.withWatermark("published", f"{max_age_days} days").dropDuplicatesWithinWatermark(["source", "title"])
+    if as_of is not None:
+        good = within_age(good, as_of, max_age_days)
+    articles = to_articles(good, feeds, rules).withColumn("arrived", F.current_timestamp())
+    return articles.withWatermark("arrived", remember).dropDuplicatesWithinWatermark(["source", "title"])
 
 
 def start_ingest(articles: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
