@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyline.functions.vectors import DISTANCE_DIGITS, TINY, cosine_distance, l2_normalize, sum_of_squares
+from storyline.operators.components import connected_components
 from storyline.operators.nearest import MATRIX_CELLS, TILE_ROWS, issue_sizes, matrix, near_pairs, nearest_cells, nearest_within, tie_order, tile_pairs, with_tiles
 from storyline.session import materialize
 
@@ -219,12 +220,13 @@ def follow(paths: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
 
 def _average_rounds(nodes: DataFrame, keys: list[str], threshold: float, local_limit: int, tile_rows: int) -> DataFrame:
     """Merges of average linkage, in rounds: ``keys, id, path`` of every group that was merged away."""
-    links = None
+    links, waiting = None, None
     while True:
         counts = issue_sizes(nodes, keys)
         fits = F.col("rows") <= local_limit
         # Two totals, not a list of issues. Finished groups have left ``nodes``.
-        found = counts.agg(F.count_if(fits).alias("small"), F.count_if(~fits).alias("large")).first()
+        found = counts.agg(F.count_if(fits).alias("small"), F.count_if(~fits).alias("large"), F.sum("rows").alias("rows")).first()
+        _check_progress(waiting, found.rows)
         if found.small:
             ready = nodes.join(counts.filter(fits), keys, "left_semi")
             finished = _local_tree(ready, keys, threshold, "average").filter(F.size("path") > 0)
@@ -234,10 +236,10 @@ def _average_rounds(nodes: DataFrame, keys: list[str], threshold: float, local_l
         if not found.large:
             break
         best = materialize(nearest_within(nodes, keys, threshold, tile_rows, counts), "best")
-        if best.isEmpty():
+        waiting = best.count()
+        if not waiting:
             break
-        merges = materialize(mutual_pairs(best, keys), "merges")
-        _check_progress(merges)
+        merges = mutual_pairs(best, keys)
         step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
         merged = merges.select(*keys, F.col("child").alias("id"), step.alias("path"))
         links = merged if links is None else links.unionByName(merged)
@@ -337,6 +339,49 @@ def cut_many(tree: DataFrame, keys: list[str], thresholds: list[float]) -> DataF
     return tree.withColumn("threshold", grid).withColumn("cluster_id", label).drop("path")
 
 
+def _single_linkage(
+    rows: DataFrame, keys: list[str], threshold: float, tile_rows: int
+) -> DataFrame:
+    """Components of the graph of pairs below the threshold.
+
+    Each pair of tiles returns a spanning forest of its own pairs, at most one row per vector, which keeps the
+    components of the whole graph without emitting its edges.
+    """
+    types = ", ".join(f"`{key}` {rows.schema[key].dataType.simpleString()}" for key in keys)
+
+    def forest(table: pa.Table) -> pa.Table:
+        ids, vectors = table["id"].to_numpy(), matrix(table, "vec")
+        order = np.argsort(ids)
+        ids, vectors = ids[order], vectors[order]
+        waiting = np.ones(len(ids), bool)
+        hubs, members = [], []
+        for start in range(len(ids)):
+            if not waiting[start]:
+                continue
+            waiting[start] = False
+            frontier = np.array([start])
+            while len(frontier):
+                rest = np.flatnonzero(waiting)
+                if not len(rest):
+                    break
+                reached = np.zeros(len(rest), bool)
+                step = max(1, MATRIX_CELLS // len(rest))
+                for low in range(0, len(frontier), step):
+                    block = np.round(1.0 - vectors[frontier[low : low + step]] @ vectors[rest].T, DISTANCE_DIGITS)
+                    reached |= (block < threshold).any(axis=0)
+                frontier = rest[reached]
+                waiting[frontier] = False
+                hubs.extend([ids[start]] * len(frontier))
+                members.extend(ids[frontier])
+        columns = {key: table[key].take(pa.array(np.zeros(len(hubs), np.int64))) for key in keys}
+        columns["a"], columns["b"] = pa.array(hubs, pa.int64()), pa.array(members, pa.int64())
+        return pa.table(columns)
+
+    tiled = tile_pairs(with_tiles(rows, keys, tile_rows, "tiles", "tile"))
+    edges = tiled.groupBy(*keys, "p", "q").applyInArrow(forest, f"{types}, a bigint, b bigint")
+    return connected_components(rows.select(*keys, "id"), edges, keys)
+
+
 def _unit_groups(starts: np.ndarray, rows: int, most: int):
     """Runs of consecutive units of at most ``most`` rows in all, or one unit: ``(first unit, last unit + 1)``."""
     ends = np.r_[starts[1:], rows]
@@ -403,10 +448,11 @@ def _member_rounds(rows: DataFrame, keys: list[str], threshold: float, linkage:
 
     schema = f"{types}, id bigint, partner bigint, distance double, tie bigint, needed bigint"
     state = rows.withColumn("cluster_id", F.col("id"))
-    links = None
+    links, waiting = None, None
     while True:
         # Written, so that a large group's rows can be split when they meet them.
         size = materialize(state.groupBy(*keys, "cluster_id").agg(F.ceil(F.count("*") / tile_rows).alias("parts")), "sizes")
+        _check_progress(waiting, size.count())
         counts = issue_sizes(state, keys)
         tiled = (
             state.join(size, [*keys, "cluster_id"])
@@ -427,10 +473,10 @@ def _member_rounds(rows: DataFrame, keys: list[str], threshold: float, linkage:
             .select(*keys, "id", "best.partner", "best.distance")
         )
         best = materialize(best, "best")
-        if best.isEmpty():
+        waiting = best.count()
+        if not waiting:
             break
-        merges = materialize(mutual_pairs(best, keys), "merges")
-        _check_progress(merges)
+        merges = mutual_pairs(best, keys)
         step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
         merged = merges.select(*keys, F.col("child").alias("id"), step.alias("path"))
         links = merged if links is None else links.unionByName(merged)
@@ -445,9 +491,12 @@ def _member_rounds(rows: DataFrame, keys: list[str], threshold: float, linkage:
     return _no_links(rows, keys) if links is None else links
 
 
-def _check_progress(merges: DataFrame) -> None:
-    """Candidates without any mutual pair would mean that two tasks saw different distances for one pair."""
-    if merges.isEmpty():
+def _check_progress(waiting: int | None, left: int | None) -> None:
+    """Candidates without any mutual pair would mean that two tasks saw different distances for one pair.
+
+    ``waiting`` groups had a partner in the last round; if as many are left, none of them merged.
+    """
+    if waiting is not None and left == waiting:
         raise RuntimeError("no pair merged although candidates remain")
 
 
@@ -469,10 +518,33 @@ def assign(
 
     Merges happen strictly below the threshold.
     """
+    check_linkage(linkage)
+    if linkage == "single":
+        return _single_labels(articles, keys, threshold, id_column, vector, local_limit, tile_rows)
     tree = merge_tree(articles, keys, threshold, linkage, id_column, vector, local_limit, tile_rows)
     return tree.select(*keys, "id", _label(threshold), "distance")
 
 
+def _single_labels(
+    articles: DataFrame, keys: list[str], threshold: float, id_column: str, vector: str, local_limit: int, tile_rows: int
+) -> DataFrame:
+    """Groups of single linkage at one threshold: the same as its merge history gives, found in one pass over the pairs."""
+    rows = unit_rows(articles, keys, id_column, vector)
+    large = _large_issues(articles, keys, local_limit)
+    weighted = rows.withColumn("n", F.lit(1).cast("bigint"))
+    done = [*keys, "id", _label(threshold), "distance"]
+    if large.isEmpty():
+        return _local_tree(weighted, keys, threshold, "single").select(*done)
+    local = _local_tree(weighted.join(large, keys, "left_anti"), keys, threshold, "single").select(*done)
+    rest = materialize(rows.join(large, keys, "left_semi"), "vectors")
+    usable = rest.filter(F.col("vec").isNotNull())
+    nodes, members = _fold_copies(usable, keys)
+    labels = _single_linkage(nodes.select(*keys, "id", "vec"), keys, threshold, tile_rows)
+    labels = members.join(labels.withColumnRenamed("id", "node"), [*keys, "node"]).select(*keys, "id", "cluster_id")
+    far = centroid_distances(materialize(labels, "labels").join(usable, [*keys, "id"]), keys)
+    return local.unionByName(far).unionByName(_alone(rest, keys, F.col("id").alias("cluster_id")))
+
+
 def cluster_articles(
     articles: DataFrame, keys: list[str], threshold: float, id_column: str = "seq", vector: str = "embedding", **options
 ) -> DataFrame:
