@@ -33,35 +33,27 @@ SHAPES = [
     (rf"^{DAY_NAME}{MONTH}\s+(\d{{1,2}})\s+{CLOCK}{ZONE}\s+(\d{{4}})$", (5, 1, 2, 3, 4)),
     (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})\s+{CLOCK}$", (3, 2, 1, 4, 5)),
 ]
-COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?(?:Z|[+-]\d{2}:?\d{2})?$"
+COMPACT_DATE = rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(\d{{2}})?{ZONE}$"
 OFFSET_TAIL = r"^.*(?:T\d{4,6}|:\d{2}(?:\.\d+)?)\s*([+-](?:0\d|1[0-7])):?([0-5]\d)(?: \d{4})?$"
 
 
-def _clock_of(plain: Column, shape: str, groups: tuple[int, ...]) -> Column:
-    """The zone-less timestamp that a shape's groups spell."""
-    year, month, day, clock, half = (F.regexp_extract(plain, shape, g) for g in groups)
-    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    for number, name in enumerate(MONTHS, 1):
-        month = F.when(F.lower(month) == name, str(number)).otherwise(month)
-    date = F.concat_ws("-", year, month, day)
-    plain_clock = F.concat_ws(" ", date, clock)
-    halved = F.concat(date, F.lit(" "), clock, F.lit(" "), F.upper(half), F.lit("M"))
-    return F.when(half == "", F.trim(plain_clock).try_cast("timestamp_ntz")).otherwise(
-        F.try_to_timestamp(halved, F.lit("yyyy-M-d h:mm[:ss] a")).cast("timestamp_ntz")
-    )
-
-
 def wall_clock(text: Column) -> Column:
     """The clock written in the text, without its offset, as a zone-less timestamp; null if unreadable.
 
-    Dates of digits and slashes are read day first. A two-digit year is of this century.
+    Dates of digits and slashes are read day first. A two-digit year is of this century. Each shape that matches rewrites the
+    text as ``year|month|day|clock|half``, which no shape matches again, so the steps are one chain without branches.
     """
-    plain = F.trim(text)
-    compact = F.regexp_replace(plain, COMPACT_DATE, "$1-$2-$3 $4:$5:$6")
-    found = F.when(plain.rlike(COMPACT_DATE), F.regexp_replace(compact, ":$", "").try_cast("timestamp_ntz"))
+    found = F.regexp_replace(F.trim(text), COMPACT_DATE, "$1|$2|$3|$4:$5:$6|")
     for shape, groups in SHAPES:
-        found = found.when(plain.rlike(shape), _clock_of(plain, shape, groups))
-    return found
+        found = F.regexp_replace(found, shape, "|".join(f"${g}" for g in groups))
+    found = F.lower(F.regexp_replace(found, "^[^|]*$", ""))
+    for number, name in enumerate(MONTHS, 1):
+        found = F.replace(found, F.lit(f"|{name}|"), F.lit(f"|{number}|"))
+    found = F.regexp_replace(found, r"^(\d\d)\|", "20$1|")
+    found = F.regexp_replace(found, r"^(\d+)\|(\d+)\|(\d+)\|([0-9:.]*?):?\|", "$1-$2-$3 $4 ")
+    found = F.trim(F.regexp_replace(found, "([ap])$", "$1m"))
+    halved = F.try_to_timestamp(F.upper(found), F.lit("yyyy-M-d h:mm[:ss] a")).cast("timestamp_ntz")
+    return F.coalesce(found.try_cast("timestamp_ntz"), halved)
 
 
 def parse_published(text: Column) -> Column:
