@@ -277,7 +277,7 @@ EMBEDDING_TEXT = (
 
 ORACLES: dict[str, str] = {
     "rss_scan": _with(ENTRY)
-    + r"""SELECT source AS feed_id, regexp_replace(raw_title, '^\s+|\s+$', '', 'g') AS title,
+    + r"""SELECT source AS feed_id, row_number() OVER (ORDER BY source, seq) AS place, regexp_replace(raw_title, '^\s+|\s+$', '', 'g') AS title,
        strftime(published, '%a, %d %b %Y %H:%M:%S +0000') AS published,
        CASE WHEN seq % 2 = 0 THEN regexp_replace(rest, '^\s+|\s+$', '', 'g') ELSE '' END AS description,
        regexp_replace(rest, '^\s+|\s+$', '', 'g') AS summary,

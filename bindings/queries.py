@@ -68,7 +68,8 @@ def rss_scan(spark, sf_dir):
     path = new_path(spark, "landing")
     R.write_rss(B.document_entries(spark, sf_dir), path)
     texts = ("title", "published", "description", "summary", "author", "link")
-    return R.read_rss(spark, path).select("feed_id", *[F.coalesce(X.strip(F.col(c)), F.lit("")).alias(c) for c in texts])
+    placed = positions(R.read_rss(spark, path), [], [F.col("seq")], "place")
+    return placed.select("feed_id", "place", *[F.coalesce(X.strip(F.col(c)), F.lit("")).alias(c) for c in texts])
 
 
 @query

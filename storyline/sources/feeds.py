@@ -22,11 +22,7 @@ ITEM = T.StructType(
 )
 
 
-def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all landed feeds, laid out as ``feed_id=<id>/*.xml``.
-
-    A broken item is dropped and the other items and feeds go on. ``seq`` follows the order of the files' items.
-    """
+def _items(spark: SparkSession, path: str) -> DataFrame:
     items = (
         spark.read.format("xml")
         .option("rowTag", "item")
@@ -36,8 +32,20 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
         .schema(ITEM)
         .load(path)
     )
-    return items.filter(F.col("_corrupt_record").isNull()).select(
-        F.col("feed_id").cast("string").alias("feed_id"),
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return items.select("*", *place, F.monotonically_increasing_id().alias("_read"))
+
+
+def read_rss(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of all landed feeds, laid out as ``feed_id=<id>/*.xml``.
+
+    A broken item is left out (``read_rejects`` lists it) and the other items and feeds go on. ``seq`` rises in the order of feed,
+    file name and item; it is not dense. Entries are written once, so that ``seq`` stays the same however often they are read.
+    """
+    order = ["feed_id", "_file", "_block", "_read"]
+    items = _items(spark, path).filter(F.col("_corrupt_record").isNull()).withColumn("feed_id", F.col("feed_id").cast("string"))
+    entries = items.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "feed_id",
         "title",
         F.col("pubDate").alias("published"),
         "description",
@@ -46,6 +54,13 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
         "link",
         F.monotonically_increasing_id().alias("seq"),
     )
+    return materialize(entries, "entries")
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Items that ``read_rss`` leaves out: ``feed_id, file, reason, item``."""
+    broken = _items(spark, path).filter(F.col("_corrupt_record").isNotNull())
+    return broken.select(F.col("feed_id").cast("string").alias("feed_id"), F.col("_file").alias("file"), F.lit("Broken item").alias("reason"), F.col("_corrupt_record").alias("item"))
 
 
 def write_rss(entries: DataFrame, path: str) -> None:
