@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyline.llm import chat, decontamination, language, neardup, ngramjoin, packing, sharding, suffixtree, toxicity, warc
 from storyline.llm.common import table, text_remainder
+from storyline.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,4 +117,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {}
