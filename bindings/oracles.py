@@ -437,6 +437,13 @@ FROM art JOIN embeddings ON seq = vec_id""",
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
 SELECT a.vec_id AS id, b.vec_id AS partner, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance
 FROM v a JOIN v b ON a.vec_id < b.vec_id AND 1 - list_cosine_similarity(a.v, b.v) < 0.75""",
+    "similarity_join_copies": r"""WITH one AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+v AS (SELECT vec_id, v FROM one UNION ALL SELECT vec_id + 1000000000, v FROM one WHERE vec_id % 7 = 0),
+d AS (
+  SELECT a.vec_id AS id, b.vec_id AS partner, CASE WHEN a.v = b.v THEN 0.0 ELSE 1 - list_cosine_similarity(a.v, b.v) END AS d
+  FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT id, partner, round(CAST(d AS DOUBLE), 6) AS distance FROM d WHERE d < 0.75""",
     "previous_episode": _with(EPISODE)
     + r"""SELECT c.programme, c.day AS issue_date, strftime(CAST(c.day AS DATE) - 1, '%Y-%m-%d') AS previous_date,
        coalesce(p.script, 'No previous episode found.') AS previous_script

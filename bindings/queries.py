@@ -428,6 +428,16 @@ def similarity_join(spark, sf_dir):
     return C.similarity_join(B.vectors(spark, sf_dir), ISSUE, 0.75).select("id", "partner", six("distance"))
 
 
+@query
+def similarity_join_copies(spark, sf_dir):
+    """The join over vectors of which every seventh is there twice, with all pairs of copies."""
+    rows = B.vectors(spark, sf_dir)
+    twice = rows.filter(F.col("seq") % 7 == 0).withColumn("seq", F.col("seq") + 1_000_000_000)
+    rows = materialize(rows.unionByName(twice), "doubled")
+    pairs = C.expand_pairs(C.similarity_join(rows, ISSUE, 0.75), C.copy_groups(rows, ISSUE), ISSUE)
+    return pairs.select("id", "partner", six("distance"))
+
+
 @query
 def previous_episode(spark, sf_dir):
     rows = B.episodes(spark, sf_dir)

@@ -55,7 +55,8 @@ def similarity_join(
     """Pairs of articles of an issue nearer than ``below``: ``keys, id, partner, distance, copies, partner_copies``.
 
     Equal vectors stand as one row with their number, so a group of copies does not become all its pairs; a row with
-    ``id = partner`` says that the group has copies. Clustering does not need this table.
+    ``id = partner`` says that the group has copies; :func:`copy_groups` has the members, so no pair is lost. Clustering does
+    not need this table.
     """
     usable = unit_rows(articles, keys, id_column, vector).filter(F.col("vec").isNotNull())
     nodes, _ = _fold_copies(usable, keys)
@@ -70,6 +71,21 @@ def similarity_join(
     return found.select(*same.columns).unionByName(same)
 
 
+def copy_groups(articles: DataFrame, keys: list[str], id_column: str = "seq", vector: str = "embedding") -> DataFrame:
+    """The members behind the rows of :func:`similarity_join`: ``keys, id, node``, each article with the id its vector stands under."""
+    usable = unit_rows(articles, keys, id_column, vector).filter(F.col("vec").isNotNull())
+    return _fold_copies(usable, keys)[1]
+
+
+def expand_pairs(pairs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs of articles behind folded pairs, smaller id first: ``keys, id, partner, distance``. As many rows as there are pairs."""
+    left = members.select(*keys, F.col("node").alias("id"), F.col("id").alias("a"))
+    right = members.select(*keys, F.col("node").alias("partner"), F.col("id").alias("b"))
+    every = pairs.select(*keys, "id", "partner", "distance").join(left, [*keys, "id"]).join(right, [*keys, "partner"])
+    once = every.filter((F.col("id") != F.col("partner")) | (F.col("a") < F.col("b")))
+    return once.select(*keys, F.least("a", "b").alias("id"), F.greatest("a", "b").alias("partner"), "distance")
+
+
 def _merge_in_task(threshold: float, linkage: str, keys: list[str]):
     """The rounds of one bounded issue: merge all mutual nearest pairs, renew the distances, repeat."""
 

@@ -121,3 +121,22 @@ def test_vectors(spark):
 def test_dates_keep_day_of_issue(spark):
     rows = spark.createDataFrame([(date(2025, 12, 9),)], "date date").select(D.mail_date(D.publication_time(F.col("date"))))
     assert rows.first()[0] == "Tue, 09 Dec 2025 08:00:00 +0000"
+
+
+def test_more_date_shapes(column):
+    shapes = {
+        "Sat, 07 Feb 2026 18:45:06 EST": "2026-02-07 18:45:06",
+        "Sat, 07 February 2026 18:45:06 +0100": "2026-02-07 17:45:06",
+        "07 Feb 26 18:45 CET": "2026-02-07 18:45:00",
+        "Feb 7, 2026 10:00": "2026-02-07 10:00:00",
+        "Sat Feb 7 18:45:06 2026": "2026-02-07 18:45:06",
+        "2026/02/07": "2026-02-07 00:00:00",
+        "Feb 7, 2026 10:00 PM": "2026-02-07 22:00:00",
+        "7 Feb 2026 12:05 a.m.": "2026-02-07 00:05:00",
+        "20260207T184506Z": "2026-02-07 18:45:06",
+        "Sat, 31 Feb 2026 10:00:00 GMT": None,
+        "2026": None,
+        "a|b": None,
+    }
+    found = column(lambda c: D.parse_published(c).cast("string"), list(shapes))
+    assert found == list(shapes.values())

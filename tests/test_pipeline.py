@@ -219,15 +219,42 @@ def test_providers(spark):
     assert all(abs(r.n - 1) < 1e-5 or r.n == 0 for r in unit)
 
 
-def test_stream_equals_batch(spark):
-    landed, out, marks = (new_path(spark, n) for n in ("landed", "streamed", "marks"))
+def test_a_text_is_sent_once(spark):
+    sent = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def call(texts):
+            sent.add(len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return call
+
+    E.register_provider("counted", factory)
+    rows = B.articles(spark, DATA).limit(60)
+    embedded = E.embed(rows, "counted")
+    daily_analysis(embedded, 0.01)
+    evaluation.threshold_sweep(embedded, ["show", "issue_date"], [0.01, 0.02]).collect()
+    assert sent.value == 60
+
+
+def test_stream_does_not_depend_on_batches(spark):
     raw = B.document_entries(spark, DATA)
-    raw.repartition(3).write.parquet(landed)
+    future = raw.limit(1).withColumns({"title": F.lit("From the future"), "published": F.lit("Sat, 07 Feb 2099 18:45:06 GMT"), "seq": F.lit(10**6)})
+    raw = raw.unionByName(future)
     dim = R.feed_dim(B.feeds(spark, DATA))
-    start_ingest(stream_articles(spark.readStream.schema(raw.schema).parquet(landed), dim), out, marks).awaitTermination()
-    batch = I.dedupe(I.to_articles(I.validate(raw).filter("reason is null"), dim))
+    as_of = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    good = I.within_age(I.validate(raw).filter("reason is null"), as_of)
     key = lambda df: sorted((r.source, r.title) for r in df.collect())
-    assert key(spark.read.parquet(out)) == key(batch)
+    expected = key(I.dedupe(I.to_articles(good, dim)))
+    assert any("future" in t for _, t in expected)
+    for order, files in (("seq", 1), ("seq", 3), ("-seq", 3)):
+        landed, out, marks = (new_path(spark, n) for n in ("landed", "streamed", "marks"))
+        parts = raw.repartitionByRange(files, F.expr(order)).withColumn("part", F.spark_partition_id())
+        for part in range(files):  # one file after the other, so that they arrive in this order
+            parts.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+        start_ingest(stream_articles(stream, dim, as_of), out, marks).awaitTermination()
+        assert key(spark.read.parquet(out)) == expected
 
 
 def test_broken_feed_items_are_skipped(spark, tmp_path):
@@ -237,6 +264,7 @@ def test_broken_feed_items_are_skipped(spark, tmp_path):
         (folder / "f.xml").write_text(f'<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>{body}</channel></rss>')
     found = R.read_rss(spark, str(tmp_path)).filter("published is not null").collect()
     assert [(r.feed_id, r.title, r.author) for r in found] == [("a", "x", "Ada")]
+    assert {r.reason for r in R.read_rejects(spark, str(tmp_path)).collect()} <= {"Broken item"}
 
 
 def test_previous_episode_does_not_cross_gaps(spark):
