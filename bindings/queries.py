@@ -390,7 +390,7 @@ def union_feeds(spark, sf_dir):
 
 @query
 def group_by_source(spark, sf_dir):
-    rows = views.source_listing(B.articles(spark, sf_dir))
+    rows = views.source_listing(B.articles(spark, sf_dir).select(*ISSUE, "source", "seq"))
     return rows.select(day(), "source", "source_articles", "position", "seq")
 
 
