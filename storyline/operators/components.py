@@ -5,32 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyline.session import materialize
+from storyline.session import drop_table, materialize, write_table
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """The least id each node can reach: ``keys, id, cluster_id``.
 
     ``nodes`` has ``keys, id`` and ``edges`` has ``keys, a, b``. Each round a label takes the least label next to
-    it, then the label of its label, so the number of rounds grows with the logarithm of the longest chain.
+    it, then the label of its label, so the number of rounds grows with the logarithm of the longest chain. The tables of a
+    round are dropped when the next one is written.
     """
+    spark = nodes.sparkSession
     both = edges.select(*keys, F.col("a").alias("id"), F.col("b").alias("other")).unionByName(
         edges.select(*keys, F.col("b").alias("id"), F.col("a").alias("other"))
     )
     both = materialize(both.distinct(), "edges")
     labels = nodes.select(*keys, "id", F.col("id").alias("cluster_id"))
+    past = None
     while True:
         near = both.join(labels, [*keys, "id"]).select(*keys, F.col("other").alias("id"), "cluster_id")
         least = (
             labels.unionByName(near).groupBy(*keys, "id").agg(F.min("cluster_id").alias("cluster_id"))
         )
-        least = materialize(least, "labels")
+        least, least_path = write_table(least, "labels")
         jump = least.select(*keys, F.col("id").alias("cluster_id"), F.col("cluster_id").alias("further"))
         jumped = least.join(jump, [*keys, "cluster_id"]).select(*keys, "id", F.col("further").alias("cluster_id"))
         before = labels.withColumnRenamed("cluster_id", "old")
-        jumped = materialize(
+        jumped, path = write_table(
             jumped.join(before, [*keys, "id"]).withColumn("moved", F.col("old") != F.col("cluster_id")), "labels"
         )
+        drop_table(spark, least_path)
+        if past:
+            drop_table(spark, past)
+        past = path
         labels = jumped.select(*keys, "id", "cluster_id")
         if jumped.filter("moved").isEmpty():
             return labels

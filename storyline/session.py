@@ -59,8 +59,7 @@ def _own_folder(spark: SparkSession) -> str:
 
 def drop_written(spark: SparkSession) -> None:
     """Delete the tables this application wrote; call it when all results have been saved elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_table(spark, _own_folder(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -68,10 +67,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts lineage, survives lost executors, and gives later joins a true size to plan with.
     """
+    return write_table(df, name)[0]
+
+
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`materialize`, with the path, so that a loop can drop what it no longer reads."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete one written table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def even_parts(df: DataFrame) -> int:

@@ -58,9 +58,9 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """Items that ``read_rss`` leaves out: ``feed_id, file, reason, item``."""
+    """Items that ``read_rss`` leaves out: ``feed_id, file, reason, title, item``, the title if it was readable."""
     broken = _items(spark, path).filter(F.col("_corrupt_record").isNotNull())
-    return broken.select(F.col("feed_id").cast("string").alias("feed_id"), F.col("_file").alias("file"), F.lit("Broken item").alias("reason"), F.col("_corrupt_record").alias("item"))
+    return broken.select(F.col("feed_id").cast("string").alias("feed_id"), F.col("_file").alias("file"), F.lit("Broken item").alias("reason"), "title", F.col("_corrupt_record").alias("item"))
 
 
 def write_rss(entries: DataFrame, path: str) -> None:
