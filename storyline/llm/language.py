@@ -16,13 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.llm.common import mixed, texts_of
+from storyline.session import materialize
 
 LONGEST = 3
 BINS = 8192
-#: Texts of each language that the model is fitted on, the languages at most (the most frequent ones), and the landmarks.
+#: Texts of each language that the model is fitted on. Of many languages each has fewer, so that they are about ``SAMPLE``, but
+#: none has less than ``LEAST_SAMPLE`` and none is left out.
 SAMPLE_PER_LANGUAGE = 400
-LANGUAGES = 64
-LANDMARKS = 256
+SAMPLE, LEAST_SAMPLE = 25600, 16
+#: Landmarks at least, and landmarks of each language at least.
+LANDMARKS, LANDMARKS_PER_LANGUAGE = 256, 4
 RIDGE = 1e-2
 #: Texts a task turns into a dense matrix at once, and code points it hashes at once.
 ROWS_AT_ONCE = 256
@@ -71,30 +74,35 @@ def unit_rows(sets: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt(rows.sum(axis=1, keepdims=True)), 1)
 
 
-def fit(sets: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel | None:
+def fit(sets: np.ndarray, languages: list[str], landmarks: int | None = None, ridge: float = RIDGE) -> LanguageModel | None:
     """Fit on rows of hashed sets, given in an order that is random but fixed. No rows: no model."""
     if not languages:
         return None
     names = sorted(set(languages))
-    labels = np.array([names.index(x) for x in languages])
-    rows = unit_rows(sets).astype(np.float64)
+    number = {name: k for k, name in enumerate(names)}
+    labels = np.array([number[x] for x in languages])
     turn = np.zeros(len(labels), np.int64)  # landmarks take turns among the languages
     for k in range(len(names)):
         turn[labels == k] = np.arange((labels == k).sum())
-    marks = rows[np.lexsort((labels, turn))[:landmarks]]
+    landmarks = landmarks or max(LANDMARKS, LANDMARKS_PER_LANGUAGE * len(names))
+    marks = unit_rows(sets[np.lexsort((labels, turn))[:landmarks]]).astype(np.float64)
     values, vectors = np.linalg.eigh(marks @ marks.T)
     keep = values > 1e-8 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = rows @ marks.T @ root
     weight = 1.0 / np.bincount(labels, minlength=len(names))[labels]  # languages count alike
-    targets = np.where(labels[:, None] == np.arange(len(names)), 1.0, -1.0)
-    gram = features.T @ (features * weight[:, None])
-    solved = np.linalg.solve(gram + ridge * np.eye(gram.shape[0]), features.T @ (targets * weight[:, None]))
+    gram, aims = np.zeros((root.shape[1], root.shape[1])), np.zeros((root.shape[1], len(names)))
+    for start in range(0, len(labels), ROWS_AT_ONCE):
+        part = slice(start, start + ROWS_AT_ONCE)
+        features = unit_rows(sets[part]).astype(np.float64) @ marks.T @ root
+        targets = np.where(labels[part, None] == np.arange(len(names)), 1.0, -1.0)
+        gram += features.T @ (features * weight[part, None])
+        aims += features.T @ (targets * weight[part, None])
+    solved = np.linalg.solve(gram + ridge * np.eye(gram.shape[0]), aims)
     return LanguageModel(marks.astype(np.float32), (root @ solved).astype(np.float32), names)
 
 
 def train(docs: DataFrame, fold: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
-    """Learn from ``text`` and ``lang`` of at most ``per_language`` rows of each of ``LANGUAGES`` languages.
+    """Learn from ``text`` and ``lang`` of at most ``per_language`` rows of each language.
 
     The rows are those with the least hash of id and text; each task and slice keeps no more than the bound. Their
     hashed sets, ``BINS`` bits each, are all that reaches the driver. Rows without language, or without a letter in the text, are left out.
@@ -102,19 +110,18 @@ def train(docs: DataFrame, fold: Column | None = None, per_language: int = SAMPL
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if fold is not None:
         rows = rows.filter(fold)
-    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    known = [r["lang"] for r in names.collect()]
+    kinds = rows.select("lang").distinct().count()
+    per_language = min(per_language, max(LEAST_SAMPLE, SAMPLE // max(1, kinds)))
     key = F.xxhash64("doc_id", "text")
-    rows = rows.filter(F.col("lang").isin(known)).select("lang", key.alias("key"), "text")
+    rows = rows.select("lang", key.alias("key"), "text")
     # Each slice keeps its least keys, then each language; keys only, so that no text is shuffled.
     keys = rows.select("lang", "key", F.pmod("key", F.lit(32)).alias("slice"))
     for group in (["lang", "slice"], ["lang"]):
         window = Window.partitionBy(*group).orderBy("key")
         keys = keys.withColumn("n", F.row_number().over(window)).filter(F.col("n") <= per_language)
-    edges = keys.groupBy("lang").agg(F.max("key").alias("last")).collect()
-    chosen = F.lit(False)
-    for r in edges:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("key") <= r["last"]))
+    # One row per language, written so that the join knows its size.
+    edges = materialize(keys.groupBy("lang").agg(F.max("key").alias("last")), "edges")
+    chosen = rows.join(edges, "lang").filter(F.col("key") <= F.col("last")).select("lang", "key", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +129,7 @@ def train(docs: DataFrame, fold: Column | None = None, per_language: int = SAMPL
             packed = [np.packbits(presence(t)).tobytes() if has_letter(t) else None for t in texts]
             yield pa.RecordBatch.from_arrays([batch["lang"], batch["key"], pa.array(packed, pa.binary())], ["lang", "key", "bits"])
 
-    found = rows.filter(chosen).mapInArrow(sets, "lang string, key bigint, bits binary").filter("bits is not null").distinct().collect()
+    found = chosen.mapInArrow(sets, "lang string, key bigint, bits binary").filter("bits is not null").distinct().collect()
     found = sorted({(r["key"], r["lang"], bytes(r["bits"])) for r in found})
     matrix = np.unpackbits(np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(-1, BINS // 8), axis=1)
     return fit(matrix, [r[1] for r in found])
@@ -132,7 +139,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """Add ``doc`` (the row, all its columns), ``lang_pred`` and ``score`` in [0, 1].
 
     A null text or one without a letter is ``und`` with score 0, as is every text if there was nothing to learn from. Ties
-    go to the first language by name. Rows stay where they are; the model is a fixed number of landmarks.
+    go to the first language by name. Rows stay where they are; the model is a number of landmarks that grows with the languages alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model and (model.landmarks, model.weights, model.languages))
 

@@ -38,6 +38,20 @@ def test_language_odd_rows(spark):
     assert L.identify(no_docs(spark), model).count() == 0
 
 
+def test_language_learns_every_language(spark):
+    """None of 90 languages is left out, also not those with fewer rows."""
+    pick = np.random.default_rng(4)
+    words = {f"l{k:02}": ["".join(chr(97 + c) for c in pick.integers(0, 26, 5)) for _ in range(12)] for k in range(90)}
+    rows = []
+    for k, (lang, own) in enumerate(words.items()):
+        rows += [(1000 * k + i, " ".join(pick.choice(own, 20)), lang) for i in range(20 if k < 64 else 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = L.train(docs, (docs.doc_id % 5) != 0)
+    assert model.languages == sorted(words) and len(model.landmarks) == 4 * 90
+    found = L.identify(docs.filter("doc_id % 5 = 0"), model).select("doc.lang", "lang_pred").collect()
+    assert len({r["lang"] for r in found}) == 90 and all(r["lang"] == r["lang_pred"] for r in found)
+
+
 def test_presence_does_not_depend_on_blocks(monkeypatch):
     text = "The quick brown fox — über Straßen, 12 times"
     whole = L.presence(text)
