@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 from storyline.llm.common import WORD_BYTES, WordHashes, texts_of
 
 BINS = 1 << 18
-#: Labelled rows of each class that the machine is fitted on, at most, and terms of one such text, at most (a text with
-#: more is left out of the fit; scoring has no such bound).
+#: Labelled rows of each class that the machine is fitted on, at most. Each counts with all its terms.
 SAMPLE_PER_CLASS = 3000
-TERMS_IN_FIT = 20_000
 #: First letters (in bytes) of a word that count as terms of their own.
 STEMS = (4, 5, 6)
 FACTORS = 4
@@ -39,6 +37,23 @@ def terms(text: str, hashes: WordHashes, bins: int = BINS) -> np.ndarray:
     return np.unique(hashes.of([*words, *stems]) % np.uint64(bins)).astype(np.int64)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """A list of terms as numbers or, of a long text, as one bit per bin, so that no text takes more than ``BINS / 8`` bytes."""
+    if len(found) < BINS // 32:
+        return found.astype(np.int32).tobytes()
+    bits = np.zeros(BINS, bool)
+    bits[found] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(found: bytes | np.ndarray) -> np.ndarray:
+    if isinstance(found, np.ndarray):
+        return found
+    if len(found) < BINS // 8:
+        return np.frombuffer(found, np.int32).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(found, np.uint8)))
+
+
 @dataclass
 class FactorizationMachine:
     """Bias, the chosen terms' bins (sorted), their weights and their factor rows."""
@@ -69,10 +84,11 @@ def _margin(bias: float, weights: np.ndarray, factors: np.ndarray, row: np.ndarr
     return bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
 
-def chosen_terms(row: np.ndarray, every: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def chosen_terms(lists: list[bytes | np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Bins whose presence differs between the classes by more than chance among so many bins (G test)."""
-    toxic = np.bincount(every[labels[row] == 1], minlength=BINS).astype(float)
-    clean = np.bincount(every[labels[row] == 0], minlength=BINS).astype(float)
+    clean, toxic = np.zeros(BINS), np.zeros(BINS)
+    for found, label in zip(lists, labels.tolist()):
+        (toxic if label else clean)[unpacked(found)] += 1  # a text's terms are distinct
     n1, n0 = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
     share = (toxic + clean) / (n1 + n0)
 
@@ -83,18 +99,19 @@ def chosen_terms(row: np.ndarray, every: np.ndarray, labels: np.ndarray) -> np.n
     return np.flatnonzero(g > 2 * np.log(max(2, (share > 0).sum())))
 
 
-def fit(lists: list[np.ndarray], labels: list[int]) -> FactorizationMachine:
-    """Fit by full-batch adaptive gradient steps on logistic loss, both classes with equal weight in total."""
+def fit(lists: list[bytes | np.ndarray], labels: list[int]) -> FactorizationMachine:
+    """Fit by full-batch adaptive gradient steps on logistic loss, both classes with equal weight in total.
+
+    Packed lists are unpacked one at a time, and only the chosen terms of each are held.
+    """
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():  # nothing to tell apart: the only known class, or even odds
         share = 0.5 if not len(y) else float(np.clip(y[0], 0.01, 0.99))
         none = np.zeros(0)
         return FactorizationMachine(float(np.log(share / (1 - share))), none.astype(np.int64), none, np.zeros((0, FACTORS)))
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    every = np.concatenate(lists)
-    bins = chosen_terms(row, every, y)
-    keep = np.isin(every, bins)
-    row, at = row[keep], np.searchsorted(bins, every[keep])
+    bins = chosen_terms(lists, y)
+    kept = [x[np.isin(x, bins)] for x in map(unpacked, lists)]
+    row, at = np.repeat(np.arange(len(kept)), [len(x) for x in kept]), np.searchsorted(bins, np.concatenate(kept))
     bias, weights = 0.0, np.zeros(len(bins))
     factors = np.random.default_rng(7).normal(0, 0.01, (len(bins), FACTORS))
     importance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
@@ -148,15 +165,14 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, per_cl
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [terms(t, hashes) for t in texts_of(batch["text"])]
-            packed = [x.astype(np.int32).tobytes() if len(x) <= TERMS_IN_FIT else None for x in found]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(packed, pa.binary())], ["doc_id", "terms"])
+            found = [packed(terms(t, hashes)) for t in texts_of(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], ["doc_id", "terms"])
 
     # At most twice ``per_class`` ids, so their side of the join has a known size.
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id", "left_semi")
-    found = texts.mapInArrow(lists, "doc_id bigint, terms binary").filter("terms is not null")
+    found = texts.mapInArrow(lists, "doc_id bigint, terms binary")
     found = sorted({(r["doc_id"], bytes(r["terms"])) for r in found.distinct().collect()})
-    return fit([np.frombuffer(t, np.int32).astype(np.int64) for _, t in found], [chosen[i] for i, _ in found])
+    return fit([t for _, t in found], [chosen[i] for i, _ in found])
 
 
 def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:

@@ -92,3 +92,17 @@ def test_toxicity_odd_rows(spark):
         assert len(rows) == docs.count() and all(0 < r["given"] < 1 for r in rows)
         assert {r["score"] for r in rows} == {"own score"}
         assert T.score(no_docs(spark), machine).count() == 0
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """Toxic texts of over 20,000 terms each are in the fit."""
+    rng = np.random.default_rng(2)
+    long = [" ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (9000, 8))) for _ in range(24)]
+    rows = [(k, t + " vile", 1) for k, t in enumerate(long)] + [(100 + k, f"kind words {k}", 0) for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    hashes = T.WordHashes()
+    assert len(T.terms(long[0], hashes)) > 20_000
+    assert (T.unpacked(T.packed(T.terms(long[0], hashes))) == T.terms(long[0], hashes)).all()
+    machine = T.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    vile, kind = machine.score([T.terms("vile", hashes), T.terms("kind words", hashes)])
+    assert np.isin(T.terms("vile", hashes), machine.bins).all() and vile > kind
