@@ -1,8 +1,9 @@
-"""Similarity join of texts on word shingles: a MinHash LSH forest finds candidates, exact Jaccard verifies them.
+"""Similarity join of texts on word shingles: MinHash bands find candidates, exact Jaccard verifies them.
 
 * A text is the set of its runs of ``SHINGLE`` words. Texts with equal sets are a class; only classes are compared.
-* Each of ``TREES`` prefix tries orders classes by their own min-hashes. Matched prefixes are shortened, from ``DEEPEST`` values
-  on, until classes at the threshold meet in some tree with probability ``RECALL``. Classes below one trie node are candidates.
+* Each of ``TREES`` bands hashes the first ``depth_for()`` of its own min-hashes to one key; classes with equal keys are
+  candidates. The depth follows from ``SIMILAR`` and ``RECALL`` alone, so this is banding and not a forest with prefixes
+  that are shortened on the data.
 * Inside a node, signatures of one byte per min-hash rule out pairs that are far from the threshold. What remains is joined to
   groups; all pairs within a group are then verified on their whole shingle sets, also those that no tree brought together.
 * Nodes and groups are cut into tiles, and each pair of tiles is one bounded Spark group. A task counts links and returns one
