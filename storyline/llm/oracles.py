@@ -49,8 +49,34 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(length('<turn ' || role || '>' || escaped || '</turn>') + 2) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id"""
 
+COLLOCATIONS = rf"""WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+ws AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+word AS (SELECT id, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM ws),
+next AS (SELECT lang, x, lead(x) OVER (PARTITION BY id ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY id ORDER BY i) AS z FROM word),
+gram AS (
+  SELECT lang, 1 AS k, x AS g, count(*) AS f FROM next GROUP BY ALL
+  UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM next WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM next WHERE z IS NOT NULL GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM gram WHERE k = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT lang, k, g, string_split(g, ' ') AS words, f FROM gram WHERE f >= 10),
+cut AS (
+  SELECT lang, k, words, g, f AS a, unnest(CASE k WHEN 2 THEN [1] ELSE [1, 2] END) AS j FROM often WHERE k >= 2),
+part AS (SELECT *, array_to_string(words[1:j], ' ') AS g1, array_to_string(words[j + 1:], ' ') AS g2 FROM cut),
+scored AS (
+  SELECT part.*, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM part JOIN often x ON x.lang = part.lang AND x.g = g1 JOIN often y ON y.lang = part.lang AND y.g = g2),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+around AS (
+  SELECT DISTINCT lang, g FROM (
+    SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS g FROM best WHERE k = 3) t
+  JOIN (SELECT lang, g, a AS own FROM best WHERE k = 2) s USING (lang, g) WHERE 100 * a >= 50 * own)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM best ANTI JOIN around USING (lang, g) JOIN total USING (lang) QUALIFY rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op2_near_duplicates": NEAR_DUPLICATES,
     "op3_chat": CHAT,
+    "op11_collocations": COLLOCATIONS,
 }

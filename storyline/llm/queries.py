@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import chat, decontamination, language, neardup, ngramjoin, packing, sharding, suffixtree, toxicity, warc
+from storyline.llm import chat, collocations, decontamination, language, neardup, ngramjoin, packing, sharding, suffixtree, toxicity, warc
 from storyline.llm.common import table, text_remainder
 from storyline.llm.oracles import ORACLES  # noqa: F401
+from storyline.operators.ordering import first_rows
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +106,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Phrases reported per language.
+TOP_PHRASES = 2000
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    phrases = collocations.mine(docs).filter(~F.col("dropped")).select("lang", "phrase", "a", "l", "r", "n", "score")
+    ranked = first_rows(phrases, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], TOP_PHRASES)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_duplicates": op2_near_duplicates,
@@ -116,4 +128,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
+    "op11_collocations": op11_collocations,
 }
