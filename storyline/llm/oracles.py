@@ -74,9 +74,46 @@ around AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score
 FROM best ANTI JOIN around USING (lang, g) JOIN total USING (lang) QUALIFY rank <= 2000"""
 
+PREFIX_TRIE = r"""WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT range AS x, list_reduce(list_prepend(range, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+  FROM range(256)),
+crcs AS (SELECT list(v ORDER BY x) AS tab FROM crc),
+ids AS (SELECT DISTINCT c FROM t),
+convs AS (
+  SELECT c, c - c % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))),
+             lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM ids, crcs),
+base AS (SELECT c AS base, max(i) AS n FROM t GROUP BY c),
+seq AS (
+  SELECT convs.c, t.i AS d, role, text FROM convs JOIN t ON t.c = base AND t.i <= h
+  UNION ALL
+  SELECT convs.c, t.i - h + least(h, coalesce(n, 0)), role, text FROM convs LEFT JOIN base USING (base) JOIN t ON t.c = convs.c AND t.i > h),
+path AS (
+  SELECT convs.c, list(sha256(length(role) || ':' || role || text) ORDER BY d) FILTER (d IS NOT NULL) AS keys,
+         list(strlen(text) ORDER BY d) FILTER (d IS NOT NULL) AS sizes FROM convs LEFT JOIN seq USING (c) GROUP BY convs.c),
+whole AS (SELECT c, coalesce(keys, []) AS keys, coalesce(sizes, []) AS sizes FROM path),
+visit AS (
+  SELECT c, d, array_to_string(keys[1:d], ',') AS k, array_to_string(keys[1:d - 1], ',') AS up, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(keys) AS ends
+  FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM whole)),
+node AS (
+  SELECT d, k, min(up) AS up, min(c) AS c, count(*) AS n, min(size) AS size, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ended
+  FROM visit GROUP BY d, k),
+child AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY d, up),
+full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (d, k)),
+up_ AS (
+  SELECT d0 AS d, array_to_string(parts[1:d0], ',') AS k, leaf, saved FROM (
+    SELECT string_split(k, ',') AS parts, unnest(range(0, d + 1)) AS d0, CAST(n_children = 0 AS BIGINT) AS leaf, (n - 1) * size AS saved FROM full_)),
+sums AS (SELECT d, k, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up_ GROUP BY d, k)
+SELECT f.c AS conv_id, f.d AS depth, p.c AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ended) AS ends_sha256
+FROM full_ f JOIN sums USING (d, k) LEFT JOIN node p ON p.d = f.d - 1 AND p.k = f.up"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op2_near_duplicates": NEAR_DUPLICATES,
     "op3_chat": CHAT,
     "op11_collocations": COLLOCATIONS,
+    "op13_prefix_trie": PREFIX_TRIE,
 }

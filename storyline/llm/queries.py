@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import chat, collocations, decontamination, language, neardup, ngramjoin, packing, sharding, suffixtree, toxicity, warc
+from storyline.llm import bpe, chat, collocations, decontamination, language, neardup, ngramjoin, packing, prefixtrie, sharding, suffixtree, toxicity, warc
 from storyline.llm.common import table, text_remainder
 from storyline.llm.oracles import ORACLES  # noqa: F401
 from storyline.operators.ordering import first_rows
@@ -117,6 +117,21 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return bpe.decode(coded).select(
+        "doc.doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = prefixtrie.rebuilt(prefixtrie.number_turns(table(spark, sf_dir, "conversations")))
+    return prefixtrie.build(turns, members)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_duplicates": op2_near_duplicates,
@@ -129,4 +144,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_language": op10_language,
     "op11_collocations": op11_collocations,
+    "op12_bpe": op12_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
