@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,25 @@ def odd_numbers(count: int, seed: int) -> np.ndarray:
     return mixed(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Views of ``rows`` rows at most, so that what a task makes of texts does not depend on the size of Spark's batches."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # workers are used again
+
+
+def row_with_text(docs: DataFrame) -> DataFrame:
+    """``doc``: the row, all its columns, so that a text goes to a task once; :func:`text_in` takes it out there."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def text_in(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of the rows in ``doc``; null for a null text."""
+    docs = batch["doc"]
+    return pc.struct_field(docs, docs.type.get_field_index("text"))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null is empty."""
     return [t or "" for t in column.to_pylist()]

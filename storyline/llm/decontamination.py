@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyline.llm.common import WORD_BYTES
+from storyline.llm.common import WORD_BYTES, row_with_text, slices, text_in
 from storyline.session import materialize
 
 WINDOW = 13
@@ -98,9 +98,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text", size.alias("size"))
     total = items.agg(F.sum("size").alias("n")).first()["n"] or 0
     parts = -(-2 * total // part_bytes) if total > part_bytes else 1
-    found = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.col("text").alias("text"),
+    found = row_with_text(docs).select(
+        "doc",
         F.lit(0).cast("bigint").alias("words"),
         F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"),
         F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("places"),
@@ -112,7 +111,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_
         found = _scan_part(found, rows, window)
         if part < parts - 1:
             found = materialize(found, "hits")
-    return found
+    return found.select("doc", F.col("doc.text").alias("text"), "words", "spans", "places", "items")
 
 
 def _scan_part(found: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
@@ -120,10 +119,10 @@ def _scan_part(found: DataFrame, items: list[tuple[str, str]], window: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build(shared.value, window)
-        for batch in batches:
+        for batch in slices(batches):
             made: dict[str, list] = {"words": [], "spans": [], "places": [], "items": []}
-            old = (batch[c].to_pylist() for c in ("text", "spans", "places", "items"))
-            for text, had, had_places, had_items in zip(*old):
+            old = (batch[c].to_pylist() for c in ("spans", "places", "items"))
+            for text, had, had_places, had_items in zip(text_in(batch).to_pylist(), *old):
                 n, runs, places, ids = scan(text, automaton)
                 made["words"].append(n)
                 made["spans"].append(_union(had, runs, "first", "last"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyline.llm.common import mixed, texts_of
+from storyline.llm.common import mixed, row_with_text, slices, text_in, texts_of
 from storyline.session import materialize
 
 LONGEST = 3
@@ -124,7 +124,7 @@ def train(docs: DataFrame, fold: Column | None = None, per_language: int = SAMPL
     chosen = rows.join(edges, "lang").filter(F.col("key") <= F.col("last")).select("lang", "key", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch["text"])
             packed = [np.packbits(presence(t)).tobytes() if has_letter(t) else None for t in texts]
             yield pa.RecordBatch.from_arrays([batch["lang"], batch["key"], pa.array(packed, pa.binary())], ["lang", "key", "bits"])
@@ -145,20 +145,19 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value and LanguageModel(*shared.value)
-        for batch in batches:
-            texts = batch["text"].to_pylist()
+        for batch in slices(batches, ROWS_AT_ONCE):
+            texts = text_in(batch).to_pylist()
             names: list[str] = [UNDETERMINED] * len(texts)
             scores = np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if has_letter(t)] if known else []
-            for start in range(0, len(at), ROWS_AT_ONCE):
-                part = at[start : start + ROWS_AT_ONCE]
-                raw = known.score(np.vstack([presence(texts[i]) for i in part]))
+            if at:
+                raw = known.score(np.vstack([presence(texts[i]) for i in at]))
                 best = raw.argmax(axis=1)
-                scores[part] = np.clip((raw.max(axis=1) + 1) / 2, 0, 1)
-                for i, k in zip(part, best):
+                scores[at] = np.clip((raw.max(axis=1) + 1) / 2, 0, 1)
+                for i, k in zip(at, best):
                     names[i] = known.languages[k]
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(names), pa.array(scores)], ["doc", "lang_pred", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("text"))
+    rows = row_with_text(docs)
     schema = rows.select("doc", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyline.llm.common import WORD_BYTES, WordHashes, least_linked, mixed, odd_numbers, stream_groups, texts_of, tile_pairs
+from storyline.llm.common import WORD_BYTES, WordHashes, least_linked, mixed, odd_numbers, slices, stream_groups, texts_of, tile_pairs
 from storyline.operators.components import connected_components
 from storyline.session import materialize
 
@@ -99,7 +99,7 @@ def _signed(texts: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             size, high, low, keys, marks = [], [], [], [], []
             for text in texts_of(batch["text"]):
                 found = shingles(text, hashes)

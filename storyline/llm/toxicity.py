@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyline.llm.common import WORD_BYTES, WordHashes, texts_of
+from storyline.llm.common import WORD_BYTES, WordHashes, row_with_text, slices, text_in, texts_of
 
 BINS = 1 << 18
 #: Labelled rows of each class that the machine is fitted on, at most. Each counts with all its terms.
@@ -147,32 +147,34 @@ def shift(value: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, per_class: int = SAMPLE_PER_CLASS) -> FactorizationMachine:
     """Learn from the texts of ``docs`` (``doc_id, text``) that ``labels`` (``doc_id, toxic``) marks 0 or 1.
 
-    Of each class the ``per_class`` rows with the least hash of the id are taken. Null ids and labels are left out, and an id
-    that is labelled twice counts by its larger label.
+    Of each class the ``per_class`` pairs of id and text with the least hash are taken, so an id with many texts counts with each of
+    them, but no more rows than that reach the driver. Null ids and labels are left out, and an id that is labelled twice counts by its
+    larger label. Ids may be of any type that both tables share.
     """
     rows = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     if fold is not None:
         rows = rows.filter(fold)
     marked = rows.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    key = F.xxhash64("doc_id", "text").alias("key")
+    keyed = docs.select("doc_id", key).join(marked, "doc_id").select("key", "_toxic").distinct()
     sample = None
     for value in (1, 0):
-        part = marked.filter(F.col("_toxic") == value).orderBy(*order).limit(per_class)
+        part = keyed.filter(F.col("_toxic") == value).orderBy("key").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
-    chosen = {r["doc_id"]: int(r["_toxic"]) for r in sample.collect()}
-    picked = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id bigint")
+    chosen = {r["key"]: int(r["_toxic"]) for r in sample.collect()}
+    picked = docs.sparkSession.createDataFrame([(k,) for k in chosen], "key bigint")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [packed(terms(t, hashes)) for t in texts_of(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], ["doc_id", "terms"])
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(found, pa.binary())], ["key", "terms"])
 
-    # At most twice ``per_class`` ids, so their side of the join has a known size.
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id", "left_semi")
-    found = texts.mapInArrow(lists, "doc_id bigint, terms binary")
-    found = sorted({(r["doc_id"], bytes(r["terms"])) for r in found.distinct().collect()})
-    return fit([t for _, t in found], [chosen[i] for i, _ in found])
+    # At most twice ``per_class`` keys, so their side of the join has a known size.
+    texts = docs.select("text", key).join(F.broadcast(picked), "key", "left_semi").dropDuplicates(["key"])
+    found = texts.select("key", "text").mapInArrow(lists, "key bigint, terms binary")
+    found = sorted((r["key"], bytes(r["terms"])) for r in found.collect())
+    return fit([t for _, t in found], [chosen[k] for k, _ in found])
 
 
 def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
@@ -184,9 +186,9 @@ def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), FactorizationMachine(*shared.value)
-        for batch in batches:
-            found = [terms(t, hashes) for t in texts_of(batch["text"])]
+        for batch in slices(batches):
+            found = [terms(t, hashes) for t in texts_of(text_in(batch))]
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(known.score(found), pa.float64())], ["doc", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("text"))
+    rows = row_with_text(docs)
     return rows.mapInArrow(run, rows.select("doc", F.lit(0.0).alias("score")).schema)
