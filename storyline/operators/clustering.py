@@ -16,6 +16,8 @@ heights. The clusters of every lower threshold can be read from it. A group is n
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,8 +27,11 @@ from pyspark.sql import functions as F
 
 from storyline.functions.vectors import DISTANCE_DIGITS, TINY, cosine_distance, l2_normalize, sum_of_squares
 from storyline.operators.components import connected_components
-from storyline.operators.nearest import MATRIX_CELLS, TILE_ROWS, issue_sizes, matrix, near_pairs, nearest_cells, nearest_within, tie_order, tile_pairs, with_tiles
-from storyline.session import materialize
+from storyline.operators.nearest import (
+    MATRIX_CELLS, TILE_ROWS, choose_pivots, issue_sizes, keep_best, matrix, near_pairs, near_tiles, nearest_cells, nearest_within, pair_blocks, tie_order,
+    tile_pairs, with_cells, with_tiles,
+)
+from storyline.session import drop_table, materialize, write_table
 
 #: Rows of an issue that one task takes whole: a 4,096 square of doubles is 128 MB.
 LOCAL_LIMIT = 4096
@@ -181,29 +186,40 @@ def mutual_pairs(best: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _weighted_mean(parts: Column) -> Column:
-    """Mean vector of the one or two parts of a merged group."""
-    a, b = parts[0], F.try_element_at(parts, F.lit(2))
+    """Mean vector of the two parts of a merged group."""
+    a, b = parts[0], parts[1]
     sizes = F.array_repeat(F.struct(a["n"].alias("a"), b["n"].alias("b")), F.size(a["vec"]))
     pairs = F.arrays_zip(a["vec"].alias("x"), b["vec"].alias("y"), sizes.alias("n"))
-    mixed = F.transform(pairs, lambda p: (p["n"]["a"] * p["x"] + p["n"]["b"] * p["y"]) / (p["n"]["a"] + p["n"]["b"]))
-    return F.when(F.size(parts) == 1, a["vec"]).otherwise(mixed)
+    return F.transform(pairs, lambda p: (p["n"]["a"] * p["x"] + p["n"]["b"] * p["y"]) / (p["n"]["a"] + p["n"]["b"]))
+
 
+def _touched(merges: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Both groups of every merge, under the given column name, with ``parent``."""
+    return merges.select(*keys, F.col("parent").alias(name), "parent").unionByName(merges.select(*keys, F.col("child").alias(name), "parent"))
 
-def _merged_nodes(nodes: DataFrame, best: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
-    """The groups after a round.
 
-    A group without a partner below the threshold never gets one, since a merged group is no nearer than the nearer
-    of its parts; such groups are final and leave the rounds.
+def _next_nodes(nodes: DataFrame, best: DataFrame, merges: DataFrame, keys: list[str], pivots: np.ndarray) -> DataFrame:
+    """The groups after a round, with the partners that still hold.
+
+    A group without a partner below the threshold never gets one, since a merged group is no nearer than the nearer of its
+    parts; such groups are final and leave the rounds. For the same reason a group keeps its partner unless that one merged: only
+    merged groups and those that lost their partner are ``fresh``.
     """
-    moving = merges.select(*keys, F.col("child").alias("id"), "parent")
-    active = nodes.join(best.select(*keys, "id"), [*keys, "id"], "left_semi")
-    # At most two rows share a target, so the list below is bounded, and a sum of two has no order.
-    return (
-        active.join(moving, [*keys, "id"], "left")
-        .groupBy(*keys, F.coalesce("parent", "id").alias("id"))
-        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "vec")).alias("parts"))
-        .select(*keys, "id", "n", _weighted_mean(F.col("parts")).alias("vec"))
-    )
+    side = lambda name: nodes.select(*keys, F.col("id").alias(name), F.struct("n", "vec").alias(f"{name}_part"))
+    parts = F.array("parent_part", "child_part")
+    merged = merges.select(*keys, "parent", "child").join(side("parent"), [*keys, "parent"]).join(side("child"), [*keys, "child"])
+    merged = merged.select(*keys, F.col("parent").alias("id"), (parts[0]["n"] + parts[1]["n"]).alias("n"), _weighted_mean(parts).alias("vec"), F.lit(True).alias("fresh"), *_no_partner())
+    lost = _touched(merges, keys, "partner").select(*keys, "partner", F.lit(True).alias("lost"))
+    stay = best.join(_touched(merges, keys, "id"), [*keys, "id"], "left_anti").join(lost, [*keys, "partner"], "left")
+    fresh = F.coalesce("lost", F.lit(False))
+    held = [F.when(~fresh, F.col(c)).alias(c) for c in ("partner", "distance", "tie")]
+    stay = stay.select(*keys, "id", fresh.alias("fresh"), *held)
+    stay = nodes.select(*keys, "id", "n", "vec", "cell", "angle", "norm").join(stay, [*keys, "id"])
+    return stay.unionByName(with_cells(merged, pivots))
+
+
+def _no_partner() -> list[Column]:
+    return [F.lit(None).cast(kind).alias(name) for name, kind in (("partner", "bigint"), ("distance", "double"), ("tie", "bigint"))]
 
 
 def follow(paths: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
@@ -235,32 +251,40 @@ def follow(paths: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _average_rounds(nodes: DataFrame, keys: list[str], threshold: float, local_limit: int, tile_rows: int) -> DataFrame:
-    """Merges of average linkage, in rounds: ``keys, id, path`` of every group that was merged away."""
-    links, waiting = None, None
+    """Merges of average linkage, in rounds: ``keys, id, path`` of every group that was merged away.
+
+    Each group holds its best partner; a round merges all mutual pairs and renews the partners of the fresh groups alone.
+    Tables of past rounds are dropped, but for the narrow ones that the merges are read from.
+    """
+    spark = nodes.sparkSession
+    pivots = choose_pivots(nodes, tile_rows)
+    start = nodes.select(*keys, "id", "n", "vec", F.lit(True).alias("fresh"), *_no_partner())
+    nodes, path = write_table(with_cells(start, pivots), "nodes")
+    links, active = [], None
     while True:
         counts = issue_sizes(nodes, keys)
         fits = F.col("rows") <= local_limit
         # Two totals, not a list of issues. Finished groups have left ``nodes``.
-        found = counts.agg(F.count_if(fits).alias("small"), F.count_if(~fits).alias("large"), F.sum("rows").alias("rows")).first()
-        _check_progress(waiting, found.rows)
+        found = counts.agg(F.count_if(fits).alias("small"), F.sum(F.when(~fits, F.col("rows"))).alias("rows"), F.sum("rows").alias("all")).first()
         if found.small:
             ready = nodes.join(counts.filter(fits), keys, "left_semi")
             finished = _local_tree(ready, keys, threshold, "average").filter(F.size("path") > 0)
-            finished = finished.select(*keys, "id", F.slice("path", 1, 1).alias("path"))
-            links = finished if links is None else links.unionByName(finished)
+            links.append(materialize(finished.select(*keys, "id", F.slice("path", 1, 1).alias("path")), "links"))
             nodes = nodes.join(counts.filter(~fits), keys, "left_semi")
-        if not found.large:
-            break
-        best = materialize(nearest_within(nodes, keys, threshold, tile_rows, counts), "best")
-        waiting = best.count()
-        if not waiting:
+        if not found.rows:
             break
+        _check_progress(active, found.all)
+        active = found.rows
+        held = nodes.filter("partner is not null").select(*keys, "id", "partner", "distance", "tie")
+        renewed = nearest_within(nodes, keys, threshold, tile_rows, pivots)
+        best = materialize(keep_best(renewed.unionByName(held), keys, threshold), "best")
         merges = mutual_pairs(best, keys)
         step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
-        merged = merges.select(*keys, F.col("child").alias("id"), step.alias("path"))
-        links = merged if links is None else links.unionByName(merged)
-        nodes = materialize(_merged_nodes(nodes, best, merges, keys), "nodes")
-    return _no_links(nodes, keys) if links is None else links
+        links.append(merges.select(*keys, F.col("child").alias("id"), step.alias("path")))
+        nodes, following = write_table(_next_nodes(nodes, best, merges, keys, pivots), "nodes")
+        drop_table(spark, path)
+        path = following
+    return reduce(DataFrame.unionByName, links) if links else _no_links(start, keys)
 
 
 def _distributed_tree(
@@ -271,8 +295,11 @@ def _distributed_tree(
     nodes, members = _fold_copies(usable, keys)
     if linkage == "average":
         links = _average_rounds(nodes, keys, threshold, local_limit, tile_rows)
+    elif linkage == "single":
+        edges = spanning_forest(nodes.select(*keys, "id", "vec"), keys, threshold, tile_rows)
+        links = _forest_merges(edges, keys, local_limit)
     else:
-        links = _member_rounds(nodes.select(*keys, "id", "vec"), keys, threshold, linkage, tile_rows)
+        links = _complete_rounds(nodes.select(*keys, "id", "vec"), keys, threshold, tile_rows)
     links = materialize(links, "links")
     copy = F.array(F.struct(F.col("node").alias("cluster"), F.lit(0.0).alias("height"))).cast(PATH)
     start = members.select(
@@ -408,103 +435,215 @@ def _unit_groups(starts: np.ndarray, rows: int, most: int):
             first = k
 
 
-def _member_rounds(rows: DataFrame, keys: list[str], threshold: float, linkage: str, tile_rows: int) -> DataFrame:
-    """Merges of single or complete linkage, in rounds: ``keys, id, path`` of every group that was merged away.
+def _complete_rounds(rows: DataFrame, keys: list[str], threshold: float, tile_rows: int) -> DataFrame:
+    """Merges of complete linkage, in rounds: ``keys, id, path`` of every group that was merged away.
 
-    The distance of two groups is the least (single) or the largest (complete) over their members, so members stay. They
-    keep to the tile of their group, and a pair of tiles returns the best pair per group. A group of more than a tile is spread
-    over parts. The least over parts is the least of all; for complete linkage, pairs with a spread group are returned with a
-    partial maximum and count only when every combination of parts stayed below the threshold. Both linkages are reducible,
-    so a group without a partner below the threshold never gets one and leaves the rounds.
+    The distance of two groups is the largest over their members, so members stay. They keep to the tile of their group, and a
+    pair of tiles returns the best pair per group. A group of more than a tile is spread over parts: pairs with it are returned
+    with a partial maximum and count only when every combination of parts stayed below the threshold. The linkage is reducible, so
+    a group without a partner below the threshold never gets one and leaves the rounds, and a group keeps its partner unless
+    that one merged: only merged groups and those that lost their partner are compared again.
     """
+    spark = rows.sparkSession
     types = ", ".join(f"`{key}` {rows.schema[key].dataType.simpleString()}" for key in keys)
-    complete = linkage == "complete"
-    reach = np.maximum if complete else np.minimum
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster_id", "ascending"), ("part", "ascending")])
         unit = np.stack([table["cluster_id"].to_numpy(), table["part"].to_numpy()], axis=1)
         starts = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(axis=1)])
         vectors, cluster = matrix(table, "vec"), unit[starts, 0]
-        parts, tile = table["parts"].to_numpy()[starts], table["tile"].to_numpy()[starts]
+        parts, tile, fresh = (table[c].to_numpy()[starts] for c in ("parts", "tile", "fresh"))
         apart = table["p"][0].as_py() != table["q"][0].as_py()
         most = max(1, MATRIX_CELLS // len(vectors))
+        new = np.flatnonzero(fresh)
+        lengths = np.diff(np.r_[starts, len(vectors)])[new]
+        own_starts = np.cumsum(lengths) - lengths
+        own = vectors[np.repeat(starts[new] - own_starts, lengths) + np.arange(lengths.sum())]
         made = []
-        for first, last in _unit_groups(starts, len(vectors), most):
-            begin, end = starts[first], starts[last] if last < len(starts) else len(vectors)
+        for first, last in _unit_groups(own_starts, len(own), most) if len(new) else ():
+            begin, end = own_starts[first], own_starts[last] if last < len(new) else len(own)
             distance = None
             for low in range(begin, end, most):  # more than one step only if a single unit is that large
-                block = reach.reduceat(1.0 - vectors[low : min(end, low + most)] @ vectors.T, starts, axis=1)
+                block = np.maximum.reduceat(1.0 - own[low : min(end, low + most)] @ vectors.T, starts, axis=1)
                 if last - first > 1:
-                    distance = reach.reduceat(block, starts[first:last] - begin, axis=0)
+                    distance = np.maximum.reduceat(block, own_starts[first:last] - begin, axis=0)
                 else:
-                    block = reach.reduce(block, axis=0, keepdims=True)
-                    distance = block if distance is None else reach(distance, block)
+                    block = np.maximum.reduce(block, axis=0, keepdims=True)
+                    distance = block if distance is None else np.maximum(distance, block)
             distance = np.round(distance, DISTANCE_DIGITS)
-            own = slice(first, last)
-            allowed = (distance < threshold) & (cluster[own][:, None] != cluster[None, :])
+            units = new[first:last]
+            allowed = (distance < threshold) & (cluster[units][:, None] != cluster[None, :])
             if apart:
-                allowed &= tile[own][:, None] != tile[None, :]
-            spread = (parts[own][:, None] > 1) | (parts[None, :] > 1) if complete else np.zeros_like(allowed)
+                allowed &= tile[units][:, None] != tile[None, :]
+            spread = (parts[units][:, None] > 1) | (parts[None, :] > 1)
             whole = np.where(allowed & ~spread, distance, np.inf)
-            least = whole.min(axis=1)
-            r, c = np.nonzero((whole == least[:, None]) & np.isfinite(least)[:, None])
-            order = np.lexsort((cluster[c], tie_order(cluster[own][r], cluster[c]), r))
-            best = order[np.unique(r[order], return_index=True)[1]]
-            sr, sc = np.nonzero(allowed & spread)
-            r, c = np.r_[r[best], sr].astype(np.int64), np.r_[c[best], sc].astype(np.int64)
-            made.append((r + first, c, distance[r, c]))
-        r, c, d = (np.concatenate(x) for x in zip(*made))
+            old = np.flatnonzero(~fresh)
+            for mine, others, found in ((units, np.arange(len(starts)), whole), (old, units, whole[:, old].T)):
+                if not found.size:
+                    continue
+                least = found.min(axis=1)
+                r, c = np.nonzero((found == least[:, None]) & np.isfinite(least)[:, None])
+                order = np.lexsort((cluster[others[c]], tie_order(cluster[mine[r]], cluster[others[c]]), r))
+                best = order[np.unique(r[order], return_index=True)[1]]
+                made.append((mine[r[best]], others[c[best]], found[r[best], c[best]]))
+            r, c = np.nonzero(allowed & spread)
+            made.append((units[r], c, distance[r, c]))
+            back = ~fresh[c]  # of two fresh groups each sees the other itself
+            made.append((c[back], units[r[back]], distance[r[back], c[back]]))
+        none = np.zeros(0, np.int64)
+        r, c, d = (np.concatenate(x) for x in zip(*made)) if made else (none, none, np.zeros(0))
         columns = {key: table[key].take(pa.array(np.zeros(len(r), np.int64))) for key in keys}
         columns["id"], columns["partner"] = pa.array(cluster[r], pa.int64()), pa.array(cluster[c], pa.int64())
         columns["distance"] = pa.array(d, pa.float64())
         columns["tie"] = pa.array(tie_order(cluster[r], cluster[c]), pa.int64())
-        columns["needed"] = pa.array(parts[r] * parts[c] if complete else np.ones(len(r), np.int64), pa.int64())
+        columns["needed"] = pa.array(parts[r] * parts[c], pa.int64())
         return pa.table(columns)
 
     schema = f"{types}, id bigint, partner bigint, distance double, tie bigint, needed bigint"
-    state = rows.withColumn("cluster_id", F.col("id"))
-    links, waiting = None, None
+    state, path = rows.withColumns({"cluster_id": F.col("id"), "fresh": F.lit(True)}), None
+    held, links, waiting = None, [], None
     while True:
         # Written, so that a large group's rows can be split when they meet them.
-        size = materialize(state.groupBy(*keys, "cluster_id").agg(F.ceil(F.count("*") / tile_rows).alias("parts")), "sizes")
+        size = materialize(state.groupBy(*keys, "cluster_id").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / tile_rows).alias("parts")), "sizes")
         _check_progress(waiting, size.count())
-        counts = issue_sizes(state, keys)
+        counts = size.groupBy(*keys).agg(F.ceil(F.sum("rows") / tile_rows).alias("tiles"))
         tiled = (
-            state.join(size, [*keys, "cluster_id"])
-            .join(counts.select(*keys, F.ceil(F.col("rows") / tile_rows).alias("tiles")), keys)
+            state.join(size.drop("rows"), [*keys, "cluster_id"])
+            .join(counts, keys)
             .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
             .withColumn("tile", F.pmod(F.xxhash64("cluster_id", "part"), F.col("tiles")))
         )
-        found = tile_pairs(tiled).groupBy(*keys, "p", "q").applyInArrow(search, schema)
-        if complete:
-            found = (
-                found.groupBy(*keys, "id", "partner")
-                .agg(F.max("distance").alias("distance"), F.max("tie").alias("tie"), F.count("*").alias("seen"), F.max("needed").alias("needed"))
-                .filter("seen = needed")
-            )
-        best = (
-            found.groupBy(*keys, "id")
-            .agg(F.min(F.struct("distance", "tie", "partner")).alias("best"))
-            .select(*keys, "id", "best.partner", "best.distance")
+        found = (
+            tile_pairs(tiled)
+            .groupBy(*keys, "p", "q")
+            .applyInArrow(search, schema)
+            .groupBy(*keys, "id", "partner")
+            .agg(F.max("distance").alias("distance"), F.max("tie").alias("tie"), F.count("*").alias("seen"), F.max("needed").alias("needed"))
+            # Parts of a group may lie in one tile, so combinations are counted for spread groups alone.
+            .filter("needed = 1 or seen = needed")
+            .select(*keys, "id", "partner", "distance", "tie")
         )
-        best = materialize(best, "best")
+        best = materialize(keep_best(found if held is None else found.unionByName(held), keys, threshold), "best")
         waiting = best.count()
         if not waiting:
             break
         merges = mutual_pairs(best, keys)
         step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
-        merged = merges.select(*keys, F.col("child").alias("id"), step.alias("path"))
-        links = merged if links is None else links.unionByName(merged)
-        active = best.select(*keys, F.col("id").alias("cluster_id"))
-        moving = merges.select(*keys, F.col("child").alias("cluster_id"), "parent")
-        state = materialize(
-            state.join(active, [*keys, "cluster_id"], "left_semi")
-            .join(moving, [*keys, "cluster_id"], "left")
-            .select(*keys, "id", "vec", F.coalesce("parent", "cluster_id").alias("cluster_id")),
-            "state",
-        )
-    return _no_links(rows, keys) if links is None else links
+        links.append(merges.select(*keys, F.col("child").alias("id"), step.alias("path")))
+        lost = _touched(merges, keys, "partner").select(*keys, "partner", F.lit(True).alias("lost"))
+        following = best.join(_touched(merges, keys, "id"), [*keys, "id"], "left").join(lost, [*keys, "partner"], "left")
+        following = following.withColumns({"fresh": F.col("parent").isNotNull() | F.col("lost").isNotNull(), "target": F.coalesce("parent", "id")})
+        following = materialize(following.drop("lost", "parent"), "following")
+        held = following.filter("not fresh").select(*keys, "id", "partner", "distance", "tie")
+        moves = following.select(*keys, F.col("id").alias("cluster_id"), "target", F.col("fresh").alias("renewed"))
+        moved = state.join(moves, [*keys, "cluster_id"]).select(*keys, "id", "vec", F.col("target").alias("cluster_id"), F.col("renewed").alias("fresh"))
+        state, written = write_table(moved, "state")
+        if path:
+            drop_table(spark, path)
+        path = written
+    return reduce(DataFrame.unionByName, links) if links else _no_links(rows, keys)
+
+
+def spanning_forest(rows: DataFrame, keys: list[str], threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """A minimum spanning forest of the pairs nearer than ``threshold``: ``keys, a, b, distance, tie``, at most one row per vector.
+
+    In each round every component takes its lightest edge to another one, found by a minimum over pairs of tiles, and the components
+    that these edges join become one, so the number of rounds is logarithmic. Edges have a total order that both ends share, so
+    no circle forms. A component without such an edge is complete and leaves the rounds.
+    """
+    spark = rows.sparkSession
+    types = ", ".join(f"`{key}` {rows.schema[key].dataType.simpleString()}" for key in keys)
+    pivots = choose_pivots(rows, tile_rows)
+
+    def search(table: pa.Table) -> pa.Table:
+        ids, vectors, group = table["id"].to_numpy(), matrix(table, "vec"), table["cluster_id"].to_numpy()
+        fresh = np.ones(len(ids), bool)
+        made = []
+        for left, right, distance in pair_blocks(vectors, table["tile"].to_numpy(), table["p"][0].as_py(), table["q"][0].as_py(), fresh):
+            distance[group[left][:, None] == group[right][None, :]] = np.inf
+            for own, others, found in ((left, right, distance), (right, left, distance.T)):
+                r, c, near, tie = nearest_cells(found.min(axis=1), found, ids[own], ids[others])
+                use = near < threshold
+                made.append((own[r[use]], others[c[use]], near[use], tie[use]))
+        none = np.zeros(0, np.int64)
+        a, b, near, tie = (np.concatenate(x) for x in zip(*made)) if made else (none, none, np.zeros(0), none)
+        low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        order = np.lexsort((high, low, tie, near, group[a]))
+        first = order[np.unique(group[a][order], return_index=True)[1]]
+        columns = {key: table[key].take(pa.array(np.zeros(len(first), np.int64))) for key in keys}
+        for name, values in (("id", group[a]), ("other", group[b]), ("a", low), ("b", high), ("distance", near), ("tie", tie)):
+            columns[name] = pa.array(values[first])
+        return pa.table(columns)
+
+    schema = f"{types}, id bigint, other bigint, a bigint, b bigint, distance double, tie bigint"
+    state, path = write_table(with_cells(rows.withColumns({"cluster_id": F.col("id"), "fresh": F.lit(True)}), pivots), "state")
+    edges = []
+    while True:
+        spread = near_tiles(state, keys, threshold, pivots, tile_rows)
+        found = spread.groupBy(*keys, "p", "q").applyInArrow(search, schema)
+        least = found.groupBy(*keys, "id").agg(F.min(F.struct("distance", "tie", "a", "b", "other")).alias("edge"))
+        least = materialize(least.select(*keys, "id", "edge.*"), "edges")
+        if least.isEmpty():
+            break
+        edges.append(least.select(*keys, "a", "b", "distance", "tie").distinct())
+        joined = connected_components(least.select(*keys, "id"), least.select(*keys, F.col("id").alias("a"), F.col("other").alias("b")), keys)
+        labels = joined.select(*keys, F.col("id").alias("cluster_id"), F.col("cluster_id").alias("target"))
+        moved = state.join(labels, [*keys, "cluster_id"]).withColumn("cluster_id", F.col("target")).drop("target")
+        state, written = write_table(moved, "state")
+        drop_table(spark, path)
+        path = written
+    none = rows.limit(0).select(*keys, F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance"), F.col("id").alias("tie"))
+    return materialize(reduce(DataFrame.unionByName, edges, none), "forest")
+
+
+def _forest_merges(edges: DataFrame, keys: list[str], local_limit: int) -> DataFrame:
+    """The merge history of single linkage from its spanning forest: ``keys, id, path`` of every group that was merged away.
+
+    Issues with at most ``local_limit`` edges are bounded groups; of larger ones, all edges that are the lightest at both ends merge
+    their groups in a round. Vectors take no part.
+    """
+    types = ", ".join(f"`{key}` {edges.schema[key].dataType.simpleString()}" for key in keys)
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("distance", "ascending"), ("tie", "ascending"), ("a", "ascending"), ("b", "ascending")])
+        name: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while name.get(x, x) != x:
+                name[x] = name.get(name[x], name[x])
+                x = name[x]
+            return x
+
+        ids, paths = [], []
+        for a, b, height in zip(*(table[c].to_pylist() for c in ("a", "b", "distance"))):
+            a, b = sorted((find(a), find(b)))
+            name[b] = a
+            ids.append(b)
+            paths.append([{"cluster": a, "height": height}])
+        columns = {key: table[key].take(pa.array(np.zeros(len(ids), np.int64))) for key in keys}
+        columns["id"] = pa.array(ids, pa.int64())
+        columns["path"] = pa.array(paths, pa.list_(pa.struct([("cluster", pa.int64()), ("height", pa.float64())])))
+        return pa.table(columns)
+
+    counts = issue_sizes(edges, keys)
+    fits = F.col("rows") <= local_limit
+    small = edges.join(counts.filter(fits), keys, "left_semi").groupBy(*keys).applyInArrow(merge, f"{types}, id bigint, path {PATH}")
+    links = [small]
+    edges = edges.join(counts.filter(~fits), keys, "left_semi")
+    while True:
+        edges = materialize(edges.select(*keys, "a", "b", "distance", "tie"), "edges")
+        if edges.isEmpty():
+            break
+        ends = edges.select(*keys, F.col("a").alias("id"), F.col("b").alias("partner"), "distance", "tie")
+        ends = ends.unionByName(ends.select(*keys, F.col("partner").alias("id"), F.col("id").alias("partner"), "distance", "tie"))
+        merges = materialize(mutual_pairs(keep_best(ends, keys, None), keys), "merges")
+        step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)
+        links.append(merges.select(*keys, F.col("child").alias("id"), step.alias("path")))
+        for end in ("a", "b"):
+            moved = merges.select(*keys, F.col("child").alias(end), F.col("parent").alias("target"))
+            edges = edges.join(moved, [*keys, end], "left").withColumn(end, F.coalesce("target", end)).drop("target")
+        edges = edges.filter("a <> b")
+    return reduce(DataFrame.unionByName, links)
 
 
 def _check_progress(waiting: int | None, left: int | None) -> None:

@@ -1,19 +1,22 @@
 """Exact nearest partner by cosine distance, spread over tiles.
 
-A block (one issue) is cut into tiles of bounded size by the hash of the row id. Each pair of tiles is one Spark
-group: a task multiplies two bounded matrices and returns at most one candidate per row, and a partial ``min``
-keeps the best. All distances are looked at, so the answer is exact, yet pairs are never emitted: a block of n
-rows in k tiles moves n * k rows, however large or skewed the block is.
+A block (one issue) is cut into tiles of bounded size, around pivots and within them by the hash of the row id. Each pair of
+tiles is one Spark group: a task multiplies two bounded matrices and returns at most one candidate per row, and a partial ``min``
+keeps the best. Pairs of tiles that are too far apart for the threshold are left out by the triangle inequality of angles;
+all other distances are looked at, so the answer is exact, yet pairs are never emitted: a block of n rows in k tiles moves at
+most n * k rows, however large or skewed the block is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyline.functions.vectors import DISTANCE_DIGITS
+from storyline.functions.vectors import DISTANCE_DIGITS, TINY, sum_of_squares
 from storyline.session import materialize
 
 #: Largest number of rows in a tile: two tiles of vectors with 1,024 doubles are 256 MB in a task. Larger tiles mean
@@ -24,6 +27,12 @@ SPREAD = 16
 #: Rows per tile when the near pairs themselves are the answer: all pairs of two tiles are then at most 100 MB.
 PAIR_TILE_ROWS = 2048
 
+#: Directions that tiles are gathered around, at most, and parts of a cell that can be numbered.
+PIVOTS = 64
+MOST_PARTS = 1 << 32
+#: What angles and distances may be off by.
+SLACK = 1e-6
+
 #: Cells of a distance matrix a task holds at once.
 MATRIX_CELLS = 1 << 24
 
@@ -97,13 +106,13 @@ def _result(source: pa.Table, keys: list[str], at: np.ndarray, ids: np.ndarray,
     return pa.table(columns)
 
 
-def _keep_best(candidates: DataFrame, keys: list[str], below: float | None) -> DataFrame:
+def keep_best(candidates: DataFrame, keys: list[str], below: float | None) -> DataFrame:
     if below is not None:
         candidates = candidates.filter(F.col("distance") < below)
     return (
         candidates.groupBy(*keys, "id")
         .agg(F.min(F.struct("distance", "tie", "partner")).alias("best"))
-        .select(*keys, "id", "best.partner", "best.distance")
+        .select(*keys, "id", "best.partner", "best.distance", "best.tie")
     )
 
 
@@ -121,37 +130,127 @@ def tile_pairs(tiled: DataFrame) -> DataFrame:
     ).withColumn("q", F.col("pair.q")).drop("pair", "tiles")
 
 
+def choose_pivots(nodes: DataFrame, tile_rows: int = TILE_ROWS) -> np.ndarray:
+    """Directions to gather tiles around: at most ``PIVOTS`` unit vectors of rows taken by hash, none if one tile would do."""
+    wanted = min(PIVOTS, nodes.count() // max(1, tile_rows))
+    if wanted < 2:
+        return np.zeros((0, 0))
+    rows = nodes.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    found = np.array([r["vec"] for r in rows])
+    return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), TINY)
+
+
+def with_cells(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add the pivot nearest to each row, the angle between the two, and the length of the vector. Rows stay where they are."""
+    kept = [c for c in nodes.columns if c not in ("cell", "angle", "norm")]
+    plain = nodes.select(*kept)
+    if not len(pivots):
+        length = F.sqrt(sum_of_squares(F.col("vec")))
+        return plain.withColumns({"cell": F.lit(0).cast("bigint"), "angle": F.lit(float(np.pi)), "norm": length})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = matrix(pa.table({"vec": batch["vec"]}), "vec")
+            norm = np.linalg.norm(vectors, axis=1)
+            likeness = (vectors / np.maximum(norm, TINY)[:, None]) @ pivots.T
+            cell = likeness.argmax(axis=1)
+            angle = np.arccos(np.clip(likeness[np.arange(len(cell)), cell], -1, 1))
+            columns = [batch[c] for c in kept] + [pa.array(cell.astype(np.int64)), pa.array(angle), pa.array(norm)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "cell", "angle", "norm"])
+
+    schema = plain.withColumns({"cell": F.lit(0).cast("bigint"), "angle": F.lit(0.0), "norm": F.lit(0.0)}).schema
+    return plain.mapInArrow(run, schema)
+
+
+def near_tiles(nodes: DataFrame, keys: list[str], below: float | None, pivots: np.ndarray, tile_rows: int) -> DataFrame:
+    """Send each row of ``nodes`` (with cells, and ``fresh``) to the pairs of tiles ``p, q`` that its own tile has to meet.
+
+    A tile is a part of a cell. Two vectors of cells whose pivots are ``t`` apart are at least ``t`` less their own angles to the
+    pivots apart, by the triangle inequality; so the largest angle and length in each cell bound every distance between
+    two cells, and pairs of cells that can't come below ``below`` are left out. So are pairs without a fresh row.
+    """
+    spark = nodes.sparkSession
+    cells = nodes.groupBy(*keys, "cell").agg(
+        F.count("*").alias("rows"), F.max("angle").alias("wide"), F.max("norm").alias("long"), F.count_if("fresh").alias("renewed")
+    )
+    tiles = F.greatest(F.ceil(F.col("rows") / tile_rows), F.least(F.lit(SPREAD).cast("bigint"), F.ceil(F.col("rows") * 4 / tile_rows)))
+    # One row per block and cell, written so that joins know its size.
+    cells = materialize(cells.withColumn("tiles", tiles if not len(pivots) else F.ceil(F.col("rows") / tile_rows)), "cells")
+    far = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) else np.zeros((1, 1))
+    apart = spark.createDataFrame([(i, j, float(far[i, j])) for i in range(len(far)) for j in range(len(far))], "cell bigint, other bigint, apart double")
+    other = cells.select(*keys, F.col("cell").alias("other"), F.col("tiles").alias("other_tiles"), F.col("wide").alias("other_wide"), F.col("long").alias("other_long"), F.col("renewed").alias("other_renewed"))
+    pairs = cells.join(other, keys).join(apart, ["cell", "other"]).filter("renewed + other_renewed > 0")
+    if below is not None:
+        gap = F.greatest(F.lit(0.0), F.col("apart") - F.col("wide") - F.col("other_wide") - SLACK)
+        nearest = 1 - F.col("long") * F.col("other_long") * F.greatest(F.lit(0.0), F.cos(gap))
+        pairs = pairs.filter((nearest < below + SLACK) | (F.col("cell") == F.col("other")))
+    reach = pairs.groupBy(*keys, "cell").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct("other", "other_tiles")).alias("reach"))
+    reach = materialize(reach, "reach")
+    number = lambda cell, part: cell * MOST_PARTS + part
+    every = F.flatten(F.transform("reach", lambda r: F.transform(F.sequence(F.lit(0).cast("bigint"), r["other_tiles"] - 1), lambda t: number(r["other"], t))))
+    placed = nodes.join(reach, [*keys, "cell"]).withColumn("tile", number(F.col("cell"), F.pmod(F.xxhash64("id"), F.col("tiles"))))
+    spread = placed.withColumn("_other", F.explode(every)).withColumns({"p": F.least("tile", "_other"), "q": F.greatest("tile", "_other")})
+    return spread.drop("_other", "reach", "tiles", "cell", "angle", "norm")
+
+
+def pair_blocks(vectors: np.ndarray, tile: np.ndarray, p: int, q: int, fresh: np.ndarray):
+    """Blocks ``(rows, columns, distances)`` that hold each pair of rows of a pair of tiles once, if one of the two is fresh.
+
+    Each distance is computed once, so both ends of a pair see the same number. What isn't a pair is infinite.
+    """
+    right = np.flatnonzero(tile == q)
+    left = right if p == q else np.flatnonzero(tile != q)
+    new, old = left[fresh[left]], left[~fresh[left]]
+    jobs = [(new, right[~fresh[right]]), (new, new)] if p == q else [(new, right), (old, right[fresh[right]])]
+    for rows, columns in jobs:
+        inner = p == q and rows is columns
+        if not len(rows) or not len(columns):
+            continue
+        step = max(1, MATRIX_CELLS // len(columns))
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            others = columns[start:] if inner else columns
+            distance = 1.0 - vectors[part] @ vectors[others].T
+            if inner:
+                distance[np.tril_indices(len(part), 0, len(others))] = np.inf
+            yield part, others, distance
+
+
 def nearest_within(
     nodes: DataFrame,
     keys: list[str],
     below: float | None = None,
     tile_rows: int = TILE_ROWS,
-    sizes: DataFrame | None = None,
+    pivots: np.ndarray | None = None,
 ) -> DataFrame:
-    """For each node the nearest other node of its block: ``keys, id, partner, distance``.
+    """For each node the nearest other node of its block: ``keys, id, partner, distance, tie``.
 
-    ``nodes`` has ``keys, id, vec``; the distance is ``1 - vec . vec``, so mean vectors of groups give their
-    average-linkage distance.
+    ``nodes`` has ``keys, id, vec``; the distance is ``1 - vec . vec``, so mean vectors of groups give their average-linkage
+    distance. If it has ``fresh``, only pairs with a fresh node are looked at: a table of partners is renewed by the least of what
+    it holds and what is found here. With ``pivots`` it has the columns of :func:`with_cells`.
     """
+    pivots = np.zeros((0, 0)) if pivots is None else pivots
+    if "fresh" not in nodes.columns:
+        nodes = nodes.withColumn("fresh", F.lit(True))
+    if "cell" not in nodes.columns:
+        nodes = with_cells(nodes, pivots)
 
     def search(table: pa.Table) -> pa.Table:
-        ids, vectors = table["id"].to_numpy(), matrix(table, "vec")
-        tile, q = table["tile"].to_numpy(), table["q"][0].as_py()
-        left, right = np.flatnonzero(tile != q), np.flatnonzero(tile == q)
-        if table["p"][0].as_py() == q:
-            left = right
-        sides = [(left, right)] if left is right else [(left, right), (right, left)]
-        tables = []
-        for a, b in sides:
-            found = _best_in(vectors[a], ids[a], ids[a], vectors[b], ids[b])
-            at = a[found[0].astype(np.int64)]
-            tables.append(_result(table, keys, at, ids[at], found))
-        return pa.concat_tables(tables)
-
-    tiled = tile_pairs(with_tiles(nodes.select(*keys, "id", "vec"), keys, tile_rows, "tiles", "tile", sizes))
-    return _keep_best(
-        tiled.groupBy(*keys, "p", "q").applyInArrow(search, _schema(nodes, keys)), keys, below
-    )
+        ids, vectors, tile = table["id"].to_numpy(), matrix(table, "vec"), table["tile"].to_numpy()
+        fresh = table["fresh"].to_numpy()
+        made = []
+        for rows, columns, distance in pair_blocks(vectors, tile, table["p"][0].as_py(), table["q"][0].as_py(), fresh):
+            for own, others, found in ((rows, columns, distance), (columns, rows, distance.T)):
+                r, c, near, tie = nearest_cells(found.min(axis=1), found, ids[own], ids[others])
+                made.append((ids[own[r]], ids[others[c]], near, tie))
+        none = np.zeros(0, np.int64)
+        own, partner, near, tie = (np.concatenate(x) for x in zip(*made)) if made else (none,) * 4
+        return _result(table, keys, np.zeros(len(own), np.int64), own, (None, partner, near, tie))
+
+    spread = near_tiles(nodes.select(*keys, "id", "vec", "fresh", "cell", "angle", "norm"), keys, below, pivots, tile_rows)
+    return keep_best(spread.groupBy(*keys, "p", "q").applyInArrow(search, _schema(nodes, keys)), keys, below)
 
 
 def nearest_other(
@@ -181,7 +280,7 @@ def nearest_other(
     a = a.join(b_tiles, keys).withColumn("q", span("right_tiles")).select(*keys, "id", "own", "vec", "p", "q")
     b = b.join(a_tiles, keys).withColumn("p", span("left_tiles")).select(*keys, "id", "vec", "p", "q")
     matched = a.groupBy(*keys, "p", "q").cogroup(b.groupBy(*keys, "p", "q")).applyInArrow(search, _schema(points, keys))
-    return _keep_best(matched, keys, None)
+    return keep_best(matched, keys, None).drop("tie")
 
 
 def near_pairs(nodes: DataFrame, keys: list[str], below: float, tile_rows: int = PAIR_TILE_ROWS) -> DataFrame:
