@@ -627,3 +627,11 @@ SELECT threshold, printf('silhouette peak=%.4f (pct_clustered>=20%%), quality ba
     peak, (SELECT min(threshold) FROM band), (SELECT max(threshold) FROM band), silhouette, task_score) AS reason
 FROM chosen, peak""",
 }
+ORACLES["hac_single_history"] = (
+    "WITH RECURSIVE "
+    + ",\n".join(_merged(t, "single", f"at{round(100 * t)}") for t in (0.65, 0.70, 0.75))
+    + "\n"
+    + " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, id, cluster_id FROM at{round(100 * t)}" for t in (0.65, 0.70, 0.75))
+)
+for _name in ("daily_analysis", "threshold_sweep", "suggest_threshold"):
+    ORACLES[f"{_name}_rounds"] = ORACLES[_name]

@@ -591,6 +591,22 @@ def daily_analysis(spark, sf_dir):
     )
 
 
+@query
+def hac_single_history(spark, sf_dir):
+    """Single linkage at three thresholds, from one history that a spanning forest gives."""
+    tree = C.merge_tree(B.vectors(spark, sf_dir), ISSUE, 0.75, "single", local_limit=64, tile_rows=256)
+    return C.cut_many(tree, ISSUE, [0.65, 0.70, 0.75]).select("threshold", "id", "cluster_id")
+
+
+@query
+def daily_analysis_rounds(spark, sf_dir):
+    """The daily analysis with every merge found by the distributed rounds."""
+    _, clusters = analyze_day(B.vectors(spark, sf_dir), NEAR, local_limit=64, tile_rows=2048)
+    return S.top_stories(clusters, ISSUE).select(
+        *issue(), "rank", "cluster_id", "label", "size", "n_sources", six("diversity_score"), six("importance_score"), "category"
+    )
+
+
 @query
 def daily_briefing(spark, sf_dir):
     """The whole daily run on documents: vectors, clusters, digest, other headlines, prompt lines."""
@@ -633,6 +649,17 @@ def suggest_threshold(spark, sf_dir):
     return evaluation.suggest_threshold(sweep, ISSUE).select("threshold", "reason")
 
 
+@query
+def threshold_sweep_rounds(spark, sf_dir):
+    return evaluation.threshold_sweep(B.vectors(spark, sf_dir), ISSUE, GRID, local_limit=64, tile_rows=2048).drop(*ISSUE)
+
+
+@query
+def suggest_threshold_rounds(spark, sf_dir):
+    sweep = evaluation.threshold_sweep(B.vectors(spark, sf_dir), ISSUE, GRID, local_limit=64, tile_rows=2048)
+    return evaluation.suggest_threshold(sweep, ISSUE).select("threshold", "reason")
+
+
 def _unit_labels(spark, sf_dir) -> DataFrame:
     return evaluation.unit_labels(B.labelled(spark, sf_dir), ISSUE, "cluster_id")
 
