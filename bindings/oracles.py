@@ -635,3 +635,4 @@ ORACLES["hac_single_history"] = (
 )
 for _name in ("daily_analysis", "threshold_sweep", "suggest_threshold"):
     ORACLES[f"{_name}_rounds"] = ORACLES[_name]
+ORACLES["stream_newest"] = ORACLES["ingest_articles"]

@@ -26,7 +26,7 @@ from storyline.session import materialize, new_path
 from storyline.sources import articles as A
 from storyline.sources import episodes as P
 from storyline.sources import feeds as R
-from storyline.streaming.ingest import start_ingest, stream_articles
+from storyline.streaming.ingest import collect_entries, collected_articles, collected_entries, start_ingest, stream_articles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -406,6 +406,19 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(out).select("source", "title")
 
 
+@query
+def stream_newest(spark, sf_dir):
+    """The batch ingest, newest per feed included, as a stream whose files arrive last entry first."""
+    spark = B.prepare(spark)
+    landed, out, marks = (new_path(spark, name) for name in ("landed", "streamed", "marks"))
+    entries = B.event_entries(spark, sf_dir)
+    entries.repartitionByRange(4, F.desc("seq")).write.parquet(landed)
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    collect_entries(stream, out, marks, B.as_of(), 7).awaitTermination()
+    rows = collected_articles(collected_entries(spark, out), R.feed_dim(_event_feeds(spark, sf_dir)))
+    return rows.select("seq", "source", "date", "title", "description", stamp("published"))
+
+
 # Joins
 
 

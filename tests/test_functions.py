@@ -140,3 +140,32 @@ def test_more_date_shapes(column):
     }
     found = column(lambda c: D.parse_published(c).cast("string"), list(shapes))
     assert found == list(shapes.values())
+
+
+def test_dates_of_every_signature(column):
+    shapes = {
+        "20260207": "2026-02-07 00:00:00",
+        "20260207T184506Z": "2026-02-07 18:45:06",
+        "2026-02-07T18:45:06+01": "2026-02-07 17:45:06",
+        "Sat, 07 Feb 2026 18:45:06 GMT+2": "2026-02-07 20:45:06",
+        "2026-02-07 10:00 UTC+3": "2026-02-07 13:00:00",
+        "03/02/2026": "2026-02-03 00:00:00",
+        "7/2/26": "2026-02-07 00:00:00",
+        "2026.02.07 10:00": "2026-02-07 10:00:00",
+        "07.02.2026 10:00": "2026-02-07 10:00:00",
+        "07-02-2026 10:00": "2026-02-07 10:00:00",
+        "10:00 Feb 7 2026": "2026-02-07 10:00:00",
+        "10:00 7 Feb 2026": "2026-02-07 10:00:00",
+        "Saturday, February 7, 2026 at 10:00 AM": "2026-02-07 10:00:00",
+        "Saturday, February 7, 2026 at 10:00 pm": "2026-02-07 22:00:00",
+        "Feb 7 2026": "2026-02-07 00:00:00",
+        "Sat Feb  7 18:45:06 2026": "2026-02-07 18:45:06",
+        "2026-02-30": None,
+        "31.02.2026": None,
+        "2026-02-07T25:00:00Z": None,
+        "12345678901": None,
+        "soon 7 2026": None,
+        "": None,
+        None: None,
+    }
+    assert column(lambda c: D.parse_published(c).cast("string"), list(shapes)) == list(shapes.values())

@@ -21,7 +21,7 @@ from storyline.schema import ISSUE
 from storyline.session import new_path
 from storyline.sources import articles as A
 from storyline.sources import feeds as R
-from storyline.streaming.ingest import start_ingest, stream_articles
+from storyline.streaming.ingest import collect_entries, collected_articles, collected_entries, start_ingest, stream_articles
 
 DATA = "/root/testdata/sf0.001"
 ENTRY = "feed_id string, title string, published string, description string, summary string, author string, link string, seq bigint"
@@ -257,6 +257,28 @@ def test_stream_does_not_depend_on_batches(spark):
         assert key(spark.read.parquet(out)) == expected
 
 
+def test_collected_stream_equals_the_batch(spark):
+    """Whole rows, newest per feed included, for one file and many, in either order, with an entry from the future."""
+    raw = B.document_entries(spark, DATA)
+    future = raw.limit(1).withColumns({"title": F.lit("From the future"), "published": F.lit("Sat, 07 Feb 2099 18:45:06 GMT"), "seq": F.lit(10**6)})
+    raw = raw.unionByName(future).unionByName(raw.filter("seq % 5 = 0").withColumns({"seq": F.col("seq") + 5000, "link": F.lit("again")}))
+    dim, as_of = R.feed_dim(B.feeds(spark, DATA)), F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    expected = rows(I.ingest(raw, dim, as_of, limit=4))
+    assert any("future" in str(r) for r in expected)
+    for order, files in (("seq", 1), ("seq", 3), ("-seq", 3)):
+        landed, out, marks = (new_path(spark, n) for n in ("landed", "streamed", "marks"))
+        parts = raw.repartitionByRange(files, F.expr(order)).withColumn("part", F.spark_partition_id())
+        for part in range(files):
+            parts.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+        collect_entries(stream, out, marks, as_of, limit=4).awaitTermination()
+        assert rows(collected_articles(collected_entries(spark, out, 4), dim)) == expected
+        first = collected_entries(spark, out, 4, until=0)
+        again = collected_entries(spark, out, 4, earlier=first, after=0)  # merged lists merge again
+        assert rows(collected_articles(again, dim)) == expected
+
+
 def test_broken_feed_items_are_skipped(spark, tmp_path):
     for feed, body in {"a": "<item><title>x</title><pubDate>d</pubDate><dc:creator>Ada</dc:creator></item>", "b": "<item><title>y</item><item>", "c": "no xml"}.items():
         folder = tmp_path / f"feed_id={feed}"
