@@ -636,3 +636,19 @@ ORACLES["hac_single_history"] = (
 for _name in ("daily_analysis", "threshold_sweep", "suggest_threshold"):
     ORACLES[f"{_name}_rounds"] = ORACLES[_name]
 ORACLES["stream_newest"] = ORACLES["ingest_articles"]
+ORACLES["atom_scan"] = _with(ENTRY) + r"""SELECT source AS feed_id, row_number() OVER (ORDER BY source, seq) AS place, regexp_replace(raw_title, '^\s+|\s+$', '', 'g') AS title,
+       strftime(published, '%a, %d %b %Y %H:%M:%S +0000') AS published, regexp_replace(rest, '^\s+|\s+$', '', 'g') AS summary,
+       lang || '@example.org (' || source || ')' AS author, 'https://example.org/' || seq AS link
+FROM entry"""
+ORACLES["rss_rejects"] = r"""WITH f AS (SELECT source, CAST(substr(source, 4) AS INTEGER) AS n, count(*) AS items FROM documents GROUP BY ALL)
+SELECT source AS feed_id, CAST(n % 3 = 0 AS BIGINT) + CAST(n % 5 = 0 AS BIGINT) AS broken_files, CAST(n % 5 = 0 AS BIGINT) AS empty_files,
+       items + CAST(n % 3 = 0 AS BIGINT) AS items, CAST(0 AS BIGINT) AS untitled_items FROM f"""
+ORACLES["attach_all_embeddings"] = _with(ART) + r"""SELECT seq, coalesce(array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ','), '') AS vector
+FROM art LEFT JOIN embeddings ON seq = vec_id"""
+ORACLES["missing_embeddings"] = _with(ART) + r"""SELECT source, count(*) AS articles, count(*) FILTER (WHERE vec_id IS NULL) AS without_vector
+FROM art LEFT JOIN embeddings ON seq = vec_id GROUP BY source"""
+ORACLES["episode_feed_document"] = _with(EPISODE) + r""", shows AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS programme FROM conversations),
+n AS (SELECT CAST(programme AS VARCHAR) AS programme, count(*) AS items FROM item GROUP BY ALL)
+SELECT programme, 'Show ' || programme AS title, 'About Show ' || programme || ' & more' AS description, 'it' AS language, 'Ada <Desk>' AS author,
+       'https://example.org/' || programme || '/cover.png' AS cover, 'https://example.org/' || programme AS link, coalesce(items, 0) AS items
+FROM shows LEFT JOIN n USING (programme)"""

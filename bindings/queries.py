@@ -72,6 +72,37 @@ def rss_scan(spark, sf_dir):
     return placed.select("feed_id", "place", *[F.coalesce(X.strip(F.col(c)), F.lit("")).alias(c) for c in texts])
 
 
+def _entries_read(spark, path) -> DataFrame:
+    texts = ("title", "published", "summary", "author", "link")
+    placed = positions(R.read_rss(spark, path), [], [F.col("seq")], "place")
+    return placed.select("feed_id", "place", *[F.coalesce(X.strip(F.col(c)), F.lit("")).alias(c) for c in texts])
+
+
+@query
+def atom_scan(spark, sf_dir):
+    """Every second feed is landed as Atom, the others as RSS; one scan reads both."""
+    path = new_path(spark, "landing")
+    entries, second = B.document_entries(spark, sf_dir), F.substr("feed_id", F.lit(4)).cast("int") % 2 == 1
+    R.write_rss(entries.filter(~second), path)
+    R.write_atom(entries.filter(second), path)
+    return _entries_read(spark, path)
+
+
+@query
+def rss_rejects(spark, sf_dir):
+    """The audit of a landing where every third feed also has a file with a broken item, and every fifth one that is no feed."""
+    path = new_path(spark, "landing")
+    entries = B.document_entries(spark, sf_dir)
+    R.write_rss(entries, path)
+    number = F.substr("feed_id", F.lit(4)).cast("int")
+    feeds = entries.select("feed_id").distinct()
+    item = F.lit("<rss><channel><item><title>kept</title></item><item><title>lost</titel></item></channel></rss>")
+    for kind, body in ((3, item), (5, F.lit("no feed"))):
+        feeds.filter(number % kind == 0).select("feed_id", body.alias("value")).write.mode("append").partitionBy("feed_id").text(path)
+    found = R.audit_feeds(spark, path)
+    return found.select("feed_id", "broken_files", "empty_files", "items", "untitled_items")
+
+
 @query
 def feed_dim(spark, sf_dir):
     rows = R.feed_dim(B.feeds(spark, sf_dir))
@@ -149,6 +180,18 @@ def episode_feed_scan(spark, sf_dir):
     )
 
 
+@query
+def episode_feed_document(spark, sf_dir):
+    """Whole feed documents, written and read back: the channel's header, once per show, and the number of its items."""
+    path = new_path(spark, "feed-documents")
+    facts = {"description": F.concat(F.lit("About "), "name", F.lit(" & more")), "language": F.lit("it"), "author": F.lit("Ada <Desk>"), "email": F.lit("desk@example.org"), "cover": F.lit("cover.png")}
+    shows = B.shows(spark, sf_dir).withColumns(facts)
+    P.write_feed_documents(P.episode_items(B.episodes(spark, sf_dir), B.shows(spark, sf_dir)), shows, path)
+    items = P.read_episode_feed(spark, path).groupBy(F.col("show").cast("string").alias("show")).agg(F.count("*").alias("items"))
+    found = P.read_feed_headers(spark, path).join(items, "show", "left")
+    return found.select(F.col("show").alias("programme"), "title", "description", "language", "author", "cover", "link", F.coalesce("items", F.lit(0)).alias("items"))
+
+
 @query
 def episode_catalog(spark, sf_dir):
     items = P.episode_items(B.episodes(spark, sf_dir), B.shows(spark, sf_dir))
@@ -432,10 +475,26 @@ def other_headlines(spark, sf_dir):
 @query
 def attach_embeddings(spark, sf_dir):
     found = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
-    rows = A.attach_embeddings(B.articles(spark, sf_dir), found, ["seq"])
+    rows = A.attach_embeddings(B.articles(spark, sf_dir), found, ["seq"]).filter("embedding is not null")
     return rows.select("seq", "title", F.size("embedding").cast("bigint").alias("dimensions"), six(F.col("embedding")[0].cast("double")).alias("first"))
 
 
+@query
+def attach_all_embeddings(spark, sf_dir):
+    """Every article with the whole vector as text, empty for those without one."""
+    found = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
+    rows = A.attach_embeddings(B.articles(spark, sf_dir), found, ["seq"])
+    whole = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000, 0).cast("bigint").cast("string")), ",")
+    return rows.select("seq", F.coalesce(whole, F.lit("")).alias("vector"))
+
+
+@query
+def missing_embeddings(spark, sf_dir):
+    found = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
+    rows = A.attach_embeddings(B.articles(spark, sf_dir), found, ["seq"])
+    return A.without_embedding(rows, ["source"]).select("source", "articles", "without_vector")
+
+
 @query
 def similarity_join(spark, sf_dir):
     return C.similarity_join(B.vectors(spark, sf_dir), ISSUE, 0.75).select("id", "partner", six("distance"))

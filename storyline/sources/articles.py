@@ -71,5 +71,13 @@ def without_embedding(articles: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def attach_embeddings(articles: DataFrame, vectors: DataFrame, on: list[str]) -> DataFrame:
-    """Articles beside their vectors, matched by key."""
-    return articles.join(vectors, on)
+    """Every article beside its vector, matched by key; the vector of an article that has none is null.
+
+    ``vectors`` has one row per key. :func:`without_embedding` counts the articles that were not matched.
+    """
+    return articles.join(vectors, on, "left")
+
+
+def without_embedding(attached: DataFrame, groups: list[str]) -> DataFrame:
+    """Per group: articles, and how many of them have no vector."""
+    return attached.groupBy(*groups).agg(F.count("*").alias("articles"), F.count_if(F.col("embedding").isNull()).alias("without_vector"))

@@ -22,45 +22,102 @@ ITEM = T.StructType(
 )
 
 
-def _items(spark: SparkSession, path: str) -> DataFrame:
+#: Elements of an Atom entry that are read.
+ENTRY = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("title", "published", "summary", "content")]
+    + [
+        T.StructField("author", T.StructType([T.StructField("name", T.StringType()), T.StructField("email", T.StringType())])),
+        T.StructField("link", T.ArrayType(T.StructType([T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType())]))),
+        T.StructField("_corrupt_record", T.StringType()),
+    ]
+)
+COLUMNS = ["title", "published", "description", "summary", "author", "link"]
+
+
+def _tagged(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
     items = (
         spark.read.format("xml")
-        .option("rowTag", "item")
+        .option("rowTag", tag)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("ignoreCorruptFiles", "true")
-        .schema(ITEM)
+        .schema(schema)
         .load(path)
     )
     place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    return items.select("*", *place, F.monotonically_increasing_id().alias("_read"))
+    return items.select("*", *place, F.monotonically_increasing_id().alias("_read")).withColumn("feed_id", F.col("feed_id").cast("string"))
+
+
+def _items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of RSS and entries of Atom under the same names. A feed file has one of the two forms."""
+    kept = ["feed_id", "_corrupt_record", "_file", "_block", "_read"]
+    rss = _tagged(spark, path, "item", ITEM).withColumns({"author": F.coalesce("author", "`dc:creator`"), "published": F.col("pubDate")})
+    # The page itself is the link that is named so or has no name.
+    pages = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    name, mail = F.col("author.name"), F.col("author.email")
+    author = F.when(name.isNotNull() & mail.isNotNull(), F.concat(name, F.lit(" ("), mail, F.lit(")"))).otherwise(F.coalesce(name, mail))
+    atom = _tagged(spark, path, "entry", ENTRY).withColumns(
+        {
+            "description": F.lit(None).cast("string"),
+            "summary": F.coalesce("summary", "content"),
+            "author": author,
+            "link": F.try_element_at(pages, F.lit(1))["_href"],
+        }
+    )
+    return rss.select(*COLUMNS, *kept).unionByName(atom.select(*COLUMNS, *kept))
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all landed feeds, laid out as ``feed_id=<id>/*.xml``.
+    """Entries of all landed feeds, RSS and Atom, laid out as ``feed_id=<id>/*.xml``.
 
-    A broken item is left out (``read_rejects`` lists it) and the other items and feeds go on. ``seq`` rises in the order of feed,
-    file name and item; it is not dense. Entries are written once, so that ``seq`` stays the same however often they are read.
+    A broken item is left out (``read_rejects`` lists it, ``audit_feeds`` counts files too) and the other items and feeds go on. ``seq``
+    rises in the order of feed, file name and item; it is not dense. Entries are written once, so that ``seq`` stays the same
+    however often they are read.
     """
     order = ["feed_id", "_file", "_block", "_read"]
-    items = _items(spark, path).filter(F.col("_corrupt_record").isNull()).withColumn("feed_id", F.col("feed_id").cast("string"))
-    entries = items.repartitionByRange(*order).sortWithinPartitions(*order).select(
-        "feed_id",
-        "title",
-        F.col("pubDate").alias("published"),
-        "description",
-        "summary",
-        F.coalesce("author", "`dc:creator`").alias("author"),
-        "link",
-        F.monotonically_increasing_id().alias("seq"),
-    )
+    items = _items(spark, path).filter(F.col("_corrupt_record").isNull())
+    entries = items.repartitionByRange(*order).sortWithinPartitions(*order).select("feed_id", *COLUMNS, F.monotonically_increasing_id().alias("seq"))
     return materialize(entries, "entries")
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """Items that ``read_rss`` leaves out: ``feed_id, file, reason, title, item``, the title if it was readable."""
+    """What ``read_rss`` leaves out: ``feed_id, file, reason, title, item``, the title if it was readable.
+
+    Items before the broken place of a file are read; the reader gives the broken document whole, once for each form it looks for.
+    """
     broken = _items(spark, path).filter(F.col("_corrupt_record").isNotNull())
-    return broken.select(F.col("feed_id").cast("string").alias("feed_id"), F.col("_file").alias("file"), F.lit("Broken item").alias("reason"), "title", F.col("_corrupt_record").alias("item"))
+    found = broken.select("feed_id", F.col("_file").alias("file"), F.lit("Broken item").alias("reason"), "title", F.col("_corrupt_record").alias("item"))
+    return found.distinct()
+
+
+def audit_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Per feed, what was landed and what was read: ``feed_id, files, broken_files, empty_files, items, untitled_items``.
+
+    The listing of files (their content is not read again) is held against what came out of them. A broken file has a place that can't
+    be read, an empty one gave no item, whether broken, no feed at all, or without items; so a feed of which nothing could be
+    read is in the result too.
+    """
+    broken, plain = F.col("_corrupt_record").isNotNull(), lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    listed = spark.read.format("binaryFile").load(path).select(plain("path").alias("_file"), F.col("feed_id").cast("string").alias("feed_id"))
+    counts = _items(spark, path).groupBy("feed_id", plain("_file").alias("_file")).agg(
+        F.count_if(~broken).alias("good"), F.count_if(~broken & F.col("title").isNull()).alias("untitled"), F.bool_or(broken).alias("broken")
+    )
+    good, untitled = (F.coalesce(c, F.lit(0).cast("bigint")) for c in ("good", "untitled"))
+    return listed.join(counts, ["feed_id", "_file"], "left").groupBy("feed_id").agg(
+        F.count("*").alias("files"),
+        F.count_if("broken").alias("broken_files"),
+        F.count_if(good == 0).alias("empty_files"),
+        F.sum(good).alias("items"),
+        F.sum(untitled).alias("untitled_items"),
+    )
+
+
+def write_atom(entries: DataFrame, path: str) -> None:
+    """Land entries as Atom files beside what is there, one folder per feed, as :func:`write_rss` does."""
+    link = F.array(F.struct(F.col("link").alias("_href"), F.lit("alternate").alias("_rel")))
+    items = entries.select("feed_id", "seq", "title", "published", "summary", F.col("description").alias("content"), F.struct(F.col("author").alias("name")).alias("author"), link.alias("link"))
+    spread = items.repartitionByRange(even_parts(items), "feed_id", "seq").sortWithinPartitions("feed_id", "seq").drop("seq")
+    spread.write.mode("append").partitionBy("feed_id").format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path)
 
 
 def write_rss(entries: DataFrame, path: str) -> None:

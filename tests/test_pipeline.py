@@ -289,6 +289,38 @@ def test_broken_feed_items_are_skipped(spark, tmp_path):
     assert {r.reason for r in R.read_rejects(spark, str(tmp_path)).collect()} <= {"Broken item"}
 
 
+def test_atom_and_the_audit(spark, tmp_path):
+    bodies = {
+        "a": """<feed><entry><title type="html">One &amp; two</title><published>2026-02-07T10:00:00Z</published><content>Body</content>
+            <author><name>Ada</name><email>a@b.it</email></author><link rel="self" href="s"/><link href="http://x"/></entry>
+            <entry><title>Two</title><summary>Sum</summary><author><name>Bo</name></author></entry></feed>""",
+        "b": "<rss><channel><item><title>kept</title></item><item><title>lost</titel></item></channel></rss>",
+        "c": "no feed",
+        "d": "<rss><channel><item><link>l</link></item></channel></rss>",
+    }
+    for feed, body in bodies.items():
+        (tmp_path / f"feed_id={feed}").mkdir()
+        (tmp_path / f"feed_id={feed}" / "f.xml").write_text(body)
+    found = sorted(tuple(r) for r in R.read_rss(spark, str(tmp_path)).select("feed_id", "title", "published", "summary", "author", "link").collect() if r.title)
+    assert found == [
+        ("a", "One & two", "2026-02-07T10:00:00Z", "Body", "Ada (a@b.it)", "http://x"),
+        ("a", "Two", None, "Sum", "Bo", None),
+        ("b", "kept", None, None, None, None),
+    ]
+    assert {(r.feed_id, r.reason) for r in R.read_rejects(spark, str(tmp_path)).collect()} == {("b", "Broken item"), ("c", "Broken item")}
+    assert R.read_rejects(spark, str(tmp_path)).count() == 2
+    audit = {r.feed_id: tuple(r)[1:] for r in R.audit_feeds(spark, str(tmp_path)).collect()}
+    assert audit == {"a": (1, 0, 0, 2, 0), "b": (1, 1, 0, 1, 0), "c": (1, 1, 1, 0, 0), "d": (1, 0, 0, 1, 1)}
+
+
+def test_articles_without_a_vector_stay(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "seq bigint, source string")
+    vectors = spark.createDataFrame([(1, [1.0])], "seq bigint, embedding array<double>")
+    found = A.attach_embeddings(rows, vectors, ["seq"])
+    assert sorted((r.seq, r.embedding) for r in found.collect()) == [(1, [1.0]), (2, None), (3, None)]
+    assert sorted(map(tuple, A.without_embedding(found, ["source"]).collect())) == [("x", 2, 1), ("y", 1, 1)]
+
+
 def test_previous_episode_does_not_cross_gaps(spark):
     issues = spark.createDataFrame([("s", date(2026, 2, d)) for d in (7, 9)], "show string, issue_date date")
     told = spark.createDataFrame([("s", date(2026, 2, 6), "six")], "show string, date date, script string")
