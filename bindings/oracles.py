@@ -652,3 +652,21 @@ n AS (SELECT CAST(programme AS VARCHAR) AS programme, count(*) AS items FROM ite
 SELECT programme, 'Show ' || programme AS title, 'About Show ' || programme || ' & more' AS description, 'it' AS language, 'Ada <Desk>' AS author,
        'https://example.org/' || programme || '/cover.png' AS cover, 'https://example.org/' || programme AS link, coalesce(items, 0) AS items
 FROM shows LEFT JOIN n USING (programme)"""
+ORACLES["embed_hashing"] = _with(ART) + rf""", word AS (
+  SELECT seq, w, count(*) AS times FROM (SELECT seq, unnest(regexp_split_to_array(lower({EMBEDDING_TEXT}), '[^\p{{L}}\p{{M}}\p{{N}}_]+')) AS w FROM art)
+  WHERE w <> '' GROUP BY ALL),
+crc AS (
+  SELECT range AS x, list_reduce(list_prepend(range, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+  FROM range(256)),
+tab AS (SELECT list(v ORDER BY x) AS tab FROM crc),
+digits AS (SELECT w, list_transform(string_split(hex(w), ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT)) AS d FROM (SELECT DISTINCT w FROM word)),
+bytes AS (SELECT w, list_transform(range(1, len(d), 2), lambda i: 16 * d[i] + d[i + 1]) AS b FROM digits),
+bucket AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda a, c: xor(a >> 8, tab[(xor(a, c) & 255) + 1])), 4294967295) % 256 AS k FROM bytes, tab),
+counted AS (SELECT seq, k, sum(times) AS n FROM word JOIN bucket USING (w) GROUP BY ALL),
+df AS (SELECT k, ln((SELECT count(*) + 1 FROM art) / (count(*) + 1)) AS weight FROM counted GROUP BY k),
+weighed AS (SELECT seq, k, n * weight AS x FROM counted JOIN df USING (k)),
+norm AS (SELECT seq, sqrt(sum(x * x)) AS length FROM weighed GROUP BY seq),
+cell AS (SELECT art.seq, r.k, coalesce(CASE WHEN length > 0 THEN x / length ELSE 0 END, 0) AS x
+  FROM art CROSS JOIN range(256) r(k) LEFT JOIN weighed w ON w.seq = art.seq AND w.k = r.k LEFT JOIN norm ON norm.seq = art.seq)
+SELECT seq, string_agg(printf('%.5f', CAST(CAST(x AS FLOAT) AS DOUBLE)), ',' ORDER BY k) AS vector FROM cell GROUP BY seq"""

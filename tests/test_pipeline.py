@@ -313,6 +313,21 @@ def test_atom_and_the_audit(spark, tmp_path):
     assert audit == {"a": (1, 0, 0, 2, 0), "b": (1, 1, 0, 1, 0), "c": (1, 1, 1, 0, 0), "d": (1, 0, 0, 1, 1)}
 
 
+def test_kept_word_counts_weigh_batches_alike(spark):
+    rows = spark.createDataFrame([(i, f"Word{i % 7} über die Stadt", f"text number {i % 3} Straße") for i in range(60)] + [(60, None, None), (61, "", "")], "seq bigint, title string, description string")
+    parts = [rows.filter("seq < 20"), rows.filter("seq >= 20")]
+    counts = E.merge_counts(*map(E.document_counts, parts))
+    kept = {r.bucket: r.texts for r in counts.collect()}
+    assert kept == {r.bucket: r.texts for r in E.document_counts(rows).collect()} and kept[-1] == 62
+    vectors = lambda df: {r.seq: r.embedding for r in df.collect()}
+    whole = vectors(E.embed_hashing(rows))
+    assert {k: v for p in parts for k, v in vectors(E.embed_hashing(p, counts=counts)).items()} == whole
+    E.register_provider("kept", E.hashing_provider(E.bucket_weights(counts)))
+    named = vectors(E.embed(rows, "kept"))
+    assert all(np.allclose(named[k], whole[k], atol=1e-6) for k in whole)
+    assert len(E.embed(rows, "hashing").first().embedding) == E.HASH_DIMENSIONS
+
+
 def test_articles_without_a_vector_stay(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "seq bigint, source string")
     vectors = spark.createDataFrame([(1, [1.0])], "seq bigint, embedding array<double>")
