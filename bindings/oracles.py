@@ -148,7 +148,7 @@ cleaned AS (
   FROM pruned)"""
 
 
-def _merged(threshold: float, linkage: str, name: str) -> str:
+def _merged(threshold: float, linkage: str, name: str, vector: str = "embedding") -> str:
     """CTEs with the groups of one linkage, ``<name>(id, cluster_id)``: rounds of mutual nearest pairs.
 
     The state holds pairs of groups (kind 0, with the sum, largest or least of their distances and their sizes) and members (1).
@@ -156,7 +156,7 @@ def _merged(threshold: float, linkage: str, name: str) -> str:
     joined = {"average": "sum(s)", "complete": "max(s)", "single": "min(s)"}[linkage]
     d = "s / (na * nb)" if linkage == "average" else "s"
     return f"""{name}_v AS MATERIALIZED (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+  SELECT vec_id, list_transform({vector}, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 {name}_state(step, kind, a, b, s, na, nb) AS (
   SELECT 0, 0, x.vec_id, y.vec_id, 1 - list_cosine_similarity(x.v, y.v), CAST(1 AS BIGINT), CAST(1 AS BIGINT)
   FROM {name}_v x JOIN {name}_v y ON x.vec_id < y.vec_id
@@ -191,25 +191,25 @@ VECTOR_LAB = r"""lab AS (
 SWEPT = [0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90]
 
 
-def _sweep() -> str:
+def _sweep(swept: list[float] = SWEPT, vector: str = "embedding", dimensions: int = 64) -> str:
     """CTEs ending in ``sweep``: metrics of the groups at each threshold."""
-    names = [f"at{round(100 * t)}" for t in SWEPT]
-    every = " UNION ALL ".join(f"SELECT {t} AS threshold, id, cluster_id FROM {n}" for t, n in zip(SWEPT, names))
+    names = [f"at{round(100 * t)}" for t in swept]
+    every = " UNION ALL ".join(f"SELECT {t} AS threshold, id, cluster_id FROM {n}" for t, n in zip(swept, names))
     return (
         "WITH RECURSIVE "
-        + ",\n".join(_merged(t, "average", n) for t, n in zip(SWEPT, names))
+        + ",\n".join(_merged(t, "average", n, vector) for t, n in zip(swept, names))
         + f""",
 grouped AS ({every}),
 unit AS (
   SELECT vec_id, 'src' || label AS source, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u
-  FROM (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)),
+  FROM (SELECT *, list_transform({vector}, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)),
 member AS (SELECT CAST(g.threshold AS DOUBLE) AS threshold, g.id, g.cluster_id, source, u FROM grouped g JOIN unit ON vec_id = id),
 sized AS (
   SELECT threshold, cluster_id, count(*) AS size, count(DISTINCT source) AS n_sources FROM member GROUP BY ALL),
 classed AS (
   SELECT *, n_sources / size AS diversity, CASE WHEN size > 2 AND n_sources = 1 THEN 'junk'
               WHEN size >= 3 AND n_sources / size >= 0.3 THEN 'top' ELSE 'niche' END AS category FROM sized),
-part AS (SELECT threshold, cluster_id, i, sum(u[i]) AS s FROM member, range(1, 65) r(i) GROUP BY ALL),
+part AS (SELECT threshold, cluster_id, i, sum(u[i]) AS s FROM member, range(1, {dimensions + 1}) r(i) GROUP BY ALL),
 total AS (SELECT threshold, cluster_id, list(s ORDER BY i) AS total FROM part GROUP BY ALL),
 shared AS (SELECT * FROM sized JOIN total USING (threshold, cluster_id) WHERE size >= 2),
 inner_d AS (
@@ -670,3 +670,25 @@ norm AS (SELECT seq, sqrt(sum(x * x)) AS length FROM weighed GROUP BY seq),
 cell AS (SELECT art.seq, r.k, coalesce(CASE WHEN length > 0 THEN x / length ELSE 0 END, 0) AS x
   FROM art CROSS JOIN range(256) r(k) LEFT JOIN weighed w ON w.seq = art.seq AND w.k = r.k LEFT JOIN norm ON norm.seq = art.seq)
 SELECT seq, string_agg(printf('%.5f', CAST(CAST(x AS FLOAT) AS DOUBLE)), ',' ORDER BY k) AS vector FROM cell GROUP BY seq"""
+
+
+def _labelled_by(vector: str, dimensions: int) -> str:
+    """Labels of a model at the threshold it chooses: ``threshold, id, cluster_id``."""
+    return f"""({_sweep([0.50, 0.60, 0.70, 0.80], vector, dimensions)}, valid AS (SELECT * FROM sweep WHERE silhouette IS NOT NULL AND pct_clustered >= 20),
+  peak AS (SELECT max(silhouette) AS peak FROM valid),
+  band AS (SELECT valid.* FROM valid, peak WHERE silhouette >= 0.75 * peak OR peak < 0),
+  told AS (SELECT threshold, task_score, 0 AS last FROM band UNION ALL SELECT threshold, task_score, 1 FROM sweep),
+  chosen AS (SELECT threshold FROM told ORDER BY last, task_score DESC, threshold LIMIT 1)
+  SELECT CAST(threshold AS DOUBLE) AS threshold, id, cluster_id FROM grouped JOIN chosen USING (threshold))"""
+
+
+ORACLES["model_comparison"] = f"""WITH a AS MATERIALIZED (SELECT * FROM {_labelled_by('embedding', 64)}), b AS MATERIALIZED (SELECT * FROM {_labelled_by('embedding[1:32]', 32)}),
+cells AS (SELECT a.cluster_id AS x, b.cluster_id AS y, CAST(count(*) AS DOUBLE) AS n FROM a JOIN b USING (id) GROUP BY ALL),
+one AS (SELECT x, sum(n) AS n FROM cells GROUP BY x), other AS (SELECT y, sum(n) AS n FROM cells GROUP BY y),
+s AS (SELECT (SELECT sum(n) FROM cells) AS total, (SELECT sum(n * (n - 1) / 2) FROM cells) AS both_p, (SELECT sum(n * (n - 1) / 2) FROM one) AS a_p,
+  (SELECT sum(n * (n - 1) / 2) FROM other) AS b_p, (SELECT sum(n * ln(n)) FROM cells) AS both_e, (SELECT sum(n * ln(n)) FROM one) AS a_e,
+  (SELECT sum(n * ln(n)) FROM other) AS b_e),
+e AS (SELECT *, a_p * b_p / (total * (total - 1) / 2) AS expected, (a_p + b_p) / 2 AS bound, ln(total) - both_e / total AS h, ln(total) - a_e / total AS ha,
+  ln(total) - b_e / total AS hb FROM s)
+SELECT CAST(total AS BIGINT) AS articles, round((both_p - expected) / (bound - expected), 6) AS adjusted_rand, round((ha + hb - h) / ((ha + hb) / 2), 6) AS nmi,
+       (SELECT min(threshold) FROM a) AS threshold_a, (SELECT min(threshold) FROM b) AS threshold_b FROM e"""

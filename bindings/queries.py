@@ -19,7 +19,7 @@ from storyline.operators import embed as E
 from storyline.operators import ingest as I
 from storyline.operators import stories as S
 from storyline.operators.ordering import positions
-from storyline.plans import catalog, digests, evaluation, views
+from storyline.plans import catalog, digests, evaluation, models, views
 from storyline.plans.analysis import daily_analysis as analyze_day
 from storyline.schema import ISSUE
 from storyline.session import materialize, new_path
@@ -732,6 +732,16 @@ def suggest_threshold_rounds(spark, sf_dir):
     return evaluation.suggest_threshold(sweep, ISSUE).select("threshold", "reason")
 
 
+@query
+def model_comparison(spark, sf_dir):
+    """All of each vector against its first half: chosen thresholds and how far the two clusterings agree."""
+    whole = B.vectors(spark, sf_dir)
+    half = whole.withColumn("embedding", F.slice("embedding", 1, 32))
+    a, b = (models.evaluate_model(v, ISSUE, [0.50, 0.60, 0.70, 0.80]) for v in (whole, half))
+    chosen = a.choice.select(F.col("threshold").alias("threshold_a")).crossJoin(b.choice.select(F.col("threshold").alias("threshold_b")))
+    return models.compare_models(a, b, ISSUE).indexes.crossJoin(chosen).select("articles", six("adjusted_rand"), six("nmi"), "threshold_a", "threshold_b")
+
+
 def _unit_labels(spark, sf_dir) -> DataFrame:
     return evaluation.unit_labels(B.labelled(spark, sf_dir), ISSUE, "cluster_id")
 

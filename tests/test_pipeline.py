@@ -15,7 +15,7 @@ from storyline.operators import ingest as I
 from storyline.operators import stories as S
 from storyline.operators.nearest import near_pairs, nearest_within
 from storyline.operators.ordering import first_rows, positions
-from storyline.plans import digests, evaluation, views
+from storyline.plans import digests, evaluation, models, views
 from storyline.plans.analysis import daily_analysis
 from storyline.schema import ISSUE
 from storyline.session import new_path
@@ -313,6 +313,31 @@ def test_atom_and_the_audit(spark, tmp_path):
     assert audit == {"a": (1, 0, 0, 2, 0), "b": (1, 1, 0, 1, 0), "c": (1, 1, 1, 0, 0), "d": (1, 0, 0, 1, 1)}
 
 
+def test_two_models(spark, sample):
+    rows, vectors = sample
+    half = rows.withColumn("embedding", F.slice("embedding", 1, 32))
+    grid = [0.5, 0.6, 0.7]
+    a, b = (models.evaluate_model(v, ISSUE, grid) for v in (rows, half))
+    told = []
+    for model, plain in ((a, vectors), (b, vectors[:, :32])):
+        t = model.choice.first().threshold
+        assert t == evaluation.suggest_threshold(evaluation.threshold_sweep(rows if model is a else half, ISSUE, grid), ISSUE).first().threshold
+        labels = greedy(plain, t)
+        assert [r.cluster_id for r in model.labels.orderBy("id").collect()] == labels.tolist()
+        told.append(labels)
+    found = models.compare_models(a, b, ISSUE)
+    cells = np.zeros((120, 120))
+    np.add.at(cells, tuple(told), 1)
+    pairs = lambda x: (x * (x - 1) / 2).sum()
+    both, rows_, columns = pairs(cells), pairs(cells.sum(1)), pairs(cells.sum(0))
+    expected = rows_ * columns / pairs(np.array([120]))
+    index = found.indexes.first()
+    assert index.articles == 120 and index.adjusted_rand == pytest.approx((both - expected) / ((rows_ + columns) / 2 - expected))
+    broken = ((cells > 0).sum(1) > 1) & (cells.sum(1) > 1)
+    assert found.splits.count() == min(5, broken.sum())
+    assert found.stories.count() == min(10, max(m.clusters.filter("category = 'top'").count() for m in (a, b)))
+
+
 def test_kept_word_counts_weigh_batches_alike(spark):
     rows = spark.createDataFrame([(i, f"Word{i % 7} über die Stadt", f"text number {i % 3} Straße") for i in range(60)] + [(60, None, None), (61, "", "")], "seq bigint, title string, description string")
     parts = [rows.filter("seq < 20"), rows.filter("seq >= 20")]
