@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyline.llm.common import mixed
+from storyline.llm.common import mixed, packed, unpacked
 from storyline.operators.ordering import positions
 from storyline.session import drop_table, even_parts, write_table
 
@@ -49,14 +49,6 @@ def split_words(text: bytes) -> list[bytes]:
     return text.lower().translate(_BYTES).replace(PIECE_END, b" \xff ").split()
 
 
-def packed(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes, count: int, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, count * np.dtype(kind).itemsize, codec="zstd"), kind)
-
-
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of the text (taken as a ring) in the order of the ``depth`` ids that start there, by prefix doubling."""
     rank, width = text.astype(np.int64), 1

@@ -75,6 +75,15 @@ def text_in(batch: pa.RecordBatch) -> pa.Array:
     return pc.struct_field(docs, docs.type.get_field_index("text"))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array."""
+    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, count: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, count * np.dtype(kind).itemsize, codec="zstd"), kind)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null is empty."""
     return [t or "" for t in column.to_pylist()]
