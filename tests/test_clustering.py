@@ -119,3 +119,57 @@ def test_similarity_join_folds_copies(spark):
     u = vectors[:13] / np.linalg.norm(vectors[:13], axis=1, keepdims=True)
     expected = {(a, b): (1, 6 if b == 12 else 1) for a, b in zip(*np.nonzero(np.triu(1 - u @ u.T < 0.4, 1)))}
     assert found == {**expected, (12, 12): (6, 6)}
+
+
+def test_spanning_forest_is_minimal(spark):
+    vectors = clumps(21, 70)
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 12)
+    rows = C.unit_rows(frame(spark, {"s": vectors}), KEYS)
+    for threshold, tile_rows in ((0.3, 12), (0.05, 1000)):
+        found = C.spanning_forest(rows, KEYS, threshold, tile_rows).collect()
+        name, weight = list(range(70)), 0.0
+        for i, j in sorted(zip(*np.nonzero(np.triu(d < threshold, 1))), key=lambda p: d[p]):
+            if name[i] != name[j]:
+                weight += d[i, j]
+                name = [name[i] if x == name[j] else x for x in name]
+        assert len(found) == 70 - len(set(name))
+        assert sum(r.distance for r in found) == pytest.approx(weight)
+
+
+@pytest.mark.parametrize("local_limit", [1, 1000])
+def test_single_history_serves_lower_thresholds(spark, local_limit):
+    vectors = clumps(22, 50)
+    rows = C.unit_rows(frame(spark, {"s": vectors}), KEYS)
+    links = C._forest_merges(C.spanning_forest(rows, KEYS, 0.3, 20), KEYS, local_limit)
+    start = rows.select(*KEYS, "id", C.F.array().cast(C.PATH).alias("path"))
+    tree = C.follow(start, links, KEYS)
+    for t in (0.02, 0.05, 0.3):
+        assert (labels(C.cut(tree, KEYS, t), 50) == greedy(vectors, t, "single")).all()
+
+
+def test_far_tiles_do_not_meet(spark):
+    """Tight groups in different directions: a tile meets few others, and no near pair is lost."""
+    rng = np.random.default_rng(8)
+    centers = np.eye(12)
+    vectors = np.repeat(centers, 30, axis=0) + 0.02 * rng.normal(size=(360, 12))
+    rows = C.unit_rows(frame(spark, {"s": vectors}), KEYS)
+    pivots = C.choose_pivots(rows, 20)
+    cells = C.with_cells(rows.withColumn("fresh", C.F.lit(True)), pivots)
+    near, every = (C.near_tiles(cells, KEYS, below, pivots, 20).select("p", "q").distinct().count() for below in (0.1, None))
+    assert near < 0.75 * every
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    d = 1 - u @ u.T + 2 * np.eye(360)
+    found = {r.id: r.distance for r in C.nearest_within(rows, KEYS, 0.1, 20, pivots).collect()}
+    assert set(found) == set(np.flatnonzero(d.min(axis=1) < 0.1)) and all(abs(found[i] - d[i].min()) < 1e-9 for i in found)
+
+
+def test_only_fresh_pairs_are_looked_at(spark):
+    vectors = clumps(23, 40)
+    rows = C.unit_rows(frame(spark, {"s": vectors}), KEYS).withColumn("fresh", C.F.col("id") < 10)
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    d = 1 - u @ u.T + 2 * np.eye(40)
+    d[10:, 10:] = 2
+    for tile_rows in (7, 1000):
+        found = {r.id: r.partner for r in C.nearest_within(rows, KEYS, None, tile_rows).collect()}
+        assert found == {i: int(d[i].argmin()) for i in range(40)}
