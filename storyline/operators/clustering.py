@@ -276,7 +276,7 @@ def _average_rounds(nodes: DataFrame, keys: list[str], threshold: float, local_l
         _check_progress(active, found.all)
         active = found.rows
         held = nodes.filter("partner is not null").select(*keys, "id", "partner", "distance", "tie")
-        renewed = nearest_within(nodes, keys, threshold, tile_rows, pivots)
+        renewed = nearest_within(nodes, keys, threshold, tile_rows, pivots, counts)
         best = materialize(keep_best(renewed.unionByName(held), keys, threshold), "best")
         merges = mutual_pairs(best, keys)
         step = F.array(F.struct(F.col("parent").alias("cluster"), "height")).cast(PATH)

@@ -164,21 +164,24 @@ def with_cells(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
     return plain.mapInArrow(run, schema)
 
 
-def near_tiles(nodes: DataFrame, keys: list[str], below: float | None, pivots: np.ndarray, tile_rows: int) -> DataFrame:
+def near_tiles(
+    nodes: DataFrame, keys: list[str], below: float | None, pivots: np.ndarray, tile_rows: int, sizes: DataFrame | None = None
+) -> DataFrame:
     """Send each row of ``nodes`` (with cells, and ``fresh``) to the pairs of tiles ``p, q`` that its own tile has to meet.
 
     A tile is a part of a cell. Two vectors of cells whose pivots are ``t`` apart are at least ``t`` less their own angles to the
     pivots apart, by the triangle inequality; so the largest angle and length in each cell bound every distance between
     two cells, and pairs of cells that can't come below ``below`` are left out. So are pairs without a fresh row.
     """
+    if not len(pivots):
+        return tile_pairs(with_tiles(nodes.drop("cell", "angle", "norm"), keys, tile_rows, "tiles", "tile", sizes))
     spark = nodes.sparkSession
     cells = nodes.groupBy(*keys, "cell").agg(
         F.count("*").alias("rows"), F.max("angle").alias("wide"), F.max("norm").alias("long"), F.count_if("fresh").alias("renewed")
     )
-    tiles = F.greatest(F.ceil(F.col("rows") / tile_rows), F.least(F.lit(SPREAD).cast("bigint"), F.ceil(F.col("rows") * 4 / tile_rows)))
     # One row per block and cell, written so that joins know its size.
-    cells = materialize(cells.withColumn("tiles", tiles if not len(pivots) else F.ceil(F.col("rows") / tile_rows)), "cells")
-    far = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) else np.zeros((1, 1))
+    cells = materialize(cells.withColumn("tiles", F.ceil(F.col("rows") / tile_rows)), "cells")
+    far = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
     apart = spark.createDataFrame([(i, j, float(far[i, j])) for i in range(len(far)) for j in range(len(far))], "cell bigint, other bigint, apart double")
     other = cells.select(*keys, F.col("cell").alias("other"), F.col("tiles").alias("other_tiles"), F.col("wide").alias("other_wide"), F.col("long").alias("other_long"), F.col("renewed").alias("other_renewed"))
     pairs = cells.join(other, keys).join(apart, ["cell", "other"]).filter("renewed + other_renewed > 0")
@@ -224,6 +227,7 @@ def nearest_within(
     below: float | None = None,
     tile_rows: int = TILE_ROWS,
     pivots: np.ndarray | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """For each node the nearest other node of its block: ``keys, id, partner, distance, tie``.
 
@@ -249,7 +253,7 @@ def nearest_within(
         own, partner, near, tie = (np.concatenate(x) for x in zip(*made)) if made else (none,) * 4
         return _result(table, keys, np.zeros(len(own), np.int64), own, (None, partner, near, tie))
 
-    spread = near_tiles(nodes.select(*keys, "id", "vec", "fresh", "cell", "angle", "norm"), keys, below, pivots, tile_rows)
+    spread = near_tiles(nodes.select(*keys, "id", "vec", "fresh", "cell", "angle", "norm"), keys, below, pivots, tile_rows, sizes)
     return keep_best(spread.groupBy(*keys, "p", "q").applyInArrow(search, _schema(nodes, keys)), keys, below)
 
 
