@@ -20,12 +20,11 @@ from storyline.session import materialize
 
 LONGEST = 3
 BINS = 8192
-#: Texts of each language that the model is fitted on. Of many languages each has fewer, so that they are about ``SAMPLE``, but
-#: none has less than ``LEAST_SAMPLE`` and none is left out.
-SAMPLE_PER_LANGUAGE = 400
-SAMPLE, LEAST_SAMPLE = 25600, 16
-#: Landmarks at least, and landmarks of each language at least.
-LANDMARKS, LANDMARKS_PER_LANGUAGE = 256, 4
+#: Texts of each language that the model is fitted on. Of many languages each has fewer, so that they are ``SAMPLE`` in all, but
+#: each has one at least and none is left out.
+SAMPLE_PER_LANGUAGE, SAMPLE = 400, 25600
+#: Landmarks at least, landmarks of each language, and landmarks at most, which all languages then share.
+LANDMARKS, LANDMARKS_PER_LANGUAGE, MOST_LANDMARKS = 256, 4, 1024
 RIDGE = 1e-2
 #: Texts a task turns into a dense matrix at once, and code points it hashes at once.
 ROWS_AT_ONCE = 256
@@ -84,7 +83,7 @@ def fit(sets: np.ndarray, languages: list[str], landmarks: int | None = None, ri
     turn = np.zeros(len(labels), np.int64)  # landmarks take turns among the languages
     for k in range(len(names)):
         turn[labels == k] = np.arange((labels == k).sum())
-    landmarks = landmarks or max(LANDMARKS, LANDMARKS_PER_LANGUAGE * len(names))
+    landmarks = landmarks or min(MOST_LANDMARKS, max(LANDMARKS, LANDMARKS_PER_LANGUAGE * len(names)))
     marks = unit_rows(sets[np.lexsort((labels, turn))[:landmarks]]).astype(np.float64)
     values, vectors = np.linalg.eigh(marks @ marks.T)
     keep = values > 1e-8 * values[-1]
@@ -111,7 +110,7 @@ def train(docs: DataFrame, fold: Column | None = None, per_language: int = SAMPL
     if fold is not None:
         rows = rows.filter(fold)
     kinds = rows.select("lang").distinct().count()
-    per_language = min(per_language, max(LEAST_SAMPLE, SAMPLE // max(1, kinds)))
+    per_language = min(per_language, max(1, SAMPLE // max(1, kinds)))
     key = F.xxhash64("doc_id", "text")
     rows = rows.select("lang", key.alias("key"), "text")
     # Each slice keeps its least keys, then each language; keys only, so that no text is shuffled.
@@ -139,7 +138,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """Add ``doc`` (the row, all its columns), ``lang_pred`` and ``score`` in [0, 1].
 
     A null text or one without a letter is ``und`` with score 0, as is every text if there was nothing to learn from. Ties
-    go to the first language by name. Rows stay where they are; the model is a number of landmarks that grows with the languages alone.
+    go to the first language by name. Rows stay where they are; the model is a bounded number of landmarks, and weights of each language over them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model and (model.landmarks, model.weights, model.languages))
 
