@@ -1,12 +1,15 @@
-"""Similarity join of texts on word shingles: MinHash bands find candidates, exact Jaccard verifies them.
+"""Similarity join of texts on word shingles: a MinHash LSH forest finds candidates, exact Jaccard verifies them.
 
 * A text is the set of its runs of ``SHINGLE`` words. Texts with equal sets are a class; only classes are compared.
-* Each of ``TREES`` bands hashes the first ``depth_for()`` of its own min-hashes to one key; classes with equal keys are
-  candidates. The depth follows from ``SIMILAR`` and ``RECALL`` alone, so this is banding and not a forest with prefixes
-  that are shortened on the data.
-* Inside a node, signatures of one byte per min-hash rule out pairs that are far from the threshold. What remains is joined to
-  groups; all pairs within a group are then verified on their whole shingle sets, also those that no tree brought together.
-* Nodes and groups are cut into tiles, and each pair of tiles is one bounded Spark group. A task counts links and returns one
+* Each of ``TREES`` tries holds ``DEEPEST`` min-hashes of a class, 16 bits each. The rows of all tries are range-partitioned and
+  sorted by that path, so the classes below a node stand side by side, and the longest prefix that a row shares with a
+  neighbour says how deep its first partner lies. Rows without a neighbour at the shortest useful prefix leave here.
+* Matched prefixes start at full depth and are shortened value by value. After each level the links found so far tell the
+  weakest similarity in this corpus; shortening ends when a link that weak is met with the target recall, or at
+  ``depth_for()``, where every link at the threshold is.
+* A pair is verified once: at the level of its longest common prefix, in the first tree that has it. Whole signatures rule out pairs
+  that are far from the threshold; texts are sent only for classes with a pair left, and compared as sorted shingle arrays.
+* Nodes are cut into tiles, and each pair of tiles is one bounded Spark group. A task counts links and returns one
   row per class; pairs are never emitted.
 """
 
@@ -27,16 +30,22 @@ from storyline.session import materialize
 SHINGLE = 5
 SIMILAR = 0.8
 TREES = 24
-DEEPEST = 8
+DEEPEST = 6
 RECALL = 0.99999
+#: Bytes of a min-hash in a path, and bits of a node's number that are left below those of its tree.
+VALUE_BYTES, NODE_BITS = 2, 58
 #: Standard deviations of the signature estimate below the threshold at which a candidate is ruled out.
 DEVIATIONS = 5.0
-#: Classes per tile of a node and of a group, and shingles per tile of a group.
-NODE_TILE, GROUP_TILE = 512, 256
-GROUP_SHINGLES = 1 << 21
+#: Classes and shingles per tile of a node.
+NODE_TILE = 256
+TILE_SHINGLES = 1 << 21
+#: Pairs per class of a tile up to which pairs are intersected one by one, not as a product of matrices.
+FEW_PAIRS = 2
 #: Products of shingles and min-hash multipliers held at once, and shingle columns of a block of counts.
 CELLS = 1 << 20
 COLUMNS = 4096
+#: Bytes of paths are big-endian, so that their order is that of the values.
+PATH = np.dtype(">u2")
 
 
 def depth_for(similar: float = SIMILAR, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
@@ -92,38 +101,35 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return counts
 
 
-def _signed(texts: DataFrame, depth: int) -> DataFrame:
-    """Per row: class of its shingle set (two 64-bit halves), number of shingles, trie keys, signature."""
-    multipliers = odd_numbers(TREES * depth, 23)
-    steps = odd_numbers(depth, 31)
+def _signed(texts: DataFrame) -> DataFrame:
+    """Per row: class of its shingle set (two 64-bit halves), number of shingles, signature (the paths of all trees)."""
+    multipliers = odd_numbers(TREES * DEEPEST, 23)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            size, high, low, keys, marks = [], [], [], [], []
+            size, high, low, marks = [], [], [], []
             for text in texts_of(batch["text"]):
                 found = shingles(text, hashes)
                 size.append(len(found))
                 if not len(found):
-                    high.append(None), low.append(None), keys.append(None), marks.append(None)
+                    high.append(None), low.append(None), marks.append(None)
                     continue
                 whole = xxhash.xxh3_128_digest(found.tobytes())
                 halves = np.frombuffer(whole, np.int64)
                 high.append(int(halves[0])), low.append(int(halves[1]))
                 least = mixed(min_hashes(found, multipliers))
-                nodes = mixed((least.reshape(TREES, depth) * steps).sum(axis=1, dtype=np.uint64) + np.arange(1, TREES + 1, dtype=np.uint64))
-                keys.append(nodes.view(np.int64))
-                marks.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
+                marks.append((least >> np.uint64(64 - 8 * VALUE_BYTES)).astype(PATH).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"], batch["text_key"], batch["number"], pa.array(size, pa.int64()), pa.array(high, pa.int64()),
-                    pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()),
+                    pa.array(low, pa.int64()), pa.array(marks, pa.binary()),
                 ],
-                ["doc_id", "text_key", "number", "size", "high", "low", "nodes", "marks"],
+                ["doc_id", "text_key", "number", "size", "high", "low", "marks"],
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key bigint, number bigint, size bigint, high bigint, low bigint, nodes array<bigint>, marks binary"
+    schema = f"doc_id {kind}, text_key bigint, number bigint, size bigint, high bigint, low bigint, marks binary"
     return texts.mapInArrow(run, schema)
 
 
@@ -140,15 +146,14 @@ def join(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Texts without words (null, empty, signs only) link with nothing and are kept. Repeated rows and equal texts are linked like
     others. A null id is less than others. Other columns are ignored.
     """
-    depth = depth_for(similar)
+    floor = depth_for(similar)
     texts = docs.select("doc_id", "text", text_key().alias("text_key"), F.monotonically_increasing_id().alias("number"))
-    rows = materialize(_signed(texts, depth), "signed")
+    rows = materialize(_signed(texts), "signed")
     named = rows.filter(F.col("high").isNotNull())
     classes = materialize(named.groupBy("high", "low").agg(F.count("*").alias("copies"), F.min("number").alias("id")), "classes")
     chosen = named.join(classes.select(F.col("id").alias("number"), "copies"), "number")
-    chosen = materialize(chosen.select(F.col("number").alias("id"), "copies", "text_key", "size", "nodes", "marks"), "chosen")
-    groups = _candidate_groups(chosen, similar)
-    checked = _verify(chosen, groups, docs, similar)
+    chosen = materialize(chosen.select(F.col("number").alias("id"), "copies", "text_key", "size", "marks"), "chosen")
+    checked = _links(chosen, docs, similar, floor)
     links = checked.groupBy("id").agg(F.sum("links").alias("near"))
     edges = checked.filter(F.col("target") != F.col("id")).select(F.col("id").alias("a"), F.col("target").alias("b"))
     joined = connected_components(checked.select("id").distinct(), edges, [])
@@ -168,40 +173,138 @@ def join(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     )
 
 
-def _candidate_groups(chosen: DataFrame, similar: float) -> DataFrame:
-    """Groups of classes that may be similar: ``id, cluster_id``. Classes without a candidate are in none."""
-    spread = chosen.select("id", F.explode("nodes").alias("node"))
-    nodes = spread.groupBy("node").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id")).alias("members")).filter("rows > 1")
-    # Trees that gather the same classes below a node need that node once.
-    nodes = materialize(nodes.groupBy("rows", "members").agg(F.min("node").alias("node")).select("node", "rows"), "nodes")
-    below = spread.join(nodes, "node").withColumn("tiles", F.ceil(F.col("rows") / NODE_TILE))
-    below = below.join(chosen.select("id", "size", "marks"), "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    dealt = tile_pairs(below.drop("rows"), "tiles", "tile").withColumn("block", F.xxhash64("node", "p", "q"))
-    dealt = dealt.select("block", "node", "p", "q", "tile", "id", "size", "marks")
+def _links(chosen: DataFrame, docs: DataFrame, similar: float, floor: int) -> DataFrame:
+    """Level by level from full depth: per class and pair of tiles ``id, links`` (rows linked), ``target``, ``weakest``."""
+    forest = materialize(_forest(chosen, floor), "forest")
+    ids = forest.select("id").distinct()
+    members = chosen.join(ids, "id").select("id", "text_key")
+    texts = docs.select(text_key().alias("text_key"), "text").join(members, "text_key")
+    texts = materialize(texts.groupBy("id").agg(F.first("text").alias("text")), "texts")  # equal rows have equal keys
+    checked = None
+    for depth in range(DEEPEST, floor - 1, -1):
+        found = _verify(_candidates(forest, chosen, depth, similar), chosen, texts, depth, similar)
+        checked = found if checked is None else checked.unionByName(found)
+        if depth > floor and _recalled(checked, depth, similar):
+            break
+    return checked
+
+
+def _recalled(checked: DataFrame, depth: int, similar: float) -> bool:
+    """Whether prefixes of this depth meet the target recall on this corpus, so that they need not be shortened.
+
+    A link as weak as the weakest one found must be met with the target recall, and an unseen one at the threshold must
+    weigh no more than the target allows among the links found.
+    """
+    missed = lambda s: (1 - s**depth) ** TREES
+    seen = checked.agg(F.min("weakest").alias("weakest"), F.sum("links").alias("links")).first()
+    if not seen["links"]:
+        return False
+    return missed(seen["weakest"]) <= 1 - RECALL and missed(similar) <= (1 - RECALL) * seen["links"]
+
+
+def _forest(chosen: DataFrame, floor: int) -> DataFrame:
+    """``id, size, tree, path, near``: the sorted rows of all tries that share at least ``floor`` values with a neighbour.
+
+    ``near`` is the longest prefix shared with the row before or after. At the borders of a partition the neighbour is not
+    seen and counts as equal; the nodes' counts decide there.
+    """
+    width = DEEPEST * VALUE_BYTES
+    paths = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("marks"), t * width + 1, F.lit(width)))
+    spread = chosen.select("id", "size", F.posexplode(paths).alias("tree", "path"))
+    order = ["tree", "path", "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, before = None, np.array([DEEPEST])
+
+        def kept(found: pa.Table, left: np.ndarray, right: np.ndarray) -> list[pa.RecordBatch]:
+            near = np.maximum(left, right)
+            found = found.append_column("near", pa.array(near.astype(np.int32)))
+            return found.filter(pa.array(near >= floor)).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = pa.Table.from_batches([batch])
+            found = found if carry is None else pa.concat_tables([carry, found])
+            values = np.frombuffer(b"".join(found["path"].to_pylist()), PATH).reshape(-1, DEEPEST)
+            tree = found["tree"].to_numpy()
+            same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            shared = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+            left = np.concatenate([before, shared])
+            yield from kept(found.slice(0, found.num_rows - 1), left[:-1], shared)
+            carry, before = found.slice(found.num_rows - 1), left[-1:]
+        if carry is not None:
+            yield from kept(carry, before, np.array([DEEPEST]))
+
+    ordered = spread.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "id bigint, size bigint, tree int, path binary, near int")
+
+
+def _candidates(forest: DataFrame, chosen: DataFrame, depth: int, similar: float) -> DataFrame:
+    """Classes with a pair to verify at this level: ``block, node, p, q, tile, id``."""
+    part = F.xxhash64(F.substring("path", 1, depth * VALUE_BYTES)).bitwiseAND(F.lit((1 << NODE_BITS) - 1))
+    node = F.shiftleft(F.col("tree").cast("bigint"), NODE_BITS).bitwiseOR(part)
+    child = F.xxhash64(F.substring("path", 1, (depth + 1) * VALUE_BYTES))
+    below = forest.filter(F.col("near") >= depth).select("id", "size", node.alias("node"), child.alias("child"))
+    nodes = below.groupBy("node").agg(
+        F.count("*").alias("rows"), F.sum("size").alias("sizes"), F.bit_xor(F.xxhash64("id")).alias("members"),
+        (F.min("child") != F.max("child")).alias("parts"),
+    ).filter("rows > 1")
+    if depth < DEEPEST:
+        nodes = nodes.filter("parts")  # pairs below one child were met at the level before
+    # Trees that gather the same classes below a node need that node once, in the first of them.
+    nodes = nodes.groupBy("rows", "members").agg(F.min("node").alias("node"), F.max("sizes").alias("sizes"))
+    tiles = F.greatest(F.ceil(F.col("rows") / NODE_TILE), F.ceil(F.col("sizes") / TILE_SHINGLES))
+    nodes = materialize(nodes.select("node", tiles.alias("tiles")), "nodes")
+    below = below.select("id", "node").join(nodes, "node").join(chosen.select("id", "size", "marks"), "id")
+    dealt = tile_pairs(below.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))), "tiles", "tile")
+    dealt = dealt.withColumn("block", F.xxhash64("node", "p", "q")).select("block", "node", "p", "q", "tile", "id", "size", "marks")
 
     def compare(found: pa.Table) -> pa.Table | None:
         left, right = _sides(found)
-        if not len(left) or not len(right):
+        near = _to_verify(found, left, right, depth, similar)
+        if near is None:
             return None
-        ids, size = found["id"].to_numpy(), found["size"].to_numpy()
-        marks = np.frombuffer(b"".join(found["marks"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        width = marks.shape[1]
-        least = similar - DEVIATIONS * np.sqrt(similar * (1 - similar) / width)
-        near = _matches(marks[left], marks[right]) >= least * width
-        near &= _sizes_allow(size[left], size[right], similar) & (ids[left][:, None] != ids[right][None, :])
-        if not near.any():
-            return None
-        low_left, low_right = least_linked(near, ids[left], ids[right])
-        a, b = np.concatenate([ids[left], ids[right]]), np.concatenate([low_left, low_right])
-        hit = a != b
-        return pa.table({"a": a[hit], "b": b[hit]})
+        hit = np.zeros(found.num_rows, bool)
+        hit[left] |= near.any(axis=1)
+        hit[right] |= near.any(axis=0)
+        return found.select(["block", "node", "p", "q", "tile", "id"]).filter(pa.array(hit))
 
     order = ["block", "node", "p", "q"]
-    edges = dealt.repartition("block").sortWithinPartitions(*order)
-    edges = edges.mapInArrow(lambda batches: stream_groups(batches, order, compare), "a bigint, b bigint")
-    edges = materialize(edges.distinct(), "near")
-    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    return connected_components(ends, edges, [])
+    dealt = dealt.repartition("block").sortWithinPartitions(*order)
+    kinds = "block bigint, node bigint, p bigint, q bigint, tile bigint, id bigint"
+    return materialize(dealt.mapInArrow(lambda batches: stream_groups(batches, order, compare), kinds), "candidates")
+
+
+def _to_verify(found: pa.Table, left: np.ndarray, right: np.ndarray, depth: int, similar: float) -> np.ndarray | None:
+    """Pairs of a node's tiles that meet first here and may be similar; None without any."""
+    if not len(left) or not len(right):
+        return None
+    ids, size = found["id"].to_numpy(), found["size"].to_numpy()
+    tree = int(found["node"][0].as_py()) >> NODE_BITS
+    marks = np.frombuffer(b"".join(found["marks"].to_pylist()), PATH).astype(np.uint16).reshape(len(ids), TREES, DEEPEST)
+    near = _sizes_allow(size[left], size[right], similar) & (ids[left][:, None] != ids[right][None, :])
+    here = _prefixes(marks, depth)
+    near &= here[left, tree][:, None] == here[right, tree][None, :]
+    for t in range(tree):
+        near &= here[left, t][:, None] != here[right, t][None, :]
+    if depth < DEEPEST:
+        longer = _prefixes(marks, depth + 1)
+        for t in range(TREES):
+            near &= longer[left, t][:, None] != longer[right, t][None, :]
+    a, b = np.nonzero(near)
+    flat, width = marks.reshape(len(ids), -1), TREES * DEEPEST
+    least = similar - DEVIATIONS * np.sqrt(similar * (1 - similar) / width)
+    step = max(1, CELLS // width)
+    for start in range(0, len(a), step):
+        part = slice(start, start + step)
+        near[a[part], b[part]] = (flat[left[a[part]]] == flat[right[b[part]]]).sum(axis=1) >= least * width
+    return near if near.any() else None
+
+
+def _prefixes(marks: np.ndarray, depth: int) -> np.ndarray:
+    """One number per class and tree for the first ``depth`` values of the path."""
+    return mixed(mixed(marks[:, :, :depth].astype(np.uint64) + np.uint64(1)) * odd_numbers(depth, 31)).sum(axis=2, dtype=np.uint64)
 
 
 def _sides(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -216,56 +319,50 @@ def _sizes_allow(left: np.ndarray, right: np.ndarray, similar: float) -> np.ndar
     return low >= similar * high - 1e-9
 
 
-def _matches(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    if left.shape[0] * right.shape[0] * left.shape[1] <= CELLS:
-        return (left[:, None, :] == right[None, :, :]).sum(axis=2)
-    found = np.zeros((len(left), len(right)), np.uint16)
-    for k in range(left.shape[1]):
-        found += left[:, k][:, None] == right[:, k][None, :]
-    return found
-
-
-def _verify(chosen: DataFrame, groups: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
-    """All pairs within a group, on whole texts. Per class and pair of tiles: ``id, links`` (rows linked), ``target``."""
-    members = materialize(groups.join(chosen.select("id", "copies", "text_key", "size"), "id"), "members")
-    tiles = members.groupBy("cluster_id").agg(
-        F.greatest(F.ceil(F.count("*") / GROUP_TILE), F.ceil(F.sum("size") / GROUP_SHINGLES)).alias("tiles")
-    )
-    members = members.join(materialize(tiles, "tiles"), "cluster_id")
-    texts = docs.select(text_key().alias("text_key"), "text").join(members.select("text_key"), "text_key", "left_semi")
-    texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))  # equal rows have equal keys
-    tiled = members.join(texts, "text_key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    dealt = tile_pairs(tiled, "tiles", "tile").withColumn("block", F.xxhash64("cluster_id", "p", "q"))
-    dealt = dealt.select("block", "cluster_id", "p", "q", "tile", "id", "copies", "text")
-    order = ["block", "cluster_id", "p", "q"]
+def _verify(candidates: DataFrame, chosen: DataFrame, texts: DataFrame, depth: int, similar: float) -> DataFrame:
+    """The pairs of each block, on whole texts. Per class and block: ``id, links`` (rows linked), ``target``, ``weakest`` similarity."""
+    dealt = candidates.join(chosen.select("id", "copies", "size", "marks"), "id").join(texts, "id")
+    order = ["block", "node", "p", "q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
 
         def compare(found: pa.Table) -> pa.Table | None:
             left, right = _sides(found)
-            if not len(left) or not len(right):
+            near = _to_verify(found, left, right, depth, similar)
+            if near is None:
                 return None
             ids, copies = found["id"].to_numpy(), found["copies"].to_numpy()
-            sets = [shingles(t, hashes) for t in texts_of(found["text"])]
-            size = np.array([len(x) for x in sets])
-            shared = shared_counts([sets[i] for i in left], [sets[i] for i in right])
-            union = size[left][:, None] + size[right][None, :] - shared
-            near = (shared >= similar * union - 1e-9) & (ids[left][:, None] != ids[right][None, :])
+            likeness = _jaccard([shingles(t, hashes) for t in texts_of(found["text"])], left, right, near)
+            near &= likeness >= similar - 1e-9
             if not near.any():
                 return None
             low_left, low_right = least_linked(near, ids[left], ids[right])
-            out = [(ids[left], near @ copies[right], low_left)]
+            likeness[~near] = 2
+            out = [(ids[left], near @ copies[right], low_left, likeness.min(axis=1))]
             if left is not right:
-                out.append((ids[right], near.T @ copies[left], low_right))
-            out_ids, links, target = (np.concatenate(x) for x in zip(*out))
+                out.append((ids[right], near.T @ copies[left], low_right, likeness.min(axis=0)))
+            out_ids, links, target, weakest = (np.concatenate(x) for x in zip(*out))
             hit = links > 0
-            return pa.table({"id": out_ids[hit], "links": links[hit].astype(np.int64), "target": target[hit]})
+            return pa.table({"id": out_ids[hit], "links": links[hit].astype(np.int64), "target": target[hit], "weakest": weakest[hit]})
 
         return stream_groups(batches, order, compare)
 
-    checked = dealt.repartition("block").sortWithinPartitions(*order).mapInArrow(run, "id bigint, links bigint, target bigint")
-    return materialize(checked, "checked")
+    dealt = dealt.select(*order, "tile", "id", "copies", "size", "marks", "text").repartition("block").sortWithinPartitions(*order)
+    return materialize(dealt.mapInArrow(run, "id bigint, links bigint, target bigint, weakest double"), "checked")
+
+
+def _jaccard(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Exact similarities of the wanted pairs; the others are 0 or any value."""
+    size = np.array([len(x) for x in sets])
+    a, b = np.nonzero(wanted)
+    if len(a) > FEW_PAIRS * (len(left) + len(right)):
+        shared = shared_counts([sets[i] for i in left], [sets[i] for i in right])
+    else:
+        shared = np.zeros(wanted.shape)
+        for i, j in zip(a.tolist(), b.tolist()):
+            shared[i, j] = len(np.intersect1d(sets[left[i]], sets[right[j]], assume_unique=True))
+    return shared / (size[left][:, None] + size[right][None, :] - shared)
 
 
 def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

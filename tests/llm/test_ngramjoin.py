@@ -51,7 +51,6 @@ def near_texts():
 
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(J, "NODE_TILE", 8)  # so that nodes and groups are cut into tiles
-    monkeypatch.setattr(J, "GROUP_TILE", 8)
     texts = near_texts() + [r[1] for r in odd_rows()]
     ids = [*range(100, 100 + len(texts) - len(odd_rows())), *[r[0] for r in odd_rows()]]
     expected, classes = brute(ids, texts)
@@ -84,3 +83,44 @@ def test_counts_of_shared_shingles():
     sets = [np.unique(rng.integers(0, 9000, n)).astype(np.uint64) for n in (1, 30, 6000, 7000)]
     found = J.shared_counts(sets[:2], sets[2:])
     assert found.tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:2]]
+
+
+def test_rows_of_the_forest_are_those_with_a_neighbour(spark):
+    rng = np.random.default_rng(3)
+    marks = rng.integers(0, 2, (40, J.TREES * J.DEEPEST)).astype(J.PATH)
+    rows = [(i, 9, m.tobytes()) for i, m in enumerate(marks)]
+    chosen = spark.createDataFrame(rows, "id bigint, size bigint, marks binary").repartition(3)
+    found = {(r["id"], r["tree"]): r["near"] for r in J._forest(chosen, 4).collect()}
+    paths = marks.reshape(40, J.TREES, J.DEEPEST)
+    for t in range(J.TREES):
+        for i in range(40):
+            same = np.logical_and.accumulate(paths[:, t] == paths[i, t], axis=1).sum(axis=1)
+            longest = max(same[j] for j in range(40) if j != i)
+            # Rows at the border of a partition may be there without need, none is missing.
+            assert longest < 4 or found[i, t] >= longest
+    assert len(found) < 40 * J.TREES
+
+
+def test_prefixes_stay_long_only_where_the_links_found_allow_it(spark):
+    seen = lambda links, weakest: spark.createDataFrame([(links, weakest)], "links bigint, weakest double")
+    assert J._recalled(seen(10**9, 0.97), 6, 0.8)
+    assert not J._recalled(seen(10**9, 0.82), 6, 0.8)  # weak links need shorter prefixes
+    assert not J._recalled(seen(50, 0.97), 6, 0.8)  # too few links to tell
+    assert not J._recalled(seen(None, None), 6, 0.8)
+
+
+def test_a_pair_is_met_once(spark):
+    """Over all levels and trees, each pair with a common prefix of the floor's length is verified exactly once."""
+    rng = np.random.default_rng(5)
+    marks = rng.integers(0, 3, (60, J.TREES * J.DEEPEST)).astype(J.PATH)
+    paths = marks.reshape(60, J.TREES, J.DEEPEST).astype(np.uint16)
+    every = np.arange(60)
+    met = np.zeros((60, 60), int)
+    for depth in range(J.DEEPEST, 3, -1):
+        for t in range(J.TREES):
+            table = J.pa.table({"id": every, "size": [9] * 60, "node": [t << J.NODE_BITS] * 60, "marks": [m.tobytes() for m in marks]})
+            near = J._to_verify(table, every, every, depth, 0.0)
+            met += 0 if near is None else near
+    shared = np.logical_and.accumulate(paths[:, None] == paths[None, :], axis=3).sum(axis=3).max(axis=2) >= 4
+    np.fill_diagonal(shared, False)
+    assert (met == shared).all()
