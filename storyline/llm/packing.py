@@ -33,6 +33,30 @@ BLOCK = 1 << 20
 CACHE_PIECES = 1 << 18
 
 
+#: A mark that ends a sentence, or a line break, with the closing quotes and brackets after it.
+MARKS = re.compile("[.!?\u2026\u3002\uff01\uff1f\n][\"'\u201d\u2019\u00bb)\\]\u300d\u300f]*")
+#: Of these, the marks that need no white space after them.
+ALONE = "\u3002\uff01\uff1f"
+
+
+def sentence_ends(text: str) -> list[int]:
+    """Character offsets inside a text at which a sentence or a block of lines has ended.
+
+    A mark counts, after its closing quotes, if a space follows (the space begins the next sentence); a line break counts if text
+    follows, and then stands for a mark before it; marks of scripts without spaces always count.
+    """
+    found = []
+    for m in MARKS.finditer(text):
+        mark, after = text[m.start()], text[m.end() : m.end() + 1]
+        if mark == "\n":
+            after = text[m.start() + 1 : m.start() + 2]
+            if after and not after.isspace():
+                found.append(m.start() + 1)
+        elif after and (mark in ALONE or (after.isspace() and after != "\n")):
+            found.append(m.end())
+    return found
+
+
 class Irregular(Exception):
     """A text where some space has white space beside it, so that pieces aren't independent."""
 
@@ -49,6 +73,8 @@ class Encoder(dict):
         pairs = map(bytes.split, open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb"))
         ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.coder = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
+        self.sizes[list(ranks.values())] = [len(token) for token in ranks]
         self.path = public_tokenizers.path(f"{vocabulary}.json")
         self.whole: Tokenizer | None = None
 
@@ -68,7 +94,11 @@ class Encoder(dict):
         if "<|" in text:  # may hold the string of a special token, which the library takes as one id
             if self.whole is None:
                 self.whole = Tokenizer.from_file(self.path)
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), np.zeros(0, np.int64)
+            coded = self.whole.encode(text, add_special_tokens=False)
+            stops = np.array([stop for _, stop in coded.offsets], np.int64)
+            ends = np.array(sentence_ends(text), np.int64)
+            place = np.searchsorted(stops, ends, "right")
+            return np.array(coded.ids, "<u4").tobytes(), place[(place > 0) & (stops[place - 1] == ends)]
         if not text:
             return b"", np.zeros(0, np.int64)
         pieces = text.split(" ")
@@ -79,9 +109,14 @@ class Encoder(dict):
         except Irregular:
             pieces = re.split(r"(?<=\S) (?=\S)", text)
             parts = [self.ids(pieces[0]), *(self.ids(" " + p) for p in pieces[1:])]
-        lengths = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-        ends = np.fromiter((p[-1:] in ".!?\n" for p in pieces), bool, len(pieces))
-        return b"".join(parts), lengths[ends]
+        ids = b"".join(parts)
+        ends = np.array(sentence_ends(text), np.int64)
+        if len(ends) and not text.isascii():
+            data = np.frombuffer(text.encode(), np.uint8)
+            ends = np.flatnonzero((data & 0xC0) != 0x80)[ends]  # first bytes of characters
+        reached = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])  # tokens stand for the bytes of the text, none left out
+        place = np.searchsorted(reached, ends)
+        return ids, place[reached[place] == ends] + 1
 
 
 def cut_points(lengths: np.ndarray, sentences: list[np.ndarray], grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:

@@ -84,3 +84,23 @@ def test_pieces_give_the_ids_of_the_library():
         for _ in range(2):  # the second time from the cache
             found = np.frombuffer(encoder.encode(text)[0], "<u4").tolist()
             assert found == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_sentence_ends_are_places_between_tokens():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = P.Encoder()
+    for parts in (
+        ["One ends.\n", "Two here"],
+        ['He said "no."', " Then left"],
+        ["你好。", "世界！", "好"],
+        ["a <|x|> One ends.", " Two\n", "Three"],
+        ["One.", "  Two...", " three\n\n", "Four 1.5 or x.y"],
+        ["Été fini…", " Ñandú?»", " Fin."],
+        ["no end"],
+        [""],
+    ):
+        ids, ends = encoder.encode("".join(parts))
+        ids = np.frombuffer(ids, "<u4").tolist()
+        assert ids == library.encode("".join(parts), add_special_tokens=False).ids
+        cuts = [0, *ends.tolist(), len(ids)]
+        assert [library.decode(ids[a:b], skip_special_tokens=False) for a, b in itertools.pairwise(cuts)] == parts
