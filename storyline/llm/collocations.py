@@ -50,15 +50,23 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the text (taken as a ring) in the order of the ``depth`` ids that start there, by prefix doubling."""
-    rank, width = text.astype(np.int64), 1
-    order = np.argsort(rank)
+    """Places of the text (taken as a ring) in the order of the ``depth`` ids that start there.
+
+    As many ids as fit one 64-bit key are sorted at once; what is deeper follows by prefix doubling.
+    """
+    rank = text.astype(np.int64)
+    kinds, width = int(rank.max()) + 1, 1
+    key = rank
+    while width < depth and kinds ** (width + 1) < 1 << 63:
+        key = key * kinds + np.roll(rank, -width)
+        width += 1
+    order = np.argsort(key)
     while width < depth:
-        key = rank * (rank.max() + 1) + np.roll(rank, -width)
-        order = np.argsort(key)
         key = key[order]
         rank = np.empty_like(rank)
         rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        key = rank * (rank.max() + 1) + np.roll(rank, -width)
+        order = np.argsort(key)
         width *= 2
     return order
 
