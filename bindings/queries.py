@@ -213,7 +213,7 @@ def stories_digest(spark, sf_dir):
 @query
 def headline_context(spark, sf_dir):
     blocks = digests.headline_blocks(B.articles(spark, sf_dir))
-    return positions(blocks, ISSUE, [F.col("source"), F.col("seq")]).select(*issue(), "position", "line")
+    return positions(blocks, ISSUE, [F.col("source"), F.col("seq")], key=["source", "seq"]).select(*issue(), "position", "line")
 
 
 @query

@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from storyline.session import materialize
 
 
-def positions(df: DataFrame, groups: list[str], order: list[Column], name: str = "position") -> DataFrame:
+def positions(
+    df: DataFrame, groups: list[str], order: list[Column], name: str = "position", key: list[str] | None = None
+) -> DataFrame:
     """Add the 1-based position of each row within its group, for groups of any size.
 
     A range shuffle spreads the rows, a hot group too, because the order columns are part of the range. Each part
     numbers its own rows; only one row per group and part takes part in the running sum that joins them up.
     The order must end in a unique column.
+
+    With ``key``, columns that hold the order and are unique in a group, only groups and key are shuffled by range and written;
+    the other columns, texts among them, join their numbers afterwards.
     """
+    if key is not None:
+        placed = positions(df.select(*groups, *key), groups, order, name)
+        return _joined(df, [*groups, *key], placed, [F.col(name)])
     spread = df.repartitionByRange(*[F.col(g) for g in groups], *order).sortWithinPartitions(
         *[F.col(g) for g in groups], *order
     )
@@ -23,15 +31,19 @@ def positions(df: DataFrame, groups: list[str], order: list[Column], name: str =
     runs = rows.groupBy(*groups, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
-    # A group may be null, so the keys are compared null-safely; this is still an equi-join.
-    keys = [*groups, "_part"]
     # Written, so that its size is known and the rows stay where they are while it is small.
-    runs = materialize(runs, "runs").select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_first", "_before")
+    place = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    found = _joined(rows, [*groups, "_part"], materialize(runs, "runs"), [F.col("_first"), F.col("_before")])
+    return found.select(*df.columns, place.alias(name))
+
+
+def _joined(left: DataFrame, keys: list[str], right: DataFrame, columns: list[Column]) -> DataFrame:
+    """``left`` with ``columns`` of ``right``. Keys may be null, so they are compared null-safely; this is still an equi-join."""
+    right = right.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *columns)
     match = F.lit(True)
     for i, key in enumerate(keys):
         match = match & F.col(key).eqNullSafe(F.col(f"_key{i}"))
-    place = F.col("_before") + F.col("_row") - F.col("_first") + 1
-    return rows.join(runs, match).select(*df.columns, place.alias(name))
+    return left.join(right, match).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def first_rows(

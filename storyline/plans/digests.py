@@ -147,7 +147,7 @@ def briefing_context(
     digest = stories_digest(clustered, clusters, ISSUE, section=1)
     between = F.array(F.lit("</clustered_headlines>"), F.lit(""), F.lit("<other_headlines>"))
     middle = _lines(issues.select(*ISSUE, F.posexplode(between)), ISSUE, 2, zero, 0, F.col("pos"), F.col("col"))
-    placed = positions(headline_blocks(others), ISSUE, [F.col("source"), F.col("seq")])
+    placed = positions(headline_blocks(others), ISSUE, [F.col("source"), F.col("seq")], key=["source", "seq"])
     headlines = _lines(placed, ISSUE, 3, zero, 0, F.col("position"), F.col("line"))
     closing = _lines(issues, ISSUE, 4, zero, 0, zero, F.lit("</other_headlines>"))
     return opening.unionByName(digest).unionByName(middle).unionByName(headlines).unionByName(closing)

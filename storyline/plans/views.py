@@ -73,7 +73,7 @@ def story_cards(clustered: DataFrame, keys: list[str] = ISSUE, strict_view: bool
 def card_articles(clustered: DataFrame, keys: list[str] = ISSUE, strict_view: bool = False) -> DataFrame:
     """The articles under each card, newest first, with their position."""
     shared = with_cluster_size(clustered.drop("embedding"), keys).filter("cluster_size >= 2").drop("cluster_size")
-    return positions(with_view_columns(shared, strict_view), [*keys, "cluster_id"], newest_first())
+    return positions(with_view_columns(shared, strict_view), [*keys, "cluster_id"], newest_first(), key=["view_time", "seq"])
 
 
 def unclustered_by_source(clustered: DataFrame, keys: list[str] = ISSUE, strict_view: bool = False) -> DataFrame:
@@ -121,4 +121,4 @@ def source_listing(articles: DataFrame, keys: list[str] = ISSUE) -> DataFrame:
     """Articles grouped by source, sources by name: each row knows its place and its source's count."""
     named = articles.filter(F.col("source").isNotNull())
     counts = materialize(named.groupBy(*keys, "source").agg(F.count("*").alias("source_articles")), "counts")
-    return positions(named, [*keys, "source"], [F.col("seq")]).join(counts, [*keys, "source"])
+    return positions(named, [*keys, "source"], [F.col("seq")], key=["seq"]).join(counts, [*keys, "source"])

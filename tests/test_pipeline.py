@@ -390,3 +390,13 @@ def test_view_dates(spark):
     assert strict == {0: (1, "10:00"), 1: (2, ""), 2: (3, "")}
     assert views.view_stats(df).first().clustered_pct == 100
     assert datetime(2026, 2, 7).weekday() == 5
+
+
+def test_positions_by_key_equal_those_of_whole_rows(spark):
+    rows = [("hot" if k % 3 else None, (k * 7919) % 1009, f"text {k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "place string, seq bigint, text string").repartition(5)
+    whole = positions(df, ["place"], [F.col("seq")])
+    late = positions(df, ["place"], [F.col("seq")], key=["seq"])
+    assert late.columns == [*df.columns, "position"]
+    assert sorted(map(repr, late.collect())) == sorted(map(repr, whole.collect()))
+    assert positions(df.filter("seq < 0"), ["place"], [F.col("seq")], key=["seq"]).count() == 0
