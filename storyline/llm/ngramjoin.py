@@ -37,7 +37,7 @@ VALUE_BYTES, NODE_BITS = 2, 58
 #: Standard deviations of the signature estimate below the threshold at which a candidate is ruled out.
 DEVIATIONS = 5.0
 #: Classes and shingles per tile of a node.
-NODE_TILE = 256
+NODE_TILE = 1024
 TILE_SHINGLES = 1 << 21
 #: Pairs per class of a tile up to which pairs are intersected one by one, not as a product of matrices.
 FEW_PAIRS = 2
