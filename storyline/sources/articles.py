@@ -65,7 +65,7 @@ def write_embeddings(embedded: DataFrame, path: str) -> None:
     embedded.sortWithinPartitions("provider", *ISSUE).write.partitionBy("provider", *ISSUE).mode("append").parquet(path)
 
 
-def without_embedding(articles: DataFrame, stored: DataFrame) -> DataFrame:
+def not_embedded(articles: DataFrame, stored: DataFrame) -> DataFrame:
     """Articles that have no stored vector yet; ``stored`` is read for its keys only."""
     return articles.join(stored.select(*ISSUE, "seq"), [*ISSUE, "seq"], "left_anti")
 

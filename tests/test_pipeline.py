@@ -361,6 +361,14 @@ def test_articles_without_a_vector_stay(spark):
     assert sorted(map(tuple, A.without_embedding(found, ["source"]).collect())) == [("x", 2, 1), ("y", 1, 1)]
 
 
+def test_articles_with_a_stored_vector_are_not_sent_again(spark):
+    rows = B.articles(spark, DATA).limit(40)
+    path = new_path(spark, "embeddings")
+    A.write_embeddings(E.embed(rows.filter("seq % 2 = 0"), "letters"), path)
+    missing = A.not_embedded(rows, A.read_embeddings(spark, path, "letters"))
+    assert sorted(r.seq for r in missing.collect()) == sorted(r.seq for r in rows.filter("seq % 2 = 1").collect())
+
+
 def test_previous_episode_does_not_cross_gaps(spark):
     issues = spark.createDataFrame([("s", date(2026, 2, d)) for d in (7, 9)], "show string, issue_date date")
     told = spark.createDataFrame([("s", date(2026, 2, 6), "six")], "show string, date date, script string")
