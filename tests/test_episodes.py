@@ -34,6 +34,22 @@ def test_episode_folders(spark, tmp_path):
     assert found[7].script == "Second\nday" and not found[7].has_sources_view and found[7].duration_s is None
 
 
+def test_episode_files_are_listed_by_tasks(spark, tmp_path):
+    """No list of files reaches the driver; marks and empty files do not count, as for Spark's readers."""
+    episodes, _ = sample(spark)
+    land_episodes(episodes.filter("script is not null"), str(tmp_path))
+    for extra, text in (("s/2026-02-09/2026-02-09-audio.mp3", ""), ("s/2026-02-10/_2026-02-10-audio.mp3", "x"), (".t/2026-02-07/2026-02-07-audio.mp3", "x")):
+        (tmp_path / extra).parent.mkdir(parents=True)
+        (tmp_path / extra).write_text(text)
+    found = P.list_files(spark, str(tmp_path))
+    assert sorted((r.path.rsplit("/", 1)[1], r.length, r.value) for r in found.collect()) == [
+        ("2026-02-06-audio.mp3", 7, None), ("2026-02-06-script.md", 17, "Hello & <welcome>"), ("2026-02-06-sources-view.html", 13, None),
+        ("2026-02-07-audio.mp3", 9, None), ("2026-02-07-script.md", 10, "Second\nday"),
+    ]
+    assert "InMemoryFileIndex" not in found._jdf.queryExecution().toString() and not found.inputFiles()
+    assert sorted(r.date.day for r in P.read_episodes(spark, str(tmp_path)).collect()) == [6, 7]
+
+
 def test_feed_there_and_back(spark):
     items = P.episode_items(*sample(spark))
     by_title = {r.title: r for r in items.collect()}
