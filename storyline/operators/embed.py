@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -58,20 +58,19 @@ def embed(articles: DataFrame, provider: str, batch_size: int = BATCH_SIZE) -> D
     texts = with_embedding_text(articles.hint("rebalance", *issue) if issue else articles)
     schema = T.StructType(texts.schema.fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = factory()
         for batch in batches:
-            vectors: list = []
-            column = batch["embedding_text"].tolist()
-            for start in range(0, len(column), batch_size):
-                part = column[start : start + batch_size]
-                answer = list(call(part))
-                if len(answer) != len(part):
+            # A call's rows are passed on before the next call; only its texts become Python objects.
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                answer = list(call(part["embedding_text"].to_pylist()))
+                if len(answer) != part.num_rows:
                     raise ValueError("the provider returned another number of vectors than texts")
-                vectors.extend(answer)
-            yield batch.assign(embedding=vectors)
+                vectors = pa.array(answer, pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], [*part.schema.names, "embedding"])
 
-    return materialize(texts.mapInPandas(run, schema).withColumn("provider", F.lit(provider.lower())), "embedded")
+    return materialize(texts.mapInArrow(run, schema).withColumn("provider", F.lit(provider.lower())), "embedded")
 
 
 def word_buckets(text: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
