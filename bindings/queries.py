@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import tables as B
-from bindings.landing import land_episodes
+from bindings.landing import land_entries, land_episodes
 from storyline.functions import dates as D
 from storyline.functions import links as L
 from storyline.functions import text as X
@@ -442,9 +442,9 @@ def stream_ingest(spark, sf_dir):
     spark = B.prepare(spark)
     landed, out, marks = (new_path(spark, name) for name in ("landed", "streamed", "marks"))
     entries = B.document_entries(spark, sf_dir)
-    # Several files, one a batch: the result doesn't depend on how entries arrive.
-    entries.repartition(4, "seq").write.parquet(landed)
-    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    # Several batches: the result doesn't depend on how entries arrive.
+    files = land_entries(entries, landed)
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", files).parquet(landed)
     start_ingest(stream_articles(stream, R.feed_dim(B.feeds(spark, sf_dir))), out, marks).awaitTermination()
     return spark.read.parquet(out).select("source", "title")
 
@@ -455,8 +455,8 @@ def stream_newest(spark, sf_dir):
     spark = B.prepare(spark)
     landed, out, marks = (new_path(spark, name) for name in ("landed", "streamed", "marks"))
     entries = B.event_entries(spark, sf_dir)
-    entries.repartitionByRange(4, F.desc("seq")).write.parquet(landed)
-    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    files = land_entries(entries, landed, F.desc("seq"))
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", files).parquet(landed)
     collect_entries(stream, out, marks, B.as_of(), 7).awaitTermination()
     rows = collected_articles(collected_entries(spark, out), R.feed_dim(_event_feeds(spark, sf_dir)))
     return rows.select("seq", "source", "date", "title", "description", stamp("published"))

@@ -8,6 +8,7 @@ from brute import greedy, intra, silhouette
 from pyspark.sql import functions as F
 
 from bindings import tables as B
+from bindings.landing import land_entries
 from storyline.functions.text import CleaningRules
 from storyline.operators import agreement as G
 from storyline.operators import embed as E
@@ -279,6 +280,22 @@ def test_collected_stream_equals_the_batch(spark):
         assert rows(collected_articles(again, dim)) == expected
 
 
+def test_landed_entries_are_many_files(spark):
+    """No file holds a fixed share of all entries, and all rows arrive, in several batches."""
+    entries = B.document_entries(spark, DATA)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    try:
+        for order in ((), (F.desc("seq"),)):
+            path = new_path(spark, "landed")
+            assert land_entries(entries, path, *order) == 3
+            landed = spark.read.parquet(path)
+            assert 4 < len(landed.inputFiles()) <= 10
+            assert sorted(map(tuple, landed.select(*entries.columns).collect()), key=repr) == sorted(map(tuple, entries.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_broken_feed_items_are_skipped(spark, tmp_path):
     for feed, body in {"a": "<item><title>x</title><pubDate>d</pubDate><dc:creator>Ada</dc:creator></item>", "b": "<item><title>y</item><item>", "c": "no xml"}.items():
         folder = tmp_path / f"feed_id={feed}"
