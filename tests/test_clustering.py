@@ -173,3 +173,44 @@ def test_only_fresh_pairs_are_looked_at(spark):
     for tile_rows in (7, 1000):
         found = {r.id: r.partner for r in C.nearest_within(rows, KEYS, None, tile_rows).collect()}
         assert found == {i: int(d[i].argmin()) for i in range(40)}
+
+
+def test_tiles_grow_with_their_block(spark):
+    """A row is sent to a bounded number of tiles, however small the tiles asked for."""
+    rows = C.unit_rows(frame(spark, {"big": clumps(24, 400), "small": clumps(25, 9)}), KEYS)
+    assert C.fitting_rows(rows, KEYS, 4) == 25 and C.fitting_rows(rows, KEYS, 100) == 100
+
+
+def test_few_fresh_groups_renew_partners(spark):
+    """Only fresh groups are sent to all tiles; an old group learns of a fresh one that is nearer than what it holds, or not at all."""
+    vectors = clumps(26, 60)
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 12) + 2 * np.eye(60)
+    fresh = np.arange(60) < 8
+    old = d.copy()
+    old[:, fresh] = 2
+    held = [(i, None if fresh[i] else float(old[i].min())) for i in range(60)]
+    rows = C.unit_rows(frame(spark, {"s": vectors}), KEYS).withColumn("fresh", C.F.col("id") < 8)
+    nodes = rows.join(spark.createDataFrame(held, "id bigint, distance double"), "id").withColumn("tie", C.F.when(~C.F.col("fresh"), C.F.lit(0).cast("bigint")))
+    sizes = rows.groupBy(*KEYS).agg(C.F.count("*").alias("rows"), C.F.count_if("fresh").alias("renewed"))
+    near = np.where(fresh, d.min(axis=1), np.where(d[:, fresh].min(axis=1) < old.min(axis=1), d[:, fresh].min(axis=1), 2))
+    for tile_rows in (3, 1000):
+        left, right = C.met_by_fresh(nodes, KEYS, tile_rows, sizes)
+        tiles = max(-(-60 // tile_rows), min(16, -(-240 // tile_rows)))
+        assert (left.count(), right.count()) == (8 * tiles, 60 * -(-8 // tile_rows))
+        found = {r.id: r.distance for r in C.renew_partners(nodes, KEYS, 0.5, tile_rows, sizes).collect()}
+        assert found.keys() == set(np.flatnonzero(near < 0.5)) and all(abs(found[i] - near[i]) < 1e-9 for i in found)
+
+
+def test_a_chain_of_merges_takes_few_steps(spark):
+    """One group takes up all others one by one: no two edges of this forest are lightest at both ends at once."""
+    n = 300
+    edges = spark.createDataFrame([("s", 0, i, i / 1000, i) for i in range(1, n)], "show string, a bigint, b bigint, distance double, tie bigint")
+    rounds, taken = [], C.issue_sizes
+    C.issue_sizes = lambda *a: rounds.append(1) or taken(*a)
+    try:
+        found = C._forest_merges(edges, KEYS, 8).collect()
+    finally:
+        C.issue_sizes = taken
+    assert len(rounds) <= 4
+    assert sorted((r.id, r.path[0].cluster, r.path[0].height) for r in found) == [(i, 0, i / 1000) for i in range(1, n)]
