@@ -3,8 +3,11 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from brute import greedy
+from pyspark.sql import functions as F
 
 from storyline.operators import clustering as C
+from storyline.operators import nearest as N
+from storyline.session import materialize
 
 KEYS = ["show"]
 
@@ -214,3 +217,24 @@ def test_a_chain_of_merges_takes_few_steps(spark):
         C.issue_sizes = taken
     assert len(rounds) <= 4
     assert sorted((r.id, r.path[0].cluster, r.path[0].height) for r in found) == [(i, 0, i / 1000) for i in range(1, n)]
+
+
+def test_rounds_send_no_merges_through_the_driver(spark):
+    """What becomes of groups, their paths and the size of a single block meet their rows without a broadcast, however small they are."""
+    rows = [("a", 1, 2, 0.1, 5), ("a", 2, 1, 0.1, 5), ("a", 3, 1, 0.2, 6)]
+    best = materialize(spark.createDataFrame(rows, "k string, id long, partner long, distance double, tie long"), "best")
+    planned = C._plan(best, C.mutual_pairs(best, ["k"]), ["k"])
+    assert "Broadcast" not in planned._jdf.queryExecution().toString()
+    assert {(r.id, r.target, r.fresh) for r in planned.collect()} == {(1, 1, True), (2, 1, True), (3, None, True)}
+    links = best.filter("id = 2").select("k", "id", F.array(F.struct(F.col("partner").alias("cluster"), F.col("distance").alias("height"))).alias("path"))
+    start = best.select("k", "id", F.array().cast(C.PATH).alias("path"))
+    assert "Broadcast" not in C.follow(start, links, ["k"])._jdf.queryExecution().toString()
+
+
+def test_sizes_of_one_block_are_literals(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "k string, id long")
+    one, two = (spark.createDataFrame([(k, 7) for k in ks], "k string, tiles long") for ks in ("a", "ab"))
+    single = N.beside_sizes(rows, ["k"], one)
+    assert "Join" not in single._jdf.queryExecution().toString()
+    assert sorted((r.id, r.tiles) for r in single.collect()) == [(1, 7), (2, 7)]
+    assert sorted((r.id, r.tiles) for r in N.beside_sizes(rows, ["k"], two).collect()) == [(1, 7), (2, 7), (4, 7)]
