@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from storyline.functions import text as X
 from storyline.operators.ordering import positions
 from storyline.sources.episodes import read_episode_feed, write_episode_feed
-from storyline.session import new_path
+from storyline.session import materialize, new_path
 
 
 def catalog_rows(entries: DataFrame) -> DataFrame:
-    """Catalog entries, newest first within a show, with the blurb the page shows."""
-    placed = positions(entries, ["show"], [F.col("published").desc(), F.col("title")])
+    """Catalog entries, newest first within a show, with the blurb the page shows.
+
+    Entries are written first: the range shuffle of the positions samples what it reads, and would parse each feed file twice.
+    """
+    placed = positions(materialize(entries, "entries"), ["show"], [F.col("published").desc(), F.col("title")])
     return placed.withColumn("blurb", X.truncate_words(F.col("description")))
 
 

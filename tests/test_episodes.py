@@ -85,3 +85,19 @@ def test_script_budget(spark):
     df = spark.createDataFrame([("x" * 5000,), ("y" * 5001,)], "script string")
     found = [(len(r.spoken), r.script_length, r.is_cut) for r in catalog.script_budget(df).collect()]
     assert found == [(5000, 5000, False), (5000, 5001, True)]
+
+
+def test_catalog_reads_its_entries_once(spark):
+    """The range shuffle of the positions samples what it reads, which must not be the feed files."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("a", f"t{k}", f"2026-01-{k % 28 + 1:02d}", "one two") for k in range(60)]
+    entries = spark.createDataFrame(rows, "show string, title string, published string, description string")
+    found = catalog.catalog_rows(entries.mapInArrow(counted, entries.schema)).collect()
+    assert read.value == 60
+    assert [r.title for r in sorted(found, key=lambda r: r.position)] == [t for _, t, p, _ in sorted(rows, key=lambda r: (-int(r[2][-2:]), r[1]))]
