@@ -683,7 +683,8 @@ def daily_analysis_rounds(spark, sf_dir):
 def daily_briefing(spark, sf_dir):
     """The whole daily run on documents: vectors, clusters, digest, other headlines, prompt lines."""
     embedded = E.embed_hashing(I.dedupe(B.articles(spark, sf_dir), ISSUE))
-    clustered, clusters = analyze_day(embedded, X.CLUSTER_THRESHOLD)
+    # No later step reads the embedded text, so it is not moved with the articles.
+    clustered, clusters = analyze_day(embedded.drop("embedding_text"), X.CLUSTER_THRESHOLD)
     others = S.other_headlines(clustered.drop("embedding", "cluster_id", "distance"), clustered, clusters, ISSUE)
     rows = digests.briefing_context(clustered, clustered, clusters, others, B.episodes(spark, sf_dir))
     return rows.select(*issue(), "section", "rank", "block", "row", "line")

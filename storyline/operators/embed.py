@@ -116,20 +116,19 @@ def bucket_weights(counts: DataFrame, dimensions: int = HASH_DIMENSIONS) -> list
 def embed_hashing(articles: DataFrame, dimensions: int = HASH_DIMENSIONS, counts: DataFrame | None = None) -> DataFrame:
     """Offline vectors: hashed words weighted by rarity, unit length. All inside the JVM.
 
-    The weights come from ``counts`` (:func:`document_counts`), or from the articles at hand.
+    The weights come from ``counts`` (:func:`document_counts`), or from the articles at hand. The text they are made from is not written with
+    the counts; it is put together again where it is read.
     """
+    columns = with_embedding_text(articles).columns
     counted = _bucket_counts(articles, dimensions)
     if counts is None:
         # Texts are split once; the pass over all rows that weighs the words reads only their counts.
-        counted = materialize(counted, "counted")
+        counted = with_embedding_text(materialize(counted.drop("embedding_text"), "counted"))
         counts = _document_counts(counted.select("_counts"))
     scale = ElementwiseProduct(scalingVec=Vectors.dense(bucket_weights(counts, dimensions)), inputCol="_counts", outputCol="_weights")
     unit = Normalizer(inputCol="_weights", outputCol="_unit").transform(scale.transform(counted))
-    return (
-        unit.withColumn("embedding", vector_to_array("_unit", "float32"))
-        .withColumn("provider", F.lit("hashing"))
-        .drop("_counts", "_weights", "_unit")
-    )
+    made = unit.withColumn("embedding", vector_to_array("_unit", "float32")).withColumn("provider", F.lit("hashing"))
+    return made.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, "embedding", "provider"])])
 
 
 def hashing_provider(weights: Sequence[float]) -> Callable[[], Provider]:

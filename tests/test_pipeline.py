@@ -425,3 +425,17 @@ def test_positions_by_key_equal_those_of_whole_rows(spark):
     assert late.columns == [*df.columns, "position"]
     assert sorted(map(repr, late.collect())) == sorted(map(repr, whole.collect()))
     assert positions(df.filter("seq < 0"), ["place"], [F.col("seq")], key=["seq"]).count() == 0
+
+
+def test_hashing_writes_no_text_twice(spark, monkeypatch):
+    """The counted table holds an article's texts once; the embedded text is put together from them where it is read."""
+    written, write = [], E.materialize
+    monkeypatch.setattr(E, "materialize", lambda df, name: written.append((name, df.columns)) or write(df, name))
+    rows = spark.createDataFrame([(1, "red fox", None), (2, None, "a fox"), (3, "", "")], "seq long, title string, description string")
+    found = E.embed_hashing(rows, 8)
+    assert written == [("counted", ["seq", "title", "description", "_counts"])]
+    assert found.columns == ["seq", "title", "description", "embedding_text", "embedding", "provider"]
+    texts = {r.seq: r.embedding_text for r in E.with_embedding_text(rows).collect()}
+    assert {r.seq: r.embedding_text for r in found.collect()} == texts
+    again = E.embed_hashing(found, 8)
+    assert again.columns == found.columns and sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))
