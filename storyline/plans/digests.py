@@ -54,7 +54,9 @@ def stories_digest(
     head = F.concat(F.array(F.concat(F.lit("## "), F.col("rank"), F.lit(". "), F.col("label"))), context)
     opening = stories.select(*keys, "rank", F.posexplode(head))
     closing = stories.select(*keys, "rank", F.posexplode(F.array(F.lit(""), F.lit(""))))
-    members = story_members(clustered, stories, keys)
+    # The ranks stand apart from the stories' texts, so that their true size decides how they meet all articles.
+    ranks = materialize(stories.select(*keys, "cluster_id", "rank"), "ranks")
+    members = story_members(clustered, ranks, keys)
     told = F.concat(F.lit("- **"), _text("source"), F.lit("**: "), _text("title"), F.lit(" "), _text("description"))
     rank, pos, text = F.col("rank"), F.col("pos"), F.col("col")
     return (

@@ -439,3 +439,21 @@ def test_hashing_writes_no_text_twice(spark, monkeypatch):
     assert {r.seq: r.embedding_text for r in found.collect()} == texts
     again = E.embed_hashing(found, 8)
     assert again.columns == found.columns and sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))
+
+
+def test_digest_joins_articles_with_ranks_alone(spark):
+    """Long texts of stories don't count in the join of ranks with all articles, which then moves no article."""
+    pick = np.random.default_rng(1)
+    long = lambda: "".join(map(chr, pick.integers(33, 0x4E00, 9000)))
+    rows = [("a", date(2026, 1, 1 + k // 40), k, f"s{k % 2}", f"t{k}", long(), "", k // 2, 0.0) for k in range(240)]
+    schema = "show string, issue_date date, seq long, source string, title string, description string, link string, cluster_id long, distance double"
+    clustered = E.materialize(spark.createDataFrame(rows, schema), "clustered")
+    clusters = E.materialize(S.analyze(clustered, ISSUE).withColumn("category", F.lit("top")), "clusters")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "65536")
+    try:
+        lines = digests.stories_digest(clustered, clusters)
+        assert "BroadcastHashJoin" in lines._jdf.queryExecution().executedPlan().toString()
+        assert lines.filter("block = 2").count() == 240
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
