@@ -497,7 +497,13 @@ def missing_embeddings(spark, sf_dir):
 
 @query
 def similarity_join(spark, sf_dir):
-    return C.similarity_join(B.vectors(spark, sf_dir), ISSUE, 0.75).select("id", "partner", six("distance"))
+    return _all_pairs(B.vectors(spark, sf_dir)).select("id", "partner", six("distance"))
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair of articles, those of copies too."""
+    members = C.copy_groups(rows, ISSUE)
+    return C.expand_pairs(C.similarity_join(rows, ISSUE, 0.75, members=members), members, ISSUE)
 
 
 @query

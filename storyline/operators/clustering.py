@@ -40,6 +40,9 @@ LOCAL_LIMIT = 4096
 #: Slices that a forest's edges are cut into at a time.
 SLICES = 16
 
+#: Copies that stand as one row of a join that lists its articles.
+PART_ROWS = 256
+
 LINKAGES = ("average", "complete", "single")
 PATH = "array<struct<cluster:bigint,height:double>>"
 
@@ -59,32 +62,66 @@ def unit_rows(articles: DataFrame, keys: list[str], id_column: str = "seq", vect
 
 
 def similarity_join(
-    articles: DataFrame, keys: list[str], below: float, id_column: str = "seq", vector: str = "embedding"
+    articles: DataFrame, keys: list[str], below: float, id_column: str = "seq", vector: str = "embedding", members: DataFrame | None = None
 ) -> DataFrame:
     """Pairs of articles of an issue nearer than ``below``: ``keys, id, partner, distance, copies, partner_copies``.
 
     Equal vectors stand as one row with their number, so a group of copies does not become all its pairs; a row with
-    ``id = partner`` says that the group has copies; :func:`copy_groups` has the members, so no pair is lost. Clustering does
-    not need this table.
+    ``id = partner`` says that the group has copies. Clustering does not need this table.
+
+    With ``members``, the table of :func:`copy_groups`, rows also hold the articles on both sides, ``ids`` and ``partner_ids`` (null for
+    one alone), and if both are the same ones (``within``), for :func:`expand_pairs`. A group of copies then stands as a row per ``PART_ROWS`` of them, so that no list grows with it.
     """
-    usable = unit_rows(articles, keys, id_column, vector).filter(F.col("vec").isNotNull())
+    usable = _joinable(articles, keys, id_column, vector)
     nodes, _ = _fold_copies(usable, keys)
     counted = nodes.select(*keys, "id", "vec", F.col("n").alias("copies"))
-    found = near_pairs(counted, keys, below, count="copies")
+    if members is not None:
+        counted = _with_members(nodes, members, keys)
+    found = near_pairs(counted, keys, below, count="copies", ids="ids" if members is not None else None)
+    lists = [] if members is None else ["ids", F.col("ids").alias("partner_ids"), F.lit(True).alias("within")]
+    found = found if members is None else found.withColumn("within", F.lit(False))
     same = counted.filter("copies > 1").select(
-        *keys, "id", F.col("id").alias("partner"), F.lit(0.0).alias("distance"), "copies", F.col("copies").alias("partner_copies")
+        *keys, "id", F.col("id").alias("partner"), F.lit(0.0).alias("distance"), "copies", F.col("copies").alias("partner_copies"), *lists
     )
     return found.select(*same.columns).unionByName(same)
 
 
+def _joinable(articles: DataFrame, keys: list[str], id_column: str, vector: str) -> DataFrame:
+    """Rows that can be in a pair: those with an id and a usable vector."""
+    return unit_rows(articles, keys, id_column, vector).filter(F.col("vec").isNotNull() & F.col("id").isNotNull())
+
+
+def _with_members(nodes: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes with their articles: ``keys, id, vec, copies, ids``, a row per ``PART_ROWS`` articles, written.
+
+    A node is told by its least id and the hash of its vector, as an id may come with several vectors.
+    """
+    by = [*keys, "node", "vec_hash"]
+    named = nodes.withColumnRenamed("id", "node")
+    several = named.filter("n > 1").select(*by, F.ceil(F.col("n") / PART_ROWS).alias("_parts"))
+    # Articles are dealt to parts in turn, not by their id, which may repeat.
+    dealt = members.join(several, by).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")))
+    lists = dealt.groupBy(*by, "_part").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.collect_list("id").alias("ids"))
+    lists = materialize(lists.drop("_part"), "members")
+    alone = named.filter("n = 1").select(*keys, F.col("node").alias("id"), "vec", F.col("n").alias("copies"), F.lit(None).cast("array<bigint>").alias("ids"))
+    return materialize(lists.join(named.select(*by, "vec"), by).select(*alone.columns).unionByName(alone), "listed")
+
+
 def copy_groups(articles: DataFrame, keys: list[str], id_column: str = "seq", vector: str = "embedding") -> DataFrame:
-    """The members behind the rows of :func:`similarity_join`: ``keys, id, node``, each article with the id its vector stands under."""
-    usable = unit_rows(articles, keys, id_column, vector).filter(F.col("vec").isNotNull())
-    return _fold_copies(usable, keys)[1]
+    """The members behind the rows of :func:`similarity_join`: ``keys, id, node, vec_hash``, each article with the id its vector stands under."""
+    return _fold_copies(_joinable(articles, keys, id_column, vector), keys)[1]
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
-    """All pairs of articles behind folded pairs, smaller id first: ``keys, id, partner, distance``. As many rows as there are pairs."""
+    """All pairs of articles behind folded pairs, smaller id first: ``keys, id, partner, distance``. As many rows as there are pairs.
+
+    Pairs that hold their articles are expanded where they are; only others join ``members``, which moves them twice.
+    """
+    if "ids" in pairs.columns:
+        left = pairs.select(*keys, "id", "partner", "distance", "partner_ids", "within", F.explode(F.coalesce("ids", F.array("id"))).alias("a"))
+        every = left.select(*keys, "id", "partner", "distance", "within", "a", F.explode(F.coalesce("partner_ids", F.array("partner"))).alias("b"))
+        every = every.filter(~F.col("within") | (F.col("a") < F.col("b"))).filter("a <> b")
+        return every.select(*keys, F.least("a", "b").alias("id"), F.greatest("a", "b").alias("partner"), "distance")
     left = members.select(*keys, F.col("node").alias("id"), F.col("id").alias("a"))
     right = members.select(*keys, F.col("node").alias("partner"), F.col("id").alias("b"))
     every = pairs.select(*keys, "id", "partner", "distance").join(left, [*keys, "id"]).join(right, [*keys, "partner"])
@@ -164,7 +201,7 @@ def _local_tree(nodes: DataFrame, keys: list[str], threshold: float, linkage: st
 
 
 def _fold_copies(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Equal vectors of an issue as one weighted node, and the map ``keys, id, node``.
+    """Equal vectors of an issue as one weighted node, and the map ``keys, id, node, vec_hash``.
 
     Grouping combines before the shuffle, so a vector that fills a third of the table arrives once per task; the
     map joins rows to one row per distinct vector, which adaptive execution splits when a vector is that common.
@@ -172,8 +209,8 @@ def _fold_copies(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
     hashed = rows.withColumn("vec_hash", F.xxhash64("vec"))
     nodes = hashed.groupBy(*keys, "vec_hash", "vec").agg(F.min("id").alias("node"), F.count("*").alias("n"))
     nodes = materialize(nodes, "nodes")
-    members = hashed.join(nodes.drop("n"), [*keys, "vec_hash", "vec"]).select(*keys, "id", "node")
-    return nodes.select(*keys, F.col("node").alias("id"), "n", "vec"), members
+    members = hashed.join(nodes.drop("n"), [*keys, "vec_hash", "vec"]).select(*keys, "id", "node", "vec_hash")
+    return nodes.select(*keys, F.col("node").alias("id"), "n", "vec", "vec_hash"), members
 
 
 def mutual_pairs(best: DataFrame, keys: list[str]) -> DataFrame:

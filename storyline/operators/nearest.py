@@ -385,17 +385,22 @@ def nearest_other(
     return keep_best(matched, keys, None).drop("tie")
 
 
-def near_pairs(nodes: DataFrame, keys: list[str], below: float, tile_rows: int = PAIR_TILE_ROWS, count: str | None = None) -> DataFrame:
+def near_pairs(
+    nodes: DataFrame, keys: list[str], below: float, tile_rows: int = PAIR_TILE_ROWS, count: str | None = None, ids: str | None = None
+) -> DataFrame:
     """All pairs of nodes nearer than ``below``, smaller id first. Far pairs never leave a task.
 
-    Pairs leave a task block by block, so tiles may grow with the issue. With ``count``, a column of the nodes, both nodes' values come along.
+    Pairs leave a task block by block, so tiles may grow with the issue. With ``count``, a column of the nodes, both nodes' values come along,
+    and so do the lists in ``ids``, which tell nodes apart: then nodes with one id are a pair as well.
     """
     tile_rows = fitting_rows(nodes, keys, tile_rows)
+    lists = ids
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         ids, vectors = table["id"].to_numpy(), matrix(table, "vec")
         copies = table[count].to_numpy() if count else None
+        listed = table[lists].combine_chunks() if lists else None
         tile, q = table["tile"].to_numpy(), table["q"][0].as_py()
         inner = table["p"][0].as_py() == q
         group = {key: table[key][0] for key in keys}
@@ -406,22 +411,38 @@ def near_pairs(nodes: DataFrame, keys: list[str], below: float, tile_rows: int =
         step = max(1, MATRIX_CELLS // max(1, len(right)))
         for start in range(0, len(left), step):
             rows = left[start : start + step]
-            distance = np.round(1.0 - vectors[rows] @ others.T, DISTANCE_DIGITS)
+            # Zero is added, so that no distance is -0.
+            distance = np.round(1.0 - vectors[rows] @ others.T, DISTANCE_DIGITS) + 0.0
             near = distance < below
             if inner:
-                near &= ids[rows][:, None] < ids[right][None, :]
+                near &= rows[:, None] < right[None, :] if lists else ids[rows][:, None] < ids[right][None, :]
             r, c = np.nonzero(near)
             one, two = rows[r], right[c]
             turned = ids[one] > ids[two]
             one, two = np.where(turned, two, one), np.where(turned, one, two)
-            columns = {key: pa.repeat(value, len(one)) for key, value in group.items()}
-            columns["id"], columns["partner"] = pa.array(ids[one], pa.int64()), pa.array(ids[two], pa.int64())
-            columns["distance"] = pa.array(distance[r, c], pa.float64())
-            if count:
-                columns[count], columns[f"partner_{count}"] = pa.array(copies[one], pa.int64()), pa.array(copies[two], pa.int64())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    kept = [*keys, "id", "vec", *([count] if count else [])]
+            near = distance[r, c]
+            del distance
+            for part in _portions(copies[one] + copies[two]) if lists else [slice(None)]:
+                a, b = one[part], two[part]
+                columns = {key: pa.repeat(value, len(a)) for key, value in group.items()}
+                columns["id"], columns["partner"] = pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())
+                columns["distance"] = pa.array(near[part], pa.float64())
+                if count:
+                    columns[count], columns[f"partner_{count}"] = pa.array(copies[a], pa.int64()), pa.array(copies[b], pa.int64())
+                if lists:
+                    columns[lists], columns[f"partner_{lists}"] = listed.take(pa.array(a)), listed.take(pa.array(b))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    kept = [*keys, "id", "vec", *([count] if count else []), *([lists] if lists else [])]
     tiled = tile_pairs(with_tiles(nodes.select(*kept), keys, tile_rows, "tiles", "tile"))
     schema = _schema(nodes, keys).rsplit(",", 1)[0] + (f", {count} bigint, partner_{count} bigint" if count else "")
+    schema += f", {lists} array<bigint>, partner_{lists} array<bigint>" if lists else ""
     return tiled.groupBy(*keys, "p", "q").applyInArrow(search, schema)
+
+
+def _portions(weights: np.ndarray, most: int = MATRIX_CELLS // 4) -> Iterator[slice]:
+    """Runs of rows whose weights sum up to ``most`` about, so that what is listed per row stays bounded."""
+    if len(weights):
+        number = np.cumsum(weights) // most
+        cuts = np.r_[0, np.flatnonzero(number[1:] != number[:-1]) + 1, len(weights)]
+        yield from map(slice, cuts[:-1].tolist(), cuts[1:].tolist())

@@ -238,3 +238,32 @@ def test_sizes_of_one_block_are_literals(spark):
     assert "Join" not in single._jdf.queryExecution().toString()
     assert sorted((r.id, r.tiles) for r in single.collect()) == [(1, 7), (2, 7)]
     assert sorted((r.id, r.tiles) for r in N.beside_sizes(rows, ["k"], two).collect()) == [(1, 7), (2, 7), (4, 7)]
+
+
+def test_pairs_of_copies_are_all_listed(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART_ROWS", 4)
+    vectors = np.r_[clumps(4, 12), np.repeat(clumps(5, 2), 11, axis=0)]
+    ids = np.arange(len(vectors))
+    ids[14] = 13  # an id that comes twice with one vector
+    ids[33] = 12  # and one that comes with two vectors
+    rows = [("s", int(i), [float(x) for x in v]) for i, v in zip(ids, vectors)]
+    df = spark.createDataFrame([*rows, ("s", None, rows[0][2])], "show string, seq bigint, embedding array<double>")
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = np.argwhere(np.triu(1 - u @ u.T < 0.4, 1))
+    expected = sorted((min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in near if ids[a] != ids[b])
+    members = C.copy_groups(df, KEYS)
+    found = C.expand_pairs(C.similarity_join(df, KEYS, 0.4, members=members), members, KEYS).collect()
+    assert sorted((r.id, r.partner) for r in found) == expected
+    assert not any(np.signbit(r.distance) for r in found)
+
+
+def test_query_similarity_join_has_every_pair(spark, tmp_path):
+    from bindings.queries import QUERIES
+
+    u = clumps(6, 9)
+    u[5:] = u[4]
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(u)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    expected = sorted(map(tuple, np.argwhere(np.triu(1 - u @ u.T < 0.75, 1))))
+    assert sorted((r.id, r.partner) for r in QUERIES["similarity_join"](spark, str(tmp_path)).collect()) == expected
