@@ -267,3 +267,15 @@ def test_query_similarity_join_has_every_pair(spark, tmp_path):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     expected = sorted(map(tuple, np.argwhere(np.triu(1 - u @ u.T < 0.75, 1))))
     assert sorted((r.id, r.partner) for r in QUERIES["similarity_join"](spark, str(tmp_path)).collect()) == expected
+
+
+def test_components_in_a_task_equal_those_in_rounds(spark):
+    from storyline.operators.components import connected_components
+
+    rng = np.random.default_rng(8)
+    nodes = [(s, int(i)) for s in ("s", "t") for i in range(300)]
+    edges = [(s, int(a), int(b)) for s in ("s", "t") for a, b in np.r_[rng.integers(0, 300, (120, 2)), [[7, 7]], np.c_[200:240, 201:241]]]
+    nodes, edges = spark.createDataFrame(nodes, "show string, id bigint"), spark.createDataFrame(edges, "show string, a bigint, b bigint")
+    for keys, n, e in ((["show"], nodes, edges), ([], nodes.filter("show = 's'"), edges.filter("show = 's'"))):
+        one, many = (sorted(map(tuple, connected_components(n, e, keys, most).collect())) for most in (1000, 0))
+        assert one == many and len(one) == n.count()
