@@ -3,7 +3,9 @@
 Exact: a pair is compared wherever it may be. A vector belongs to the cell of its nearest centre and also visits each cell that
 may hold a partner: the partner lies on the other side of the plane between two centres, and a vector farther from
 that plane than the largest angle allows can have no partner there. Equal vectors are folded into one beforehand, and
-cells are cut into tiles, so a hot cell is many bounded groups. Pairs are counted and joined up in the task; none is emitted.
+cells are cut into tiles, so a hot cell is many bounded groups. Each pair of tiles is one group, to which only vectors that visit the
+other one's cell are sent, so a vector travels once per tile it has to meet: a few times, as cells are few and tiles as large as a
+task holds. Pairs are counted and joined up in the task; none is emitted.
 """
 
 from __future__ import annotations
@@ -15,20 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyline.llm.common import least_linked, stream_groups, tile_pairs
-from storyline.operators.components import connected_components
+from storyline.llm.common import least_linked, stream_groups
+from storyline.operators.components import connected_components, least_reached
 from storyline.session import materialize
 
 COSINE = 0.93
-#: Vectors that one cell aims at, cells of one label at most, and vectors per cell that the centres are fitted on.
+#: Vectors that one cell aims at, at least, and cells of one label at most: without structure a vector is sent to each of them.
 CELL_ROWS = 2000
-MOST_CELLS = 1024
+MOST_CELLS = 8
 #: Centres of all labels that are fitted and sent out together; more labels take more passes.
 CELLS_PER_PASS = 2048
+#: Vectors per cell that the centres are fitted on.
 FIT_PER_CELL = 32
 FIT_ROUNDS = 8
-#: Vectors per tile: all products of two tiles are then 8 MB.
-TILE_ROWS = 1024
+#: Bytes of vectors in a tile, and products of two tiles that a task holds at once (8 MB).
+TILE_BYTES = 1 << 24
+PRODUCTS = 1 << 20
+#: Tiles of a cell that can be numbered.
+MOST_TILES = 1 << 32
 #: Room for rounding of products of unit vectors.
 SLACK = 1e-9
 
@@ -70,9 +76,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, cell_rows: in
     ``FIT_PER_CELL`` vectors a cell. All vectors are then assigned and compared.
     """
     value = F.transform("embedding", lambda x: x.cast("double"))
+    # Single floats stay so on their way: half the bytes, the same doubles in the task.
+    kept = F.col("embedding") if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else value
     usable = F.col("label").isNotNull() & F.forall(value, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
     rows = embeddings.select(
-        "vec_id", "label", F.when(usable, value).alias("vec"), F.monotonically_increasing_id().alias("number")
+        "vec_id", "label", F.when(usable, kept).alias("vec"), F.monotonically_increasing_id().alias("number")
     )
     # The two hashes and the length stand for the vector; a class is all rows with the same ones and the same label.
     keys = ["label", "size", "key", "twin"]
@@ -85,7 +93,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, cell_rows: in
     distinct = linkable.join(classes.select(F.col("id").alias("number"), "copies"), "number").select(
         F.col("number").alias("id"), "copies", "label", "size", "vec"
     )
-    cells = _cells(distinct, cosine, cell_rows)
+    cells = _cells(distinct, cell_rows, cosine)
     compared = _compare(cells, cosine)
     links = compared.groupBy("id").agg(F.sum("links").alias("near"))
     edges = compared.filter(F.col("target") != F.col("id")).select(F.col("id").alias("a"), F.col("target").alias("b"))
@@ -106,34 +114,29 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, cell_rows: in
     )
 
 
-def _cells(distinct: DataFrame, cosine: float, cell_rows: int) -> DataFrame:
-    """Each distinct vector in the cells it visits: ``label, size, cell, home, id, copies, vec`` (unit length)."""
+def _cells(distinct: DataFrame, cell_rows: int, cosine: float) -> DataFrame:
+    """Each distinct vector with its cell and those it visits: ``label, size, cell, visits, id, copies, vec``."""
     sizes = distinct.groupBy("label", "size").agg(F.count("*").alias("rows"))
     made = []
-    schema = "label {}, size int, cell int, home boolean, id bigint, copies bigint, vec array<double>".format(distinct.schema["label"].dataType.simpleString())
-    small = distinct.join(sizes.filter(F.col("rows") <= cell_rows).select("label", "size"), ["label", "size"], "left_semi")
+    columns = ["label", "size", "cell", "visits", "id", "copies", "vec"]
+    none = distinct.withColumns({"cell": F.lit(0), "visits": F.array(F.lit(0))}).select(*columns)
+    small = none.join(sizes.filter(F.col("rows") <= cell_rows).select("label", "size"), ["label", "size"], "left_semi")
 
-    def by_kind(batches: Iterator[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
+    def by_kind(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
         """Assign the vectors of each label and length in a batch."""
         for batch in batches:
             kinds = np.array([f"{n}|{z}" for n, z in zip(batch["label"].to_pylist(), batch["size"].to_pylist())])
             for kind in np.unique(kinds):
                 part = batch.filter(pa.array(kinds == kind))
-                yield assign(part, shared and shared.value[(str(part["label"][0].as_py()), part["size"][0].as_py())])
-
-    def assign(batch: pa.RecordBatch, centres: np.ndarray | None) -> pa.RecordBatch:
-        vectors = unit(batch["vec"])
-        if centres is None:
-            row, cell, own = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), np.ones(len(vectors), bool)
-        else:
-            home, visits = visited(vectors, centres, cosine)
-            row, cell = np.nonzero(visits)
-            own = home[row] == cell
-        at = pa.array(row)
-        offsets = pa.array(np.arange(len(row) + 1) * vectors.shape[1], pa.int32())
-        vec = pa.ListArray.from_arrays(offsets, pa.array(vectors[row].ravel()))
-        columns = [batch["label"].take(at), batch["size"].take(at), pa.array(cell.astype(np.int32)), pa.array(own)]
-        return pa.RecordBatch.from_arrays([*columns, batch["id"].take(at), batch["copies"].take(at), vec], ["label", "size", "cell", "home", "id", "copies", "vec"])
+                yield assign(part, shared.value[(str(part["label"][0].as_py()), part["size"][0].as_py())])
+
+    def assign(batch: pa.RecordBatch, centres: np.ndarray) -> pa.RecordBatch:
+        home, visits = visited(unit(batch["vec"]), centres, cosine)
+        visits[np.arange(len(home)), home] = True
+        ends = np.r_[0, np.cumsum(visits.sum(axis=1))]
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(visits)[1].astype(np.int32)))
+        cells = [pa.array(home.astype(np.int32)), listed]
+        return pa.RecordBatch.from_arrays([batch["label"], batch["size"], *cells, batch["id"], batch["copies"], batch["vec"]], columns)
 
     for group in _passes(sizes.filter(F.col("rows") > cell_rows), cell_rows):
         wanted = distinct.sparkSession.createDataFrame([(str(n), z, c, r) for n, z, c, r in group], "name string, size int, cells int, rows bigint")
@@ -148,8 +151,8 @@ def _cells(distinct: DataFrame, cosine: float, cell_rows: int) -> DataFrame:
             found = [v for _, v in sorted(rows.get((str(n), z), []))]
             centres[(str(n), z)] = centres_of(unit(pa.array(found)), c) if found else np.zeros((1, z))
         shared = distinct.sparkSession.sparkContext.broadcast(centres)
-        made.append(part.select(distinct.columns).mapInArrow(lambda batches, shared=shared: by_kind(batches, shared), schema))
-    every = small.mapInArrow(by_kind, schema)
+        made.append(part.select(distinct.columns).mapInArrow(lambda batches, shared=shared: by_kind(batches, shared), none.schema))
+    every = small
     for other in made:
         every = every.unionByName(other)
     return materialize(every, "cells")
@@ -177,11 +180,21 @@ def unit(column: pa.Array) -> np.ndarray:
 
 def _compare(cells: DataFrame, cosine: float) -> DataFrame:
     """Per vector and tile pair: copies linked with it, and the least vector its links reach: ``id, links, target``."""
-    keys = ["label", "size", "cell"]
-    sizes = materialize(cells.groupBy(*keys).agg(F.ceil(F.count("*") / TILE_ROWS).alias("tiles")), "tiles")
-    tiled = tile_pairs(cells.join(sizes, keys).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))), "tiles", "tile")
-    # One number per group: label, vector length, cell and pair of tiles.
-    tiled = tiled.withColumn("block", F.xxhash64(*keys, "p", "q")).select("block", "cell", "size", "p", "q", "tile", "home", "id", "copies", "vec")
+    keys = ["label", "size"]
+    # A tile holds doubles in the task.
+    number = F.ceil(F.count("*") * 8 * F.greatest("size", F.lit(1)) / TILE_BYTES)
+    tiles = cells.groupBy(*keys, "cell").agg(number.alias("tiles"))
+    tiles = tiles.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cell", "tiles"))).alias("tiles"))
+    tiled = cells.join(materialize(tiles, "tiles"), keys)
+    code = lambda cell, tile: cell.cast("bigint") * MOST_TILES + tile
+    of = lambda cell: F.coalesce(F.try_element_at("tiles", cell), F.lit(0))
+    # A cell that is visited may be nobody's home.
+    there = F.filter("visits", lambda cell: of(cell) > 0)
+    met = F.flatten(F.transform(there, lambda cell: F.transform(F.sequence(F.lit(0).cast("bigint"), of(cell) - 1), lambda tile: code(cell, tile))))
+    tiled = tiled.withColumn("tile", code(F.col("cell"), F.pmod(F.xxhash64("id"), of(F.col("cell"))))).withColumn("_other", F.explode(met))
+    tiled = tiled.withColumns({"p": F.least("tile", "_other"), "q": F.greatest("tile", "_other")})
+    # One number per group: label, vector length and pair of tiles.
+    tiled = tiled.withColumn("block", F.xxhash64(*keys, "p", "q")).select("block", "size", "p", "q", "tile", "id", "copies", "vec")
 
     def compare(found: pa.Table) -> pa.Table | None:
         tile, q = found["tile"].to_numpy(), found["q"][0].as_py()
@@ -189,25 +202,32 @@ def _compare(cells: DataFrame, cosine: float) -> DataFrame:
         left = right if found["p"][0].as_py() == q else np.flatnonzero(tile != q)
         if not len(left) or not len(right):
             return None
-        ids, copies, home = found["id"].to_numpy(), found["copies"].to_numpy(), found["home"].to_numpy(zero_copy_only=False)
-        vectors = np.reshape(found["vec"].combine_chunks().flatten().to_numpy(), (found.num_rows, -1))
-        near = vectors[left] @ vectors[right].T >= cosine
-        near &= ids[left][:, None] != ids[right][None, :]
-        if not near.any():
+        ids, copies, vectors = found["id"].to_numpy(), found["copies"].to_numpy(), unit(found["vec"].combine_chunks())
+        counts, ends, others = np.zeros(len(ids), np.int64), [], vectors[right].T
+        step = max(1, PRODUCTS // len(right))
+        for start in range(0, len(left), step):
+            rows = left[start : start + step]
+            near = vectors[rows] @ others >= cosine
+            near &= ids[rows][:, None] != ids[right][None, :]
+            if not near.any():
+                continue
+            counts[rows] += near @ copies[right]
+            if left is not right:
+                counts[right] += near.T @ copies[rows]
+            low_left, low_right = least_linked(near, ids[rows], ids[right])
+            for own, low in ((ids[rows], low_left), (ids[right], low_right)):
+                moved = low != own
+                ends.append((own[moved], low[moved]))
+        if not ends:
             return None
-        # A row's links are counted where the partner is at home: each partner once, whatever cells are shared.
-        count_left = near @ np.where(home[right], copies[right], 0)
-        low_left, low_right = least_linked(near, ids[left], ids[right])
-        out_ids, counts, target = [ids[left]], [count_left], [low_left]
-        if left is not right:
-            out_ids.append(ids[right])
-            counts.append(near.T @ np.where(home[left], copies[left], 0))
-            target.append(low_right)
-        out_ids, counts, target = (np.concatenate(x) for x in (out_ids, counts, target))
-        hit = (counts > 0) | (target != out_ids)
-        return pa.table({"id": out_ids[hit], "links": counts[hit].astype(np.int64), "target": target[hit]})
-
-    dealt = tiled.repartition("block").sortWithinPartitions("block", "cell", "size", "p", "q")
+        target = ids.copy()
+        linked, least = least_reached(*(np.concatenate(x) for x in zip(*ends)))
+        order = np.argsort(ids)
+        target[order[np.searchsorted(ids[order], linked)]] = least
+        hit = (counts > 0) | (target != ids)
+        return pa.table({"id": ids[hit], "links": counts[hit], "target": target[hit]})
+
+    dealt = tiled.repartition("block").sortWithinPartitions("block", "size", "p", "q")
     schema = "id bigint, links bigint, target bigint"
-    compared = dealt.mapInArrow(lambda batches: stream_groups(batches, ["block", "cell", "size", "p", "q"], compare), schema)
+    compared = dealt.mapInArrow(lambda batches: stream_groups(batches, ["block", "size", "p", "q"], compare), schema)
     return materialize(compared, "compared")

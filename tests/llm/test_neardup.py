@@ -66,3 +66,22 @@ def test_visited_cells_hold_all_partners():
     home, visits = N.visited(x, centres, 0.93)
     a, b = np.nonzero(x @ x.T >= 0.93)
     assert visits[a, home[b]].all() and not visits.all()
+
+
+def test_tiles_and_blocks_of_products_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE_BYTES", 8 * 8 * 12)
+    monkeypatch.setattr(N, "PRODUCTS", 20)
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(size=8) + rng.normal(scale=s, size=(30, 8)) for s in (0.3, 0.2, 0.01)]).tolist()
+    assert sum(check(spark, list(range(90)), points, [0] * 90, cell_rows=20)) > 200
+
+
+def test_a_vector_is_sent_to_few_tiles(spark, monkeypatch):
+    """Without structure a vector was copied to every cell, and there to every tile."""
+    moved = []
+    monkeypatch.setattr(N, "materialize", lambda df, name, do=N.materialize: moved.append((name, do(df, name))) or moved[-1][1])
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.random.default_rng(1).normal(size=(3000, 16)))]
+    N.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"), cell_rows=50)
+    written = dict(moved)
+    assert written["cells"].count() == 3000
+    assert max(len(r["visits"]) for r in written["cells"].collect()) <= N.MOST_CELLS
