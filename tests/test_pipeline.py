@@ -457,3 +457,20 @@ def test_digest_joins_articles_with_ranks_alone(spark):
         assert lines.filter("block = 2").count() == 240
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_a_task_holds_one_candidate_per_row(monkeypatch):
+    """Each block of a pair of tiles offered a candidate per row, and all were held till the end."""
+    from storyline.operators import nearest as N
+
+    rng = np.random.default_rng(3)
+    best, every = N.Best(50), []
+    for _ in range(40):
+        row = rng.permutation(50)[:30]
+        partner, near, tie = rng.integers(0, 9, 30), rng.integers(0, 4, 30) / 4, rng.integers(0, 2, 30)
+        best.offer(row, partner, partner, near, tie)
+        every.append((row, partner, near, tie))
+    row, place, partner, near, tie = best.found()
+    assert len(best.near) == 50 and (place == partner).all()
+    for one, other in zip(N.first_choices(*(np.concatenate(x) for x in zip(*every))), (row, partner, near, tie)):
+        assert (one == other).all()
